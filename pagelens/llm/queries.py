@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, embed_dedup, html_extract, langid, ngram_join, pii, quality
+from pagelens.llm import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, ngram_join, pii, quality
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,6 +38,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it leaks."""
+    leaks = decontam.add_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id", "l.share", "l.start", "l.stop")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector among those of its label."""
     return embed_dedup.near_duplicate_embeddings(table(spark, sf_dir, "embeddings"))
@@ -52,6 +58,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, lines removed from it and the digest of what is left."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a model that never saw the held-out labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,7 +80,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op5_embedding_near_dedup, op6_pii, op8_quality, op9_language_id)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op4_decontamination, op5_embedding_near_dedup, op6_pii, op7_line_dedup, op8_quality, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,10 +33,12 @@ class Words:
     hash: np.ndarray  # of the word with A-Z lower-cased
 
 
-def words(texts: list[bytes], fold: bool = True) -> Words:
-    """Every run of bytes other than ``\\x20`` and ``\\x09``-``\\x0D``, in order."""
+def words(texts: list[bytes], fold: bool = True, plain: bool = False) -> Words:
+    """Every run of bytes other than ``\\x20`` and ``\\x09``-``\\x0D``, in order; ``plain`` cuts at all ASCII but letters and digits."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
+    if plain:
+        space = (data < 128) & ~(((data | 32) >= 97) & ((data | 32) <= 122)) & ~((data >= 48) & (data <= 57))
     turn = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
     start, end = turn[0::2], turn[1::2]
     low = np.where((data >= 65) & (data <= 90), data | 32, data) if fold else data
