@@ -47,10 +47,10 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
         if n[d] >= k:
             out.append(np.unique(g[a : b - k + 1]))
         elif n[d]:
-            short = np.uint64(n[d])
+            short = np.array([n[d]], np.uint64)
             for x in h[a:b]:
-                short = mix(np.array([short * np.uint64(5) + x], np.uint64))[0]
-            out.append(np.array([short], np.uint64))
+                short = mix(short * np.uint64(5) + x)
+            out.append(short)
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -163,7 +163,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
                     yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
 
     sigs = docs.mapInPandas(signatures, "sig long, id long, n int").repartition("sig")
-    shared_sig = sigs.groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("sig")
+    whole = F.struct("id", "n")  # all columns, so that the join below reuses the exchange
+    shared_sig = sigs.groupBy("sig").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x.id < y.id").select("sig")
     reps = cut(named.where("id is not null and n > 0").join(counts, ["k1", "k2", "n"]).select("id", "rep", "n"))
     rows = sigs.join(shared_sig, "sig").join(reps, ["id", "n"]).groupBy("sig", F.col("rep").alias("id")).agg(F.min("n").alias("n"))
     rows = cut(rows)

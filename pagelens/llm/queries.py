@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, ngram_join, pii, quality
+from pagelens.llm import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, ngram_join, pii, quality, suffix_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -79,8 +79,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left once repeated strings of 100 bytes are removed."""
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op4_decontamination, op5_embedding_near_dedup, op6_pii, op7_line_dedup, op8_quality, op9_language_id)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op4_decontamination, op5_embedding_near_dedup, op6_pii, op7_line_dedup, op8_quality, op9_language_id, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
