@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,16 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that are written and no longer referenced.
+
+    Its cleaner follows the driver's garbage collection, which a quiet driver
+    may not run for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row per node, ``(id, root)``.
 

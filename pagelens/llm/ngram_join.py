@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import bounded_batches, components, cut, drop_cut
+from pagelens.llm.common import bounded_batches, components, cut, drop_cut, free_shuffles
 from pagelens.llm.wordhash import mix, words
 
 
@@ -22,7 +22,8 @@ class JoinParams:
     indexed as pairs. ``block``: shingles counted at a time. ``table``: common
     shingles whose order is broadcast, the commonest first; others are ordered
     by hash, which changes the cost and never the result. ``leaders``: texts each
-    text is first compared with."""
+    text is first compared with. ``broadcast_ids``: candidates up to which their
+    ids (16 bytes each) are broadcast to the texts; more are joined by a shuffle."""
 
     words: int = 4
     percent: int = 85
@@ -31,6 +32,7 @@ class JoinParams:
     block: int = 2_000_000
     table: int = 2_000_000
     leaders: int = 1
+    broadcast_ids: int = 1_000_000
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -168,11 +170,14 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     reps = cut(named.where("id is not null and n > 0").join(counts, ["k1", "k2", "n"]).select("id", "rep", "n"))
     rows = sigs.join(shared_sig, "sig").join(reps, ["id", "n"]).groupBy("sig", F.col("rep").alias("id")).agg(F.min("n").alias("n"))
     rows = cut(rows)
+    del sigs, shared_sig
+    free_shuffles(spark)
     lead = rows.groupBy("sig").agg(F.min(F.struct("n", "id")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
     stars = rows.join(lead, "sig").where("id <> a").where(close("na", "n", p)).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("votes"))
     best = stars.groupBy("b").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("votes", "a")))), 1, p.leaders).alias("l")) if p.leaders > 1 else stars.groupBy("b").agg(F.array(F.max(F.struct("votes", "a"))).alias("l"))
     pairs = cut(best.select(F.explode("l.a").alias("a"), "b"))
     links = cut(verify(pairs, docs, p))
+    free_shuffles(spark)
     roots = components(links)
     labelled = rows.join(roots.withColumnRenamed("root", "r"), "id", "left").withColumn("r", F.coalesce("r", "id"))
     mixed = labelled.groupBy("sig").agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x < y").select("sig")
@@ -194,22 +199,35 @@ def close(n: str, m: str, p: JoinParams):
     return F.least(n, m) * 100 >= F.greatest(n, m) * p.percent
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: what tells the shingles of two texts apart."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets are similar enough."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
+    wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in slices(pdf):
-                yield pd.DataFrame({"id": part["id"], "set": [s.tobytes() for s in shingle_sets(list(part["text"]), p.words)]})
+                yield pd.DataFrame({"id": part["id"], "set": [packed(s) for s in shingle_sets(list(part["text"]), p.words)]})
 
+    if wanted.count() <= p.broadcast_ids:
+        wanted = F.broadcast(wanted)
     sets = cut(docs.join(wanted, "id", "left_semi").mapInPandas(fetch, "id long, set binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpacked(x), unpacked(y)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 i = int((both[1:] == both[:-1]).sum())
