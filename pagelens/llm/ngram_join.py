@@ -105,13 +105,13 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
         def common() -> pd.DataFrame:
             u, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= max(4, p.common * len(held))
-            return pd.DataFrame({"id": pd.array([], "Int64"), "n": pd.array([], "Int64")}).reindex(range(int(often.sum()))).assign(k1=u[often].astype(np.int64), k2=n[often])
+            return pd.DataFrame({"id": pd.array([], "Int64"), "n": pd.array([], "Int64")}).reindex(range(int(often.sum()))).assign(k1=u[often].astype(np.int64), k2=n[often], sketch=None)
 
         for pdf in batches:
             for part in slices(pdf):
                 sets = shingle_sets(list(part["text"]), p.words)
                 keys = [set_keys(s) for s in sets]
-                yield pd.DataFrame({"id": part["id"].astype("Int64").array, "n": pd.array([len(s) for s in sets], "Int64"), "k1": [k[0] for k in keys], "k2": [k[1] for k in keys]})
+                yield pd.DataFrame({"id": part["id"].astype("Int64").array, "n": pd.array([len(s) for s in sets], "Int64"), "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "sketch": [sketch(s) for s in sets]})
                 for s, k in zip(sets, keys):
                     if k not in seen:
                         seen.add(k)
@@ -123,7 +123,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
         if held:
             yield common()
 
-    surveyed = cut(docs.mapInPandas(survey, "id long, n long, k1 long, k2 long"))
+    surveyed = cut(docs.mapInPandas(survey, "id long, n long, k1 long, k2 long, sketch binary"))
     named = surveyed.where("n is not null")
     counts = named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
     texts = counts.count()
@@ -164,7 +164,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
                 if ids:
                     yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
 
-    sigs = docs.mapInPandas(signatures, "sig long, id long, n int").repartition("sig")
+    sigs = docs.mapInPandas(signatures, "sig long, id long, n int").where("sig is not null").repartition("sig")
     whole = F.struct("id", "n")  # all columns, so that the join below reuses the exchange
     shared_sig = sigs.groupBy("sig").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x.id < y.id").select("sig")
     reps = cut(named.where("id is not null and n > 0").join(counts, ["k1", "k2", "n"]).select("id", "rep", "n"))
@@ -185,7 +185,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     other = rest.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
     across = rest.join(other, "sig").where("r < rb").where(close("n", "nb", p)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(verify(cut(across.join(ordered, ["a", "b"], "left_anti")), docs, p))
+    near = possible(cut(across.join(ordered, ["a", "b"], "left_anti")), named, p)
+    more = cut(verify(cut(near), docs, p))
     same = reps.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(links.union(more).union(same))
     drop_cut(rows)
@@ -199,6 +200,28 @@ def close(n: str, m: str, p: JoinParams):
     return F.least(n, m) * 100 >= F.greatest(n, m) * p.percent
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many of the set's hashes fall into each of 256 cells."""
+    return np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def possible(pairs: DataFrame, named: DataFrame, p: JoinParams) -> DataFrame:
+    """Pairs whose cells allow a link: two sets share at most the lesser count of each cell. A full cell allows anything."""
+    cells = named.where("id is not null").select("id", F.col("n").alias("m"), "sketch")
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, 256) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            fine = (100 * most >= p.percent * (pdf["nx"].to_numpy() + pdf["ny"].to_numpy() - most)) | ((x == 255) & (y == 255)).any(axis=1)
+            yield pdf.loc[fine, ["a", "b"]]
+
+    both = pairs.join(cells.toDF("a", "nx", "x"), "a").join(cells.toDF("b", "ny", "y"), "b")
+    return both.mapInPandas(test, "a long, b long").distinct()
+
+
 def packed(s: np.ndarray) -> bytes:
     """The upper 48 bits of each hash: what tells the shingles of two texts apart."""
     return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
