@@ -233,14 +233,16 @@ def accessible_names(nodes: DataFrame, of: DataFrame) -> DataFrame:
     content_named = role_of().isin("link", "button", "heading", "tab", "menuitem", "option", "checkbox", "radio", "switch", "cell", "columnheader", "row") & (F.col("tag") != "input")
     ranked = F.array(
         F.struct(some(F.col("labelledby")).alias("v"), F.lit("computed").alias("s")),
-        F.struct(some(attr("aria-label")), F.lit("computed")),
-        F.struct(F.when(button, F.coalesce(some(attr("value")), some(attr("alt")))), F.lit("computed")),
-        F.struct(some(F.col("label")), F.lit("computed")),
-        F.struct(F.when(F.col("tag") == "img", some(attr("alt"))), F.lit("computed")),
-        F.struct(F.when(content_named, some(F.col("inner"))), F.lit("computed")),
-        F.struct(some(attr("placeholder")), F.lit("fallback:placeholder")),
-        F.struct(some(attr("title")), F.lit("fallback:title")),
-        F.struct(F.coalesce(some(attr("data-testid")), some(attr("id"))), F.lit("attribute-fallback")),
+        *(F.struct(v.alias("v"), F.lit(k).alias("s")) for v, k in (
+            (some(attr("aria-label")), "computed"),
+            (F.when(button, F.coalesce(some(attr("value")), some(attr("alt")))), "computed"),
+            (some(F.col("label")), "computed"),
+            (F.when(F.col("tag") == "img", some(attr("alt"))), "computed"),
+            (F.when(content_named, some(F.col("inner"))), "computed"),
+            (some(attr("placeholder")), "fallback:placeholder"),
+            (some(attr("title")), "fallback:title"),
+            (F.coalesce(some(attr("data-testid")), some(attr("id"))), "attribute-fallback"),
+        )),
     )
     best = F.get(F.filter(ranked, lambda x: x["v"].isNotNull()), F.lit(0))
     return j.withColumn("__n", best).withColumn("name", T.clip(F.col("__n.v"), 100)).withColumn("name_source", F.when(F.length("__n.v") > 100, "truncated").otherwise(F.coalesce("__n.s", F.lit("none")))).drop("__n", "labelledby", "label")

@@ -24,9 +24,16 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+def load() -> None:
+    """Import the modules that register queries."""
+    from pagelens.plans import log_queries, page_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return ORACLES
