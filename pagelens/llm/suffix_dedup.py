@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import bounded_batches, cut
+from pagelens.llm.common import bounded_batches, cut, drop_cut, free_shuffles
 from pagelens.llm.ngram_join import slices
 from pagelens.llm.wordhash import BACK, STEP, mix, powers
 
@@ -46,27 +46,24 @@ def run_hashes(data: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * powers(BACK, len(data) - n + 1))
 
 
+def sliding(x: np.ndarray, w: int, pick: np.ufunc, fill: int) -> np.ndarray:
+    """Least or greatest of every ``w`` neighbours, from running values of blocks of ``w``."""
+    full = np.r_[x, np.full(-len(x) % w, fill, np.uint64)].reshape(-1, w)
+    ahead = pick.accumulate(full, axis=1).ravel()
+    behind = pick.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(behind[: len(x) - w + 1], ahead[w - 1 : len(x)])
+
+
 def anchors(data: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors: for each string of ``length`` bytes the rightmost of its smallest gram hashes."""
+    """Places and hashes of the anchors: for each string of ``length`` bytes its grams of the smallest hash."""
     h = run_hashes(data, p.gram)
-    n, w = len(h), p.window
-    if n < w:
+    w = p.window
+    if len(h) < w:
         return np.empty(0, np.int64), h[:0]
-    # smallest of each window from prefix and suffix minima of blocks of w
-    pad = np.full(-n % w, np.iinfo(np.uint64).max, np.uint64)
-    full = np.r_[h, pad].reshape(-1, w)
-    ahead = np.minimum.accumulate(full, axis=1).ravel()
-    behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-    # a place is an anchor if the least of some window around it is its own hash and no equal one follows in that window
-    low, high = np.maximum(np.arange(n) - w + 1, 0), np.minimum(np.arange(n), n - w)
-    maybe = np.flatnonzero(np.isin(h, least))
-    at = []
-    first, last = low[maybe], high[maybe]
-    for i, a, b in zip(maybe.tolist(), first.tolist(), last.tolist()):
-        if (least[a : b + 1] == h[i]).any():
-            at.append(i)
-    at = np.array(at, np.int64)
+    least = sliding(h, w, np.minimum, np.iinfo(np.uint64).max)
+    edge = np.zeros(w - 1, np.uint64)
+    # no window around a place has a least hash above the place's own; one that reaches it makes the place an anchor
+    at = np.flatnonzero(sliding(np.r_[edge, least, edge], w, np.maximum, 0) == h)
     return at, h[at]
 
 
@@ -189,13 +186,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", pa
                 if ths:
                     yield pd.DataFrame({"f": np.concatenate(hashes), "th": np.concatenate(ths), "at": np.concatenate(places).astype(np.int32)})
 
-    found = docs.where("id is not null").select("th", "text").mapInPandas(find, "f long, th long, at int").repartition("f")
+    spark = df.sparkSession
+    found = docs.where("id is not null").select("th", "text").mapInPandas(find, "f long, th long, at int").where("f is not null").repartition("f")
     twice = found.groupBy("f").agg(F.min(F.struct("th", "at")).alias("x"), F.max(F.struct("th", "at")).alias("y")).where("x <> y").select("f")
     wanted = cut(found.join(twice, "f").groupBy("th").agg(F.collect_set(F.struct("at", "f")).alias("anchors")).join(firsts, "th"))  # a text's own anchors at most
+    del found, twice
+    free_shuffles(spark)
+
+    def name(*parts: bytes) -> int:
+        return int.from_bytes(blake2b(b"|".join(parts), digest_size=8).digest(), "little", signed=True)
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Bytes around each anchor; a segment met before in the task is given by its key alone."""
-        seen: set[bytes] = set()
+        """Around each anchor: a hash of the bytes, and bins of the anchor with the bytes at either side."""
         for pdf in batches:
             for part in slices(pdf, 1 << 18):
                 rows: list[tuple] = []
@@ -203,23 +205,37 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", pa
                     b = t.encode()
                     for x in own:
                         at = x["at"]
-                        a = max(0, at + p.gram - p.length)
+                        a, end = max(0, at + p.gram - p.length), at + p.gram
                         s = b[a : at + p.length]
-                        key = blake2b(s, digest_size=8).digest()
-                        rows.append((x["f"] ^ int.from_bytes(key, "little", signed=True), x["f"], doc, th, a, len(s), at - a, None if key in seen else s))
-                        seen.add(key)
-                yield pd.DataFrame(rows, columns=["key", "f", "doc", "th", "start", "size", "at", "bytes"])
-
-    cutouts = cut(docs.join(wanted, ["id", "th"]).mapInPandas(segments, "key long, f long, doc long, th long, start int, size int, at int, bytes binary"))
-    distinct = cutouts.groupBy("key").agg(F.min(F.struct("doc", "start", "th")).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"), F.first("at").alias("at"), F.first("f").alias("f"), F.first("bytes", ignorenulls=True).alias("bytes"))
-    distinct = cut(distinct.where(F.col("size") >= p.length))
-    copies = cutouts.select("key", "doc", "th", "start", "size").join(distinct.where("n > 1").select("key", "first"), "key").where(F.struct("doc", "start", "th") != F.col("first"))
-    copies = copies.select("doc", "th", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("z"))
-    left = F.expr(f"substring(bytes, greatest(1, at + 1 - {p.side}), least(at, {p.side}))")
-    right = F.substring("bytes", F.col("at") + 1 + p.gram, F.lit(p.side))
-    sides = distinct.select(F.explode(F.array(F.when(F.col("at") >= p.side, F.xxhash64("f", F.lit(0), left)), F.when(F.octet_length(right) >= p.side, F.xxhash64("f", F.lit(1), right)))).alias("bin"), "first.doc", "first.th", "first.start", "bytes").where("bin is not null").repartition("bin")
-    crowd = sides.groupBy("bin").agg(F.min(F.struct("doc", "th", "start", "bytes")).alias("x"), F.count("*").alias("n")).where("n > 1").select("bin")
-    shared = sides.join(crowd, "bin").sortWithinPartitions("bin")
+                        left = name(b"l", b[at - p.side : end]) if at >= p.side else None
+                        right = name(b"r", b[at : end + p.side]) if end + p.side <= len(b) else None
+                        rows.append((name(s), doc, th, a, len(s), left, right))
+                yield pd.DataFrame(rows, columns=["key", "doc", "th", "start", "size", "left", "right"]).astype({"left": "Int64", "right": "Int64"})
+
+    cutouts = cut(docs.join(wanted, ["id", "th"]).mapInPandas(segments, "key long, doc long, th long, start int, size int, left long, right long").where(F.col("size") >= p.length))
+    free_shuffles(spark)
+    distinct = cut(cutouts.groupBy("key").agg(F.min(F.struct("doc", "start", "th", "size")).alias("first"), F.count("*").alias("n"), F.first("left").alias("left"), F.first("right").alias("right")))
+    free_shuffles(spark)
+    copies = cutouts.select("key", "doc", "th", "start", "size").join(distinct.where("n > 1").select("key", "first"), "key").where(F.struct("doc", "start", "th", "size") != F.col("first"))
+    copies = cut(copies.select("doc", "th", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("z")))
+    drop_cut(cutouts)
+    sides = distinct.select(F.explode(F.array("left", "right")).alias("bin"), "first.doc", "first.th", "first.start", "first.size").where("bin is not null").repartition("bin")
+    crowd = sides.groupBy("bin").agg(F.min(F.struct("doc", "th", "start", "size")).alias("x"), F.count("*").alias("n")).where("n > 1").select("bin")
+    crowded = cut(sides.join(crowd, "bin").groupBy("doc", "th").agg(F.collect_list(F.struct("bin", "start", "size")).alias("own")))  # a document's own segments
+    del sides, crowd
+    free_shuffles(spark)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in slices(pdf, 1 << 18):
+                rows = []
+                for doc, th, t, own in zip(part["doc"], part["th"], part["text"], part["own"]):
+                    b = t.encode()
+                    rows += [(x["bin"], doc, th, x["start"], b[x["start"] : x["start"] + x["size"]]) for x in own]
+                yield pd.DataFrame(rows, columns=["bin", "doc", "th", "start", "bytes"])
+
+    fetched = docs.withColumnRenamed("id", "doc").join(crowded, ["doc", "th"]).select("doc", "th", "text", "own").mapInPandas(take, "bin long, doc long, th long, start int, bytes binary")
+    shared = fetched.repartition("bin").sortWithinPartitions("bin")
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Merge whole bins, about ``bin`` segments at a time."""
@@ -237,7 +253,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", pa
         if rows:
             yield from (repeated_in(x, p) for x in whole_bins(pd.concat(held), p))
 
-    merged = shared.mapInPandas(bins, "doc long, th long, a int, z int")
+    merged = cut(shared.mapInPandas(bins, "doc long, th long, a int, z int"))
+    free_shuffles(spark)
     spans = copies.union(merged).groupBy("doc", "th").agg(F.collect_set(F.struct("a", "z")).alias("spans"))  # a document's own spans
     copied = named.join(firsts.withColumnRenamed("id", "doc"), "th").where("doc < id").select("id", "th", F.lit(True).alias("copied"), F.lit(None).cast("array<struct<a:int,z:int>>").alias("spans"))
     fate = copied.union(spans.select("doc", "th", F.lit(False), "spans"))

@@ -17,11 +17,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """``base`` to the powers 0 to ``n - 1``; tables of up to 4M entries are kept."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if n <= 1 << 22:
+            _POWERS[int(base)] = have
+    return have[:n]
 
 
 @dataclass
