@@ -72,7 +72,7 @@ def test_pii(spark):
     got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.pii] for r in pii.find_pii(docs(spark, texts)).collect()}
     assert got[0] == got[1] == []
     assert got[2] == [("email", 5, 24)]
-    assert got[3] == [("ip", 16, 26)]
+    assert got[3] == [("ip", 17, 27)]
     assert got[4] == [("card", 5, 24)]
     assert got[5] == [("phone", 5, 22)]
     assert got[6] == [("iban", 5, 27)]
