@@ -205,7 +205,7 @@ def is_control() -> Column:
         ((F.col("tag") == "a") & attr("href").isNotNull())
         | F.col("tag").isin("button", "select", "textarea", "summary")
         | ((F.col("tag") == "input") & (F.lower(F.coalesce(attr("type"), F.lit(""))) != "hidden"))
-        | attr("role").isin(*ACTIVE_ROLES)
+        | F.coalesce(attr("role").isin(*ACTIVE_ROLES), F.lit(False))
         | attr("onclick").isNotNull()
         | F.coalesce(index >= 0, F.lit(False))
     ) & ~F.col("tag").startswith("#")

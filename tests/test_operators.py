@@ -63,3 +63,13 @@ def test_bind_refs(spark):
 def test_classify_soft_block(spark):
     df = spark.createDataFrame([("u", "u", 200, {}, "Just a moment...", "", "")], "url string, landed_url string, status int, headers map<string,string>, title string, body string, source string")
     assert [(r.label, r.confidence) for r in C.classify_response(df).collect()] == [("botwall", "confirmed")]
+
+
+def test_fields_from_evidence(spark):
+    from pagelens.operators import evidence as E
+
+    n, _ = nodes_of(spark, '<head><meta property="og:price" content="9"></head><body><dl><dt>Colour</dt><dd>red</dd></dl><table><tr><td>Weight</td><td>5 kg</td></tr></table><div><span>Size:</span><span>XL</span></div><p itemprop="price">10</p></body>')
+    fields = spark.createDataFrame([("colour", None), ("weight", "item weight"), ("size", None), ("vendor", None), ("price", None)], "name string, description string")
+    found = E.evidence(n)
+    got = {r.name: (r.outcome, r.value, r.tier) for r in E.extract_page(spark.createDataFrame(found.collect(), found.schema), fields).collect()}
+    assert got == {"colour": ("found", "red", "labeled"), "weight": ("found", "5 kg", "labeled"), "size": ("found", "XL", "proximate"), "vendor": ("not_found", None, None), "price": ("found", "10", "declared")}
