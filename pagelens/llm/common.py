@@ -16,7 +16,8 @@ BATCH_BYTES = 16 << 20
 def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Keep Arrow batches under ``limit`` bytes, however long the texts are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b") or 0) > limit:
+    now = spark.conf.get(key, str(2**31 - 1)).rstrip("b")
+    if now.isdigit() and int(now) > limit:  # a setting with a unit is the user's own choice
         spark.conf.set(key, str(limit))
 
 
