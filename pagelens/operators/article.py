@@ -96,3 +96,23 @@ def threads(nodes: DataFrame, hops: int = 8, least_posts: int = 3, least_chars:
     posts = inner_text(nodes, nodes.join(boxes.select("page_id", F.col("box").alias("node_id"), "at"), ["page_id", "node_id"]))
     out = posts.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("node_id")).alias("post"), "at", F.left("inner", F.lit(1200)).alias("text")).where("post <= 200")
     return out.withColumn("n_posts", F.count("*").over(W.partitionBy("page_id"))).withColumn("chars", F.sum(F.length("text")).over(W.partitionBy("page_id"))).where((F.col("n_posts") >= least_posts) & (F.col("chars") >= least_chars)).drop("chars")
+
+
+def inline_links(nodes: DataFrame, pages: DataFrame, body: DataFrame, most: float = 0.25) -> DataFrame:
+    """Body text of each page with links as ``[text](path)``; plain where the markup would exceed ``most`` of it.
+
+    Text runs are put together per block in order; a run inside a link carries
+    its anchor's short path.
+    """
+    from pagelens.functions import urls as U
+
+    span = body.join(nodes.select("page_id", F.col("node_id").alias("body_id"), "last_desc"), ["page_id", "body_id"]).select("page_id", "body_id", F.col("last_desc").alias("body_end"))
+    anchors = nodes.where((F.col("tag") == "a") & attr("href").isNotNull()).join(pages.select("page_id", "url"), "page_id").select("page_id", F.col("node_id").alias("a_id"), U.shorten_href(F.col("url"), attr("href")).alias("path"))
+    runs = nodes.where("tag = '#text'").join(span, "page_id").where(F.col("node_id").between(F.col("body_id"), F.col("body_end")))
+    runs = runs.withColumn("a_id", F.get(F.filter(F.reverse("ancestors"), lambda x: x["tag"] == "a"), F.lit(0))["id"]).join(anchors, ["page_id", "a_id"], "left")
+    plain = T.squash(F.col("own_text"))
+    linked = F.when(F.col("path").isNotNull(), F.concat(F.lit("["), plain, F.lit("]("), F.col("path"), F.lit(")"))).otherwise(plain)
+    parts = runs.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", plain.alias("p"), linked.alias("l")))).alias("x"))
+    text = parts.select("page_id", F.array_join("x.p", " ").alias("p"), F.array_join("x.l", " ").alias("l"))
+    heavy = (F.length("l") - F.length("p")) > most * F.length("l")
+    return text.select("page_id", F.when(heavy, F.col("p")).otherwise(F.col("l")).alias("text"), (~heavy & (F.col("l") != F.col("p"))).alias("linked"))

@@ -173,3 +173,17 @@ def match_profile(urls: DataFrame, profiles: DataFrame) -> DataFrame:
     score = F.struct(F.when(F.array_contains("hosts", host), 0).otherwise(1).alias("wild"), (-F.coalesce(prefix, F.lit(-1))).alias("short"), F.when(F.col("source") == "local", 0).when(F.col("source") == "community", 1).otherwise(2).alias("rank"), "slug")
     ranked = j.withColumn("n", F.row_number().over(W.partitionBy("url").orderBy(score)))
     return ranked.groupBy("url").agg(F.max(F.when(F.col("n") == 1, F.col("slug"))).alias("profile"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n").between(2, 6), F.struct("n", "slug"))))["slug"], ",").alias("runners_up"))
+
+
+def access_note(responses: DataFrame, access: DataFrame) -> DataFrame:
+    """The first access entry of each response's profile whose every stated condition holds; advisory.
+
+    ``access(slug, pos, note, status, text, meta_present, meta_absent)`` is a
+    small broadcast table; a null condition is not stated. ``responses`` needs
+    ``url, profile, status, body, metas`` (array of meta names).
+    """
+    said = lambda c, test: F.col(c).isNull() | F.coalesce(test, F.lit(False))
+    rules = access.select("slug", "pos", "note", F.col("status").alias("want_status"), "text", "meta_present", "meta_absent")
+    holds = said("want_status", F.col("status") == F.col("want_status")) & said("text", F.contains(F.lower("body"), F.lower("text"))) & said("meta_present", F.array_contains("metas", F.col("meta_present"))) & said("meta_absent", ~F.array_contains("metas", F.col("meta_absent")))
+    hit = responses.join(F.broadcast(rules), responses["profile"] == rules["slug"]).where(holds).groupBy("url").agg(F.min_by("note", "pos").alias("note"))
+    return responses.select("url", "profile").join(hit, "url", "left")

@@ -242,3 +242,21 @@ def a11y_rollup(results: DataFrame, examples: int = 3) -> DataFrame:
     picked = flat.withColumn("n", F.row_number().over(W.partitionBy("page_id", "bucket", "rule").orderBy("frame", "pos")))
     out = picked.groupBy("page_id", "bucket", "rule").agg(F.min(order).alias("impact_rank"), F.count("node").alias("nodes"), F.array_sort(F.collect_list(F.when((F.col("n") <= examples) & F.col("node").isNotNull(), F.struct("n", "node.target", "node.message")))).alias("examples"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("page_id", "bucket").orderBy("impact_rank", F.desc("nodes"), "rule")))
+
+
+def bind_parameters(steps: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Where each declared value of ``parameters(param, declared)`` stands in the arguments of ``steps(session, number, args)``: argument, place from 1 and length.
+
+    ``origin_slot`` marks an argument whose value begins with a web origin.
+    """
+    flat = steps.select("session", "number", F.explode("args").alias("arg", "value"))
+    hit = flat.join(F.broadcast(parameters), F.contains(flat["value"], parameters["declared"]) & (parameters["declared"] != ""))
+    return hit.select("session", "number", "arg", "param", F.instr("value", F.col("declared")).alias("at"), F.length("declared").alias("size"), "value", F.coalesce(F.col("value").rlike("^https?://"), F.lit(False)).alias("origin_slot"))
+
+
+def apply_parameters(bound: DataFrame, supplied: DataFrame) -> DataFrame:
+    """Splice ``supplied(param, given)`` into the bound places; a slot that carries an origin must keep it, else ``refused`` is true and the value stays."""
+    j = bound.join(F.broadcast(supplied), "param", "left")
+    new = F.concat(F.substring("value", F.lit(1), F.col("at") - 1), F.coalesce("given", F.substring("value", F.col("at"), F.col("size"))), F.substring("value", F.col("at") + F.col("size"), F.length("value")))
+    moved = F.col("origin_slot") & ~U.url_origin(new).eqNullSafe(U.url_origin(F.col("value")))
+    return j.select("session", "number", "arg", "param", F.when(moved, F.col("value")).otherwise(new).alias("value"), moved.alias("refused"))

@@ -73,3 +73,22 @@ def test_fields_from_evidence(spark):
     found = E.evidence(n)
     got = {r.name: (r.outcome, r.value, r.tier) for r in E.extract_page(spark.createDataFrame(found.collect(), found.schema), fields).collect()}
     assert got == {"colour": ("found", "red", "labeled"), "weight": ("found", "5 kg", "labeled"), "size": ("found", "XL", "proximate"), "vendor": ("not_found", None, None), "price": ("found", "10", "declared")}
+
+
+def test_parameters_keep_origins(spark):
+    from pagelens.operators import logs as G
+
+    steps = spark.createDataFrame([("s", 1, {"url": "https://a.example.com/find?q=cats"})], "session string, number int, args map<string,string>")
+    bound = G.bind_parameters(steps, spark.createDataFrame([("q", "cats"), ("host", "a.example.com")], "param string, declared string"))
+    got = {r.param: (r.value, r.refused) for r in G.apply_parameters(bound, spark.createDataFrame([("q", "dogs"), ("host", "b.example.org")], "param string, given string")).collect()}
+    assert got == {"q": ("https://a.example.com/find?q=dogs", False), "host": ("https://a.example.com/find?q=cats", True)}
+
+
+def test_inline_links(spark):
+    from pagelens.operators import article as A
+
+    long = "A sentence with some words, and more of them, so that it counts as prose. " * 3
+    n, pages = nodes_of(spark, f"<body><article><p>{long}<a href='/z'>here</a></p><p>{long}</p></article></body>")
+    body = A.article_body(n)
+    row = A.inline_links(n, pages, spark.createDataFrame(body.collect(), body.schema)).first()
+    assert row.linked and "[here](/z)" in row.text
