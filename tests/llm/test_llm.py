@@ -159,3 +159,23 @@ def test_repeats(spark):
                 gone[k : k + 100] = True
             seen.add(b[k : k + 100])
         assert (got[i].n_bytes, got[i].n_removed, bytes(got[i].kept)) == (len(b), gone.sum(), np.frombuffer(b, np.uint8)[~gone].tobytes())
+
+
+def test_line_dedup_within_a_band(spark):
+    """Near duplicates whose bands are all led by a dissimilar line of the same template."""
+    rng = np.random.default_rng(4)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        shared = word(10)
+        for _ in range(60):
+            own = word(10)
+            texts += [" ".join(shared + own), " ".join(shared + own[:-1] + word(1))]
+    grams = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    link = lambda i, j: len(grams[i] & grams[j]) * 100 >= 80 * len(grams[i] | grams[j])
+    twice = {i for i in range(len(texts)) if any(link(i, j) for j in range(i))}
+    assert len(twice) == 180
+    for square in (1024, 16):
+        p = line_dedup.LineParams(square=square)
+        got = {r.doc_id for r in line_dedup.dedup_lines(docs(spark, texts), params=p).where("n_removed = 1").collect()}
+        assert got <= twice and len(got) >= 178
