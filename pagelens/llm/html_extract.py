@@ -27,6 +27,10 @@ OUT_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar header masthead footer sidebar aside widget related recommended share sharing social comment comments disqus reply replies discussion respond skip".split()
 )
 IN_WORDS = frozenset("article body content entry main page post story text".split())
+#: A token of a class that starts so tells what stands beside the element.
+STATE_WORDS = frozenset("has with no without".split())
+#: Not even an article of such a name, or what holds one, is the page's own.
+NEVER_WORDS = frozenset("comment comments related promo ad ads".split())
 #: Points of a paragraph go to so many ancestors, divided by the distance.
 REACH = 3
 
@@ -95,13 +99,45 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
-def named(node: Node) -> set[str]:
+def tokens(node: Node) -> list[list[str]]:
+    """The words of each token of class and id."""
     s = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
-    return set("".join(c if c.isalnum() else " " for c in s).split())
+    return ["".join(c if c.isalnum() else " " for c in t).split() for t in s.split()]
+
+
+def named(node: Node) -> set[str]:
+    return {w for t in tokens(node) for w in t}
+
+
+def holders(nodes: list[Node]) -> tuple[set[int], set[int]]:
+    """Elements that hold a ``main`` or the article with the most text, and elements that hold the first ``h1`` and a paragraph."""
+    size: dict[int, int] = {}
+    articles, headline = [], None
+    for n in reversed(nodes):  # children first
+        size[id(n)] = 0 if n.tag in RAW else sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in n.children)
+        if n.tag == "article" and not named(n) & NEVER_WORDS:
+            articles.append(n)
+        headline = n if n.tag == "h1" else headline
+    chosen = [n for n in nodes if n.tag == "main"] + ([max(articles, key=lambda n: size[id(n)])] if articles else [])
+    whole = {id(x) for n in chosen for x in up(n.parent)}
+    paragraphs: set[int] = set()
+    for n in nodes:
+        if n.tag == "p":
+            for x in up(n.parent):
+                if id(x) in paragraphs:
+                    break
+                paragraphs.add(id(x))
+    return whole, {id(x) for x in up(headline) if id(x) in paragraphs}
 
 
-def excluded(node: Node, in_article: bool) -> bool:
-    """Whether a subtree is chrome; an article's own header stays, as does an element that says it is content."""
+def excluded(node: Node, in_article: bool, whole: set[int], headed: set[int]) -> bool:
+    """Whether a subtree is chrome; an article's own header stays, as does an element that says it is content.
+
+    A token such as ``with-sidebar`` says nothing of the element itself. An
+    element with words of both kinds (``social-story``, ``comment-body``) is
+    content if a token is or ends as one and it holds the headline and a paragraph.
+    What holds the page's main part or article stays, and its children are judged.
+    """
     if node.tag in RAW or node.tag in OUT_TAGS or node.attrs.get("role", "").lower() in OUT_ROLES:
         return True
     if "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true":
@@ -109,8 +145,13 @@ def excluded(node: Node, in_article: bool) -> bool:
     if node.tag == "header":
         return not in_article
     if node.tag in ("html", "body", "main", "article"):
-        return bool(named(node) & {"comment", "comments", "related", "promo", "ad", "ads"}) and node.tag == "article"
-    return bool(named(node) & OUT_WORDS)
+        return bool(named(node) & NEVER_WORDS) and node.tag == "article"
+    out = OUT_WORDS - {"header"} if in_article else OUT_WORDS
+    said = [t for t in tokens(node) if t and t[0] not in STATE_WORDS and out.intersection(t)]
+    if not said or id(node) in whole and not any(NEVER_WORDS.intersection(t) for t in said):
+        return False
+    own = any(IN_WORDS.issuperset(t) for t in tokens(node) if t) or all(t[-1] in IN_WORDS for t in said)
+    return not (own and id(node) in headed)
 
 
 def blocks(root: Node) -> list[tuple[Node, str]]:
@@ -159,11 +200,12 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     nodes = walk(tree.root)
+    whole, headed = holders(nodes)
     inside: set[int] = set()
     for n in nodes:
         if n.tag in ("article", "main") or n.parent is not None and id(n.parent) in inside:
             inside.add(id(n))
-        n.out = n.parent is not None and (n.parent.out or excluded(n, id(n) in inside))
+        n.out = n.parent is not None and (n.parent.out or excluded(n, id(n) in inside, whole, headed))
     for n in reversed(nodes):  # children first
         for c in n.children:
             if isinstance(c, str):

@@ -179,3 +179,14 @@ def test_line_dedup_within_a_band(spark):
         p = line_dedup.LineParams(square=square)
         got = {r.doc_id for r in line_dedup.dedup_lines(docs(spark, texts), params=p).where("n_removed = 1").collect()}
         assert got <= twice and len(got) >= 178
+
+
+def test_html_wrappers():
+    """Wrappers whose class names what stands beside them, or a headline, are no chrome; chrome with a content word is."""
+    text = "A long sentence of the article, with commas, and with more words than a menu has."
+    for name in ("content with-sidebar", "page has-header", "social-story", "main no-footer"):
+        assert html_extract.main_text(f"<body><div class='{name}'><h1>Head</h1><p>{text}</p><div class='sidebar'><p>{text[2:]}</p></div></div></body>") == f"Head\n\n{text}"
+    assert html_extract.main_text(f"<body><div class='wrap sidebar'><article><div class='article-header'><h1>Head</h1></div><p>{text}</p></article><div class='related'><article><p>{text[2:]}</p></article></div></div></body>") == f"Head\n\n{text}"
+    chrome = "<div class='{}'><p>me too, me too, me too</p></div>"
+    for name in ("comment-body", "page-header", "post-comments", "main-nav", "sidebar-content"):
+        assert html_extract.main_text(f"<body><div class='story'><h1>Head</h1><p>{text}</p></div>{chrome.format(name)}</body>") == f"Head\n\n{text}"
