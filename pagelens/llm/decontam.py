@@ -23,11 +23,10 @@ class LeakParams:
     least ``floor``. ``rank``: latent dimensions, which is also how many item
     passages are searched at a time, so that the factors can tell them apart.
     ``item_weight``: of an item's passage among those the factors are fitted on.
-    ``sample``: texts they are fitted on (the counts cover all). ``cosine``:
-    least latent similarity of a candidate. ``bag``: least share of an item
-    passage's words that a candidate holds. ``verbatim``: share of an item's
-    words in common order that is a leak by itself; ``paraphrase``: the share
-    that is one if the item's last sentence is found to ``answer``.
+    ``cosine``: least latent similarity of a candidate. ``bag``: least share of
+    an item passage's words that a candidate holds. ``verbatim``: share of an
+    item's words in common order that is a leak by itself; ``paraphrase``: the
+    share that is one if the item's last sentence is found to ``answer``.
     ``item_bytes``: largest benchmark broadcast."""
 
     block: int = 16
@@ -37,7 +36,6 @@ class LeakParams:
     rank: int = 256
     oversample: int = 8
     item_weight: float = 30.0
-    sample: int = 1000
     cosine: float = 0.4
     bag: float = 0.5
     verbatim: float = 0.75
@@ -119,17 +117,15 @@ def product(texts: list[str | None], m: np.ndarray, known: np.ndarray, weight: n
     return out
 
 
-def fit_factors(docs: DataFrame, items: list[str], known: np.ndarray, weight: np.ndarray, p: LeakParams, total: int) -> np.ndarray:
+def fit_factors(docs: DataFrame, items: list[str], known: np.ndarray, weight: np.ndarray, p: LeakParams) -> np.ndarray:
     """Right singular vectors of the passages' weighted TF-IDF matrix over the items' words, by the randomised method.
 
-    Spark sums ``A'(A W)`` over a bounded sample of texts, once for the range
-    and once for the small matrix; the items' own passages are added. Only
-    ``words x rank`` sums, and no passages, reach the driver.
+    Spark sums ``A'(A W)`` over all texts, once for the range and once for the
+    small matrix; the items' own passages are added. Only ``words x rank`` sums,
+    one for each task and then one in all, and no passages, leave a task.
     """
     spark, width = docs.sparkSession, min(len(known), p.rank + p.oversample)
-    sample = docs.where("text is not null")
-    if total > p.sample:
-        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * p.sample / total))
+    whole = docs.where("text is not null")
 
     def sums(m: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((m, known, weight))
@@ -147,7 +143,7 @@ def fit_factors(docs: DataFrame, items: list[str], known: np.ndarray, weight: np
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"word": pdf["word"].iloc[:1], "row": [np.sum([np.frombuffer(x, "<f4") for x in pdf["row"]], axis=0, dtype=np.float64).tobytes()]})
 
-        cells = sample.mapInPandas(part, "word int, row binary").groupBy("word").applyInPandas(add, "word int, row binary").toPandas()
+        cells = whole.mapInPandas(part, "word int, row binary").groupBy("word").applyInPandas(add, "word int, row binary").toPandas()
         out = p.item_weight**2 * product(items, m, known, weight, p)
         if len(cells):
             out[cells["word"]] += np.stack([np.frombuffer(x) for x in cells["row"]])
@@ -232,7 +228,7 @@ def add_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
             to += to == at or n <= p.rank
         items = Items(own["i"].tolist()[at:to], own["t"].tolist()[at:to], p)
         if len(items.start):
-            factors = fit_factors(docs, own["t"].tolist()[at:to], items.known, weight, p, total)
+            factors = fit_factors(docs, own["t"].tolist()[at:to], items.known, weight, p)
             own_weight = weight[bucket(items.known, p)][:, None]
             table = np.r_[(factors * own_weight).astype(np.float32), np.zeros((1, factors.shape[1]), np.float32)]
             blocks.append((items, table, normed(passages(table[np.searchsorted(items.known, items.hash)], items.start, items.follows)).T))

@@ -190,3 +190,19 @@ def test_html_wrappers():
     chrome = "<div class='{}'><p>me too, me too, me too</p></div>"
     for name in ("comment-body", "page-header", "post-comments", "main-nav", "sidebar-content"):
         assert html_extract.main_text(f"<body><div class='story'><h1>Head</h1><p>{text}</p></div>{chrome.format(name)}</body>") == f"Head\n\n{text}"
+
+
+def test_factors_of_all_texts(spark):
+    """The factors come from the passages of every text, however many there are."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    texts = [" ".join(rng.choice(vocabulary, 20)) for _ in range(1500)]
+    items = [" ".join(vocabulary[:20]), " ".join(vocabulary[20:])]
+    p = decontam.LeakParams(rank=4, oversample=2, item_weight=1.0)
+    known, weight = np.unique(decontam.tokens(items).hash), np.ones(p.buckets)
+    got = decontam.fit_factors(docs(spark, texts), items, known, weight, p)
+    sums = lambda m: decontam.product(texts + items, m, known, weight, p)
+    q, _ = np.linalg.qr(sums(np.random.default_rng(11).standard_normal((len(known), 6))))
+    small = q.T @ sums(q)
+    want = q @ np.linalg.eigh((small + small.T) / 2)[1][:, -4:]
+    assert np.abs(got @ got.T - want @ want.T).max() < 0.01
