@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.llm import bpe, decontam, langid, line_dedup, ngram_join
-from pagelens.llm.common import cut
+from pagelens.llm.common import cut, unused
 from pagelens.session import ship_package
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,9 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     model = langid.fit_language_model(docs)
-    judged = langid.predict_language(docs, model, lang_out="__lang", score_out="__score")
-    clear = F.col("__score") >= LEAST_SCORE if model["langs"] else F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    return judged.where(clear).drop("__lang", "__score")
+    lang, score = unused("lang_pred", docs), unused("lang_score", docs)
+    judged = langid.predict_language(docs, model, lang_out=lang, score_out=score)
+    clear = F.col(score) >= LEAST_SCORE if model["langs"] else F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
+    return judged.where(clear).drop(lang, score)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +49,15 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     ship_package(spark)
-    marked = decontam.add_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__leaks")
-    return marked.where(F.size("__leaks") == 0).select(*docs.columns)
+    leaks = unused("leaks", docs)
+    marked = decontam.add_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=leaks)
+    return marked.where(F.size(leaks) == 0).drop(leaks)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left, with the digest of their decoded bytes."""
     ship_package(spark)
-    ranks = public_tokenizers.path(RANKS)
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    coded = bpe.bpe_round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import bounded_batches
+from pagelens.llm.common import bounded_batches, unused
 
 #: A long text is cut into pieces of about this many characters.
 PIECE_CHARS = 1 << 16
@@ -114,6 +114,28 @@ def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_id
     return df.withColumn(out, decode(F.col(ids)))
 
 
+def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Add both ``ids``, as ``bpe_encode`` does, and ``decoded``, the bytes that ``bpe_decode`` makes of them, in one pass.
+
+    Columns already so named are replaced.
+    """
+    spark = df.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(read_ranks(rank_path))
+
+    @F.pandas_udf("struct<ids:binary,decoded:binary>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        enc = encoding(shared.value, pattern)
+        for texts in batches:
+            packed = [np.array(encode_text(enc, pattern, t), dtype="<u4").tobytes() for t in texts]
+            yield pd.DataFrame({"ids": packed, "decoded": [enc.decode_bytes(np.frombuffer(x, dtype="<u4").tolist()) for x in packed]})
+
+    made = unused("bpe", df)
+    return df.withColumn(made, both(F.col(text))).withColumns({ids: F.col(f"{made}.ids"), decoded: F.col(f"{made}.decoded")}).drop(made)
+
+
 def unpack_ids(packed: Column) -> Column:
     """Packed ids as ``array<long>``, by built-in functions; null or empty gives an empty array."""
     byte = lambda i, k: F.conv(F.hex(F.substring(packed, i * 4 + k, F.lit(1))), 16, 10).cast("long")

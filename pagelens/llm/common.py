@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker; long texts make small batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
@@ -21,10 +22,20 @@ def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+def unused(name: str, *dfs: DataFrame) -> str:
+    """``name``, made longer until no column of ``dfs`` is called so."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder, which must be named; on one machine alone a temporary one may stand in."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -88,8 +99,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = after
     if not levels:
         return state.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    out = levels[-1].toDF("id", "root")
-    for level in reversed(levels[:-1]):
-        out = cut(level.toDF("id", "m").join(out.toDF("m", "r"), "m", "left").select("id", F.coalesce("r", "m").alias("root")))
+    drop_cut(state)
+    above = levels.pop()
+    while levels:
+        level = levels.pop()
+        merged = cut(level.toDF("id", "m").join(above.toDF("m", "r"), "m", "left").select("id", F.coalesce("r", "m").alias("m")))
+        drop_cut(level)
+        drop_cut(above)
+        above = merged
+    out = above.toDF("id", "root")
     least = out.groupBy("root").agg(F.min("id").alias("least"))
-    return cut(out.join(least, "root").select("id", F.col("least").alias("root")))
+    result = cut(out.join(least, "root").select("id", F.col("least").alias("root")))
+    drop_cut(above)
+    return result

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import bounded_batches
+from pagelens.llm.common import bounded_batches, unused
 
 #: Buckets of the hash and the longest n-gram.
 BUCKETS, LONGEST = 1 << 16, 3
@@ -18,7 +18,7 @@ TRAIN_ROWS = 20_000
 #: The matrix of log-probabilities is broadcast, so the languages are counted first.
 MAX_LANGUAGES = 500
 #: Characters hashed at a time.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 
 def grams(text: str) -> np.ndarray:
@@ -111,7 +111,8 @@ def predict_language(df: DataFrame, model: dict, text: str = "text", lang_out: s
                     continue
                 total, n = np.zeros(len(m["langs"])), 0
                 for g in blocks(t):
-                    total += m["logp"][g].sum(axis=0, dtype=np.float64)
+                    at, times = np.unique(g, return_counts=True)  # the text's sparse row
+                    total += times @ m["logp"][at]
                     n += len(g)
                 z = m["prior"] + total * min(1.0, 200 / n)
                 p = np.exp(z - z.max())
@@ -121,4 +122,5 @@ def predict_language(df: DataFrame, model: dict, text: str = "text", lang_out: s
             yield pd.DataFrame({"lang": names, "score": scores})
 
     keep = [c for c in df.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
-    return df.select(*(f"`{c}`" for c in keep), predict(F.col(text)).alias("__p")).select(*(f"`{c}`" for c in keep), F.col("__p.lang").alias(lang_out), F.col("__p.score").alias(score_out))
+    made = unused("judged", df)
+    return df.select(*(f"`{c}`" for c in keep), predict(F.col(text)).alias(made)).select(*(f"`{c}`" for c in keep), F.col(f"{made}.lang").alias(lang_out), F.col(f"{made}.score").alias(score_out))

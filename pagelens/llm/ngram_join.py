@@ -21,9 +21,12 @@ class JoinParams:
     and is ordered last. ``frequent``: share of all texts from which shingles are
     indexed as pairs. ``block``: shingles counted at a time. ``table``: common
     shingles whose order is broadcast, the commonest first; others are ordered
-    by hash, which changes the cost and never the result. ``leaders``: texts each
-    text is first compared with. ``broadcast_ids``: candidates up to which their
-    ids (16 bytes each) are broadcast to the texts; more are joined by a shuffle."""
+    by hash, which changes the cost and never the result. ``broadcast_ids``:
+    candidates up to which their ids (16 bytes each) are broadcast to the texts;
+    more are joined by a shuffle. ``small``: texts that share a signature and are
+    paired by a plain join; more are dealt to parts of ``square`` texts, and each
+    two parts meet in a task's group of their own. ``leaders``: texts of a part
+    with which the others are compared before all are."""
 
     words: int = 4
     percent: int = 85
@@ -31,8 +34,10 @@ class JoinParams:
     frequent: float = 0.05
     block: int = 2_000_000
     table: int = 2_000_000
-    leaders: int = 1
     broadcast_ids: int = 1_000_000
+    small: int = 32
+    square: int = 1024
+    leaders: int = 32
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -58,7 +63,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def slices(pdf: pd.DataFrame, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
+def slices(pdf: pd.DataFrame, chars: int = 1 << 19) -> Iterator[pd.DataFrame]:
     """Parts of a batch of about ``chars`` characters, at least a row each."""
     size = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
     at = 0
@@ -87,18 +92,19 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     Equal sets are merged first. Shingles are ordered from rare to common; any
     two similar sets then share a shingle, or two frequent ones, among their
-    first few, which are shuffled as signatures. Each text is compared with the
-    leader of its signatures, and then only texts of different components that
-    share a signature are compared; nothing is dropped, as a pair within one
-    component can add no link that matters. Sets are fetched for candidates
-    alone and compared exactly.
+    first few, which are shuffled as signatures. Texts first meet a few leaders
+    of their signatures; then the texts of different components that share a
+    signature meet each other, a crowded signature in parts. Sizes and parity
+    sketches rule pairs out before any set is fetched; what they leave is
+    compared whole. Nothing is dropped: a pair within one component can add no
+    link that matters, and a sketch never counts more differences than there are.
     """
     spark, p = df.sparkSession, params
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sets' names, and shingles common in a block of texts."""
+        """Sets' names and sketches, and shingles common in a block of texts."""
         held: list[np.ndarray] = []
         size, seen = 0, set()
 
@@ -125,7 +131,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     surveyed = cut(docs.mapInPandas(survey, "id long, n long, k1 long, k2 long, sketch binary"))
     named = surveyed.where("n is not null")
-    counts = named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
+    counts = cut(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
     texts = counts.count()
     table = surveyed.where("n is null").groupBy("k1").agg(F.sum("k2").alias("f")).orderBy(F.desc("f"), "k1").limit(p.table).toPandas()
     table = table.sort_values(["f", "k1"])  # rank = place in this order
@@ -164,98 +170,161 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
                 if ids:
                     yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
 
-    sigs = docs.mapInPandas(signatures, "sig long, id long, n int").where("sig is not null").repartition("sig")
-    whole = F.struct("id", "n")  # all columns, so that the join below reuses the exchange
-    shared_sig = sigs.groupBy("sig").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x.id < y.id").select("sig")
-    reps = cut(named.where("id is not null and n > 0").join(counts, ["k1", "k2", "n"]).select("id", "rep", "n"))
-    rows = sigs.join(shared_sig, "sig").join(reps, ["id", "n"]).groupBy("sig", F.col("rep").alias("id")).agg(F.min("n").alias("n"))
-    rows = cut(rows)
-    del sigs, shared_sig
+    sigs = cut(docs.mapInPandas(signatures, "sig long, id long, n int").where("sig is not null"))
+    twice = cut(sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"))
+    reps = cut(named.where("id is not null and n > 0").join(counts.drop("sketch"), ["k1", "k2", "n"]).select("id", "rep", "n"))
+    rows = cut(sigs.join(bounded(twice, p), "sig").join(reps, ["id", "n"]).groupBy("sig", F.col("rep").alias("id")).agg(F.min("n").alias("n")))
+    marks = cut(counts.where("n > 0").select(F.col("rep").alias("id"), "n", "sketch").join(rows.select("id", "n").distinct(), ["id", "n"]))
+    for done in (sigs, twice, counts):
+        drop_cut(done)
     free_shuffles(spark)
-    lead = rows.groupBy("sig").agg(F.min(F.struct("n", "id")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
+
+    lead = rows.groupBy("sig").agg(F.min(F.struct("n", "id")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), "m")
+    lead = cut(lead)
     stars = rows.join(lead, "sig").where("id <> a").where(close("na", "n", p)).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("votes"))
-    best = stars.groupBy("b").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("votes", "a")))), 1, p.leaders).alias("l")) if p.leaders > 1 else stars.groupBy("b").agg(F.array(F.max(F.struct("votes", "a"))).alias("l"))
-    pairs = cut(best.select(F.explode("l.a").alias("a"), "b"))
-    links = cut(verify(pairs, docs, p))
-    free_shuffles(spark)
+    best = stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("l")).select(F.least("l.a", "b").alias("a"), F.greatest("l.a", "b").alias("b"))
+    crowded = rows.join(lead.where(F.col("m") > p.small).select("sig", "m"), "sig").withColumn("r", F.col("id"))
+    first = cut(best.union(met(crowded, marks, p, p.leaders)).distinct())
+    links = verified(first, docs, p)
+    drop_cut(lead)
+    drop_cut(first)
+
     roots = components(links)
-    labelled = rows.join(roots.withColumnRenamed("root", "r"), "id", "left").withColumn("r", F.coalesce("r", "id"))
-    mixed = labelled.groupBy("sig").agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x < y").select("sig")
-    rest = cut(labelled.join(mixed, "sig"))
-    other = rest.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    across = rest.join(other, "sig").where("r < rb").where(close("n", "nb", p)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = possible(cut(across.join(ordered, ["a", "b"], "left_anti")), named, p)
-    more = cut(verify(cut(near), docs, p))
+    labelled = cut(rows.join(roots.withColumnRenamed("root", "r"), "id", "left").withColumn("r", F.coalesce("r", "id")))
+    mixed = labelled.groupBy("sig").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("m")).where("x < y").select("sig", "m")
+    rest = cut(labelled.join(bounded(cut(mixed), p), "sig"))
+    few = rest.where(F.col("m") <= p.small).select("sig", "id", "n", "r")
+    other = few.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    across = few.join(other, "sig").where("r < rb").where(close("n", "nb", p)).select(F.struct("id", "n").alias("x"), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")).alias("y")).distinct()
+    near = cut(possible(across, marks, p).union(met(rest.where(F.col("m") > p.small), marks, p)).distinct())
+    more = verified(near, docs, p)
     same = reps.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(links.union(more).union(same))
-    drop_cut(rows)
-    drop_cut(rest)
+    for done in (rows, marks, roots, labelled, rest, near, links, more, reps):
+        drop_cut(done)
     out = named.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
 
 
+def bounded(df: DataFrame, p: JoinParams) -> DataFrame:
+    """``df``, of at most 16 bytes a row, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= p.broadcast_ids else df
+
+
 def close(n: str, m: str, p: JoinParams):
     """Sizes that a link allows."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * p.percent
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many of the set's hashes fall into each of 256 cells."""
-    return np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    """Parities of how many of the set's hashes fall into each cell, a bit a cell; a power of two of cells, two for each hash."""
+    cells = 1 << min(13, max(7, int(len(s)).bit_length() + 1))
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def possible(pairs: DataFrame, named: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs whose cells allow a link: two sets share at most the lesser count of each cell. A full cell allows anything."""
-    cells = named.where("id is not null").select("id", F.col("n").alias("m"), "sketch")
+def halved(x: np.ndarray) -> np.ndarray:
+    """Sketches of half as many cells."""
+    return x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, 256) for c in ("x", "y"))
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            fine = (100 * most >= p.percent * (pdf["nx"].to_numpy() + pdf["ny"].to_numpy() - most)) | ((x == 255) & (y == 255)).any(axis=1)
-            yield pdf.loc[fine, ["a", "b"]]
 
-    both = pairs.join(cells.toDF("a", "nx", "x"), "a").join(cells.toDF("b", "ny", "y"), "b")
-    return both.mapInPandas(test, "a long, b long").distinct()
+def apart(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, p: JoinParams) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` differ in too many hashes for a link: in no fewer than the odd cells of both sketches."""
+    least = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return least * (100 + p.percent) > (n + m) * (100 - p.percent)
+
 
+def met(rows: DataFrame, marks: DataFrame, p: JoinParams, leaders: int | None = None) -> DataFrame:
+    """``a, b``: texts of a signature, in different components ``r``, that sizes and sketches allow to link.
 
-def packed(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash: what tells the shingles of two texts apart."""
-    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    ``rows(sig, id, n, r, m)``: ``m`` texts share the signature and are dealt to
+    parts by hash; each two parts meet in one group, whose size is bounded.
+    ``leaders`` limits one side to the first of a part, in hash order.
+    """
+    parts = F.ceil(F.col("m") / p.square).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int")
+    dealt = rows.join(marks, ["id", "n"]).withColumn("parts", parts).withColumn("part", own)
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least("part", t).alias("i"), F.greatest("part", t).alias("j")))
+    cells = dealt.select("sig", F.inline(meets), "part", "id", "n", "r", F.xxhash64("id").alias("h"), "sketch")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
+        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        size = pdf["sketch"].map(len).to_numpy()
+        part, ids, n, r = (pdf[c].to_numpy() for c in ("part", "id", "n", "r"))
+        place = np.zeros(len(pdf), np.int64)  # in its part
+        for k in np.unique(part):
+            place[part == k] = np.arange((part == k).sum())
+        a, b = [], []
+        for length in np.unique(size):
+            left = np.flatnonzero((size == length) & (place < (leaders or len(pdf))))
+            for other in (length, 2 * length) if leaders is None else (length // 2, length, 2 * length):
+                right = np.flatnonzero(size == other)
+                if not len(left) or not len(right):
+                    continue
+                x, y = (np.frombuffer(b"".join(pdf["sketch"].iloc[k]), np.uint8).reshape(len(k), -1) for k in (left, right))
+                x, y = (halved(x) if other < length else x).view(np.uint64), (halved(y) if other > length else y).view(np.uint64)
+                for at in range(0, len(left), step := max(1, (1 << 21) // y.size)):
+                    u = left[at : at + step]
+                    fine = ~apart(x[at : at + step, None], y[None], n[u][:, None], n[right][None], p)
+                    fine &= (r[u][:, None] != r[right]) & (100 * np.minimum(n[u][:, None], n[right]) >= p.percent * np.maximum(n[u][:, None], n[right]))
+                    if not one:
+                        fine &= part[u][:, None] != part[right]
+                    i, j = np.nonzero(fine)
+                    a.append(ids[u[i]])
+                    b.append(ids[right[j]])
+        if not a:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return cells.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def possible(pairs: DataFrame, marks: DataFrame, p: JoinParams) -> DataFrame:
+    """``a, b``: those of ``pairs(x, y)``, texts with their sizes, that the sketches allow to link."""
 
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lx, ly = pdf["sx"].map(len).to_numpy(), pdf["sy"].map(len).to_numpy()
+            fine = np.ones(len(pdf), bool)
+            for u, v in {*zip(lx.tolist(), ly.tolist())}:
+                k = np.flatnonzero((lx == u) & (ly == v))
+                if max(u, v) <= 2 * min(u, v):
+                    x, y = (np.frombuffer(b"".join(pdf[c].iloc[k]), np.uint8).reshape(len(k), -1) for c in ("sx", "sy"))
+                    x, y = (halved(x) if u > v else x).view(np.uint64), (halved(y) if v > u else y).view(np.uint64)
+                    fine[k] = ~apart(x, y, pdf["nx"].to_numpy()[k], pdf["ny"].to_numpy()[k], p)
+            yield pdf.loc[fine, ["a", "b"]]
 
-def unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    ends = marks.select("id", "n", "sketch")
+    both = pairs.select(F.col("x.id").alias("a"), F.col("x.n").alias("nx"), F.col("y.id").alias("b"), F.col("y.n").alias("ny")).join(ends.toDF("a", "nx", "sx"), ["a", "nx"]).join(ends.toDF("b", "ny", "sy"), ["b", "ny"])
+    return both.select("a", "b", "nx", "ny", "sx", "sy").mapInPandas(test, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
+    """Those of the table ``pairs(a, b)`` whose whole sets are similar enough, as a table."""
     wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in slices(pdf):
-                yield pd.DataFrame({"id": part["id"], "set": [packed(s) for s in shingle_sets(list(part["text"]), p.words)]})
+                yield pd.DataFrame({"id": part["id"], "set": [s.tobytes() for s in shingle_sets(list(part["text"]), p.words)]})
 
-    if wanted.count() <= p.broadcast_ids:
-        wanted = F.broadcast(wanted)
-    sets = cut(docs.join(wanted, "id", "left_semi").mapInPandas(fetch, "id long, set binary"))
+    sets = cut(docs.join(bounded(wanted, p), "id", "left_semi").mapInPandas(fetch, "id long, set binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = unpacked(x), unpacked(y)
-                both = np.concatenate((x, y))
+                both = np.frombuffer(x + y, np.uint64).copy()
                 both.sort(kind="stable")
                 i = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * i >= p.percent * (len(x) + len(y) - i))
+                keep.append(100 * i >= p.percent * (len(both) - i))
             yield pdf.loc[keep, ["a", "b"]]
 
     left = pairs.join(sets.toDF("a", "x"), "a")
-    return left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+    links = cut(left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
+    drop_cut(wanted)
+    drop_cut(sets)
+    free_shuffles(docs.sparkSession)
+    return links

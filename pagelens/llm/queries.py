@@ -24,7 +24,7 @@ def held_out(key: str = "doc_id") -> Column:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN).drop("text"), RANKS, public_tokenizers.PATTERN)
+    coded = bpe.bpe_round_trip(docs, RANKS, public_tokenizers.PATTERN)
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -21,13 +21,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base`` to the powers 0 to ``n - 1``; tables of up to 4M entries are kept."""
+    """``base`` to the powers 0 to ``n - 1``; tables of up to 1M entries (8 MB) are kept."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 22:
+        if n <= 1 << 20:
             _POWERS[int(base)] = have
     return have[:n]
 
