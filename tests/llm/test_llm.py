@@ -134,8 +134,8 @@ def test_language_and_quality(spark):
 def test_transforms_merge(shards):
     rng = np.random.default_rng(shards)
     parts = [rng.integers(97, 99, 160, dtype=np.uint8).tobytes() for _ in range(9)] + [b"ab" * 80, b"ab" * 80]
-    p = suffix_dedup.RepeatParams(length=20, gram=8, symbol=10, shard=-(-len(parts) // shards))
-    seg, off, block = suffix_dedup.equal_strings(parts, p)
+    grid = np.stack([np.frombuffer(x, np.uint8) for x in parts]).astype(np.uint32)
+    seg, off, block = suffix_dedup.equal_strings(grid, np.zeros(len(parts), int), np.full(len(parts), 160), 20, -(-len(parts) // shards))
     by_block, by_bytes = {}, {}
     for s, o, b in zip(seg.tolist(), off.tolist(), block.tolist()):
         by_block.setdefault(b, set()).add((s, o))
