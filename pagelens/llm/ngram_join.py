@@ -170,19 +170,21 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text: str = "text"
                 if ids:
                     yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
 
-    sigs = cut(docs.mapInPandas(signatures, "sig long, id long, n int").where("sig is not null"))
-    twice = cut(sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"))
     reps = cut(named.where("id is not null and n > 0").join(counts.drop("sketch"), ["k1", "k2", "n"]).select("id", "rep", "n"))
+    spoken = cut(reps.groupBy("id").agg(F.min(F.col("id") != F.col("rep")).alias("copy")).where("copy").select("id"))  # another document stands for each of its sets
+    sigs = cut(docs.join(bounded(spoken, p), "id", "left_anti").mapInPandas(signatures, "sig long, id long, n int").where("sig is not null"))
+    twice = cut(sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"))
     rows = cut(sigs.join(bounded(twice, p), "sig").join(reps, ["id", "n"]).groupBy("sig", F.col("rep").alias("id")).agg(F.min("n").alias("n")))
     marks = cut(counts.where("n > 0").select(F.col("rep").alias("id"), "n", "sketch").join(rows.select("id", "n").distinct(), ["id", "n"]))
-    for done in (sigs, twice, counts):
+    for done in (sigs, twice, counts, spoken):
         drop_cut(done)
     free_shuffles(spark)
 
     lead = rows.groupBy("sig").agg(F.min(F.struct("n", "id")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), "m")
     lead = cut(lead)
-    stars = rows.join(lead, "sig").where("id <> a").where(close("na", "n", p)).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("votes"))
-    best = stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("l")).select(F.least("l.a", "b").alias("a"), F.greatest("l.a", "b").alias("b"))
+    ends = F.struct("id", "n").alias("y")
+    stars = rows.join(lead, "sig").where("id <> a").where(close("na", "n", p)).groupBy(F.struct(F.col("a").alias("id"), F.col("na").alias("n")).alias("x"), ends).agg(F.count("*").alias("votes"))
+    best = possible(stars.groupBy("y").agg(F.max(F.struct("votes", "x")).alias("l")).select("l.x", "y"), marks, p)
     crowded = rows.join(lead.where(F.col("m") > p.small).select("sig", "m"), "sig").withColumn("r", F.col("id"))
     first = cut(best.union(met(crowded, marks, p, p.leaders)).distinct())
     links = verified(first, docs, p)
@@ -228,18 +230,27 @@ def halved(x: np.ndarray) -> np.ndarray:
     return x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
 
 
-def apart(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, p: JoinParams) -> np.ndarray:
-    """Whether sets of sizes ``n`` and ``m`` differ in too many hashes for a link: in no fewer than the odd cells of both sketches."""
-    least = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many hashes two sets differ at least: the odd cells of both sketches."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def apart(least: np.ndarray, n: np.ndarray, m: np.ndarray, p: JoinParams) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` differ in too many hashes for a link."""
     return least * (100 + p.percent) > (n + m) * (100 - p.percent)
 
 
+#: Leaders, the most similar ones, that each text is compared with before all texts are.
+NEAREST = 2
+
+
 def met(rows: DataFrame, marks: DataFrame, p: JoinParams, leaders: int | None = None) -> DataFrame:
     """``a, b``: texts of a signature, in different components ``r``, that sizes and sketches allow to link.
 
     ``rows(sig, id, n, r, m)``: ``m`` texts share the signature and are dealt to
     parts by hash; each two parts meet in one group, whose size is bounded.
-    ``leaders`` limits one side to the first of a part, in hash order.
+    ``leaders`` limits one side to the first of a part, in hash order, and then
+    to the nearest of them: a first step that merges most, never the last.
     """
     parts = F.ceil(F.col("m") / p.square).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int")
@@ -255,7 +266,7 @@ def met(rows: DataFrame, marks: DataFrame, p: JoinParams, leaders: int | None =
         place = np.zeros(len(pdf), np.int64)  # in its part
         for k in np.unique(part):
             place[part == k] = np.arange((part == k).sum())
-        a, b = [], []
+        a, b, odd = [], [], []
         for length in np.unique(size):
             left = np.flatnonzero((size == length) & (place < (leaders or len(pdf))))
             for other in (length, 2 * length) if leaders is None else (length // 2, length, 2 * length):
@@ -266,16 +277,23 @@ def met(rows: DataFrame, marks: DataFrame, p: JoinParams, leaders: int | None =
                 x, y = (halved(x) if other < length else x).view(np.uint64), (halved(y) if other > length else y).view(np.uint64)
                 for at in range(0, len(left), step := max(1, (1 << 21) // y.size)):
                     u = left[at : at + step]
-                    fine = ~apart(x[at : at + step, None], y[None], n[u][:, None], n[right][None], p)
+                    least = differ(x[at : at + step, None], y[None])
+                    fine = ~apart(least, n[u][:, None], n[right][None], p)
                     fine &= (r[u][:, None] != r[right]) & (100 * np.minimum(n[u][:, None], n[right]) >= p.percent * np.maximum(n[u][:, None], n[right]))
                     if not one:
                         fine &= part[u][:, None] != part[right]
                     i, j = np.nonzero(fine)
                     a.append(ids[u[i]])
                     b.append(ids[right[j]])
+                    odd.append(least[i, j])
         if not a:
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         a, b = np.concatenate(a), np.concatenate(b)
+        if leaders:
+            order = np.lexsort((np.concatenate(odd), b))
+            a, b = a[order], b[order]
+            near = np.arange(len(b)) - np.searchsorted(b, b) < NEAREST
+            a, b = a[near], b[near]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return cells.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long")
@@ -293,7 +311,7 @@ def possible(pairs: DataFrame, marks: DataFrame, p: JoinParams) -> DataFrame:
                 if max(u, v) <= 2 * min(u, v):
                     x, y = (np.frombuffer(b"".join(pdf[c].iloc[k]), np.uint8).reshape(len(k), -1) for c in ("sx", "sy"))
                     x, y = (halved(x) if u > v else x).view(np.uint64), (halved(y) if v > u else y).view(np.uint64)
-                    fine[k] = ~apart(x, y, pdf["nx"].to_numpy()[k], pdf["ny"].to_numpy()[k], p)
+                    fine[k] = ~apart(differ(x, y), pdf["nx"].to_numpy()[k], pdf["ny"].to_numpy()[k], p)
             yield pdf.loc[fine, ["a", "b"]]
 
     ends = marks.select("id", "n", "sketch")
