@@ -21,10 +21,12 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 HINT = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}"}
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
 BASE = ("email", "ip", "card", "phone")
-#: Score before context, words that raise it, and how far before the span they count (characters).
+#: Score before context, words that raise it, and how far before the span they count (characters, back to the second match before).
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
 CONTEXT = {"email": "mail|contact|kontakt|correo", "ip": r"\bip\b|address|host|server", "card": "card|visa|credit|karte|tarjeta|carte", "phone": "phone|call|tel|mobile|fax", "iban": "iban|bank|konto|account", "ssn": "ssn|social|security"}
 CONTEXT_CHARS, CONTEXT_GAIN = 48, 0.1
+#: Values of an array that are gone through at a time.
+PART = 256
 #: An added kind stays only at this score.
 LEAST_SCORE = 0.5
 
@@ -58,26 +60,49 @@ def valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join, kind: str) -> Column:
+    """For each place what ``join`` makes of 0 and all values before it, as an array.
+
+    An array that grows by one at a time is copied each time, so parts of
+    ``PART`` values are gone through alone and then shifted by what stands
+    before them.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(F.lit(0).cast(kind).alias("at"), none.alias("all"))
+    step = lambda acc, v: F.struct(join(acc["at"], v).cast(kind).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+    cut = lambda vs: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(vs) / PART).cast("int") - 1, F.lit(0))), lambda k: F.slice(vs, k * PART + 1, F.lit(PART)))
+    inside = lambda parts: F.transform(parts, lambda part: F.aggregate(part, start, step))
+    before = lambda done: F.aggregate(done, start, lambda acc, x: step(acc, x["at"]), lambda acc: acc["all"])
+    shifted = lambda done: F.flatten(F.zip_with(done, before(done), lambda x, o: F.transform(x["all"], lambda v: join(o, v).cast(kind))))
+    return once(values, lambda vs: F.when(F.size(vs) == 0, none).otherwise(once(inside(cut(vs)), shifted)))
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """``array<struct<kind,start,end,score>>`` of one kind, in code points, end exclusive."""
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)  # one more than matches: gap, match, gap, ...
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    more = lambda acc, x: F.concat(acc["all"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["g"]).alias("start"))))
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int>>").alias("all")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + F.length(x["m"])).alias("at"), F.when(valid(kind, x["m"]), more(acc, x)).otherwise(acc["all"]).alias("all")),
-        lambda acc: acc["all"],
-    )
-
-    def scored(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS))))
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), score.alias("score"))
-
-    out = F.transform(placed, scored)
+    last = lambda s: F.substring(s, -CONTEXT_CHARS, CONTEXT_CHARS)
+    pairs = once(found, lambda ms: F.zip_with(ms, F.slice(gaps, F.lit(1), F.size(ms)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), F.length(g).alias("g"), last(g).alias("t"))))
+
+    def scored(x: Column, at: Column, i: Column, all_pairs: Column) -> Column:
+        back = lambda k: F.get(all_pairs, i - k)
+        said = F.concat_ws("", back(2)["t"], back(2)["m"], back(1)["t"], back(1)["m"], x["t"])
+        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(F.lower(last(said)).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0))
+        start = at + x["g"]
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("end"), score.alias("score"))
+
+    def spans(ps: Column) -> Column:
+        begun = running(F.transform(ps, lambda x: x["g"] + x["n"]), lambda a, b: a + b, "int")
+        both = F.zip_with(ps, begun, lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+        return F.filter(F.transform(both, lambda y, i: F.when(valid(kind, y["x"]["m"]), scored(y["x"], y["at"], i, ps))), lambda s: s.isNotNull())
+
+    out = once(pairs, spans)
     if kind not in BASE:
         out = F.filter(out, lambda x: x["score"] >= LEAST_SCORE)
     return F.when(text.rlike(HINT[kind]), out).otherwise(empty)
@@ -96,14 +121,20 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 
 def redact_pii(df: DataFrame, text: str = "text", spans: str = "pii", out: str = "redacted") -> DataFrame:
-    """Add ``out``: the text with each span replaced by its kind in brackets; overlapping spans merge into the first."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    ordered = F.array_sort(F.transform(F.col(spans), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("s")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["s"].alias("s"))).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["s"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")).alias("s"))
-        ),
-    )
-    return df.withColumn("__r", done).withColumn(out, F.concat("__r.s", F.substring(t, F.col("__r.at") + 1, F.length(t)))).drop("__r")
+    """Add ``out``: the text with each span replaced by its kind in brackets; overlapping spans merge into the first.
+
+    Null texts count as empty, null spans as none. A column named ``out`` is
+    replaced, all others stay.
+    """
+    units = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-32")  # four bytes a code point, so any part is reached at once
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    ordered = F.array_sort(F.transform(F.coalesce(F.col(f"`{spans}`"), F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    part = lambda u, a, b: F.decode(F.substring(u, a * 4 + 1, (b - a) * 4), "UTF-32")
+
+    def pieces(u: Column, all_spans: Column) -> Column:
+        ends = running(F.transform(all_spans, lambda x: x["end"]), F.greatest, "int")
+        each = F.zip_with(all_spans, ends, lambda x, e: F.when(x["start"] >= e, F.concat(part(u, e, x["start"]), F.lit("["), x["kind"], F.lit("]"))))
+        rest = F.coalesce(F.array_max(F.transform(all_spans, lambda x: x["end"])), F.lit(0))
+        return F.concat(F.array_join(each, ""), part(u, rest, (F.octet_length(u) / 4).cast("int")))
+
+    return df.withColumn(out, once(units, lambda u: once(F.coalesce(ordered, none), lambda s: pieces(u, s))))
