@@ -198,7 +198,8 @@ def near_duplicate_embeddings(df: DataFrame, id_col: str = "vec_id", vector: str
     shard gives pruned adjacency lists; the lists of a node are united; each
     node is searched in its home shard. Links are verified by exact cosines and
     leave a task as counts and a spanning forest, never as pairs. A bounded
-    audit compares with brute force; below ``least_recall`` the overlap doubles.
+    audit always compares with brute force; below ``least_recall`` the overlap
+    doubles, and where every vector is in every shard already the call fails.
     """
     bounded_batches(df.sparkSession)
     p = params
@@ -208,8 +209,11 @@ def near_duplicate_embeddings(df: DataFrame, id_col: str = "vec_id", vector: str
     overlap = p.overlap
     while True:
         linked, forest = search_shards(nodes, centroids, overlap, p)
-        if len(centroids) <= overlap or audit_recall(nodes, linked, p) >= p.least_recall:
+        recall = audit_recall(nodes, linked, p)
+        if recall >= p.least_recall:
             break
+        if overlap >= len(centroids):
+            raise RuntimeError(f"the graph search finds {recall:.3f} of the links, less than {p.least_recall}")
         overlap *= 2
     roots = components(forest)
     per_node = nodes.select("key", "rep", "copies").join(linked, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -51,18 +53,20 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
+        self.open = Counter(html=1)  # open elements by tag, so that no walk looks for what is not there
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("html", "body") and any(n.tag == tag for n in self.line()) and tag == "html":
+        if tag == "html":
             return
         if tag in CLOSES_P:
-            self.end({"p"}, {"button", "td", "th", "table", "article", "section", "div", "blockquote", "li"} - {tag})
+            self.end({"p"}, {"button", "td", "th", "table", "article", "section", "div", "blockquote", "li"})
         if tag in IMPLIED:
             self.end(*IMPLIED[tag])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -75,9 +79,14 @@ class Tree(HTMLParser):
 
     def end(self, tags: set[str], until: set[str]) -> None:
         """Close everything up to the innermost open element of ``tags``, unless one of ``until`` is nearer."""
+        if not any(self.open[t] for t in tags):
+            return
+        passed = []
         for n in self.line():
+            passed.append(n.tag)
             if n.tag in tags and n.parent:
                 self.at = n.parent
+                self.open.subtract(passed)
                 return
             if n.tag in until:
                 return
@@ -109,34 +118,53 @@ def named(node: Node) -> set[str]:
     return {w for t in tokens(node) for w in t}
 
 
-def holders(nodes: list[Node]) -> tuple[set[int], set[int]]:
-    """Elements that hold a ``main`` or the article with the most text, and elements that hold the first ``h1`` and a paragraph."""
+@dataclass
+class Page:
+    """What the whole page says of its elements, by identity."""
+
+    whole: set[int]  # holds a main, or the article with the most text
+    headed: set[int]  # holds the first h1 and a paragraph
+    most: set[int]  # holds at least half of the text in paragraphs
+
+
+def survey(nodes: list[Node]) -> Page:
     size: dict[int, int] = {}
+    said: dict[int, int] = {}
     articles, headline = [], None
     for n in reversed(nodes):  # children first
-        size[id(n)] = 0 if n.tag in RAW else sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in n.children)
+        raw = n.tag in RAW
+        size[id(n)] = 0 if raw else sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in n.children)
+        said[id(n)] = size[id(n)] if n.tag == "p" else 0 if raw else sum(said[id(c)] for c in n.children if isinstance(c, Node))
         if n.tag == "article" and not named(n) & NEVER_WORDS:
             articles.append(n)
         headline = n if n.tag == "h1" else headline
     chosen = [n for n in nodes if n.tag == "main"] + ([max(articles, key=lambda n: size[id(n)])] if articles else [])
-    whole = {id(x) for n in chosen for x in up(n.parent)}
-    paragraphs: set[int] = set()
-    for n in nodes:
-        if n.tag == "p":
-            for x in up(n.parent):
-                if id(x) in paragraphs:
-                    break
-                paragraphs.add(id(x))
-    return whole, {id(x) for x in up(headline) if id(x) in paragraphs}
+    whole = above(chosen)
+    paragraphs = above(n for n in nodes if n.tag == "p")
+    half = said[id(nodes[0])] / 2
+    return Page(whole, {id(x) for x in up(headline) if id(x) in paragraphs}, {id(n) for n in nodes if 0 < half <= said[id(n)]})
+
+
+def above(chosen: Iterable[Node]) -> set[int]:
+    """All that holds any of these elements."""
+    out: set[int] = set()
+    for n in chosen:
+        for x in up(n.parent):
+            if id(x) in out:
+                break
+            out.add(id(x))
+    return out
 
 
-def excluded(node: Node, in_article: bool, whole: set[int], headed: set[int]) -> bool:
+def excluded(node: Node, in_article: bool, page: Page) -> bool:
     """Whether a subtree is chrome; an article's own header stays, as does an element that says it is content.
 
     A token such as ``with-sidebar`` says nothing of the element itself. An
     element with words of both kinds (``social-story``, ``comment-body``) is
     content if a token is or ends as one and it holds the headline and a paragraph.
-    What holds the page's main part or article stays, and its children are judged.
+    What holds the page's main part or article, or half of the text in
+    paragraphs, stays and its children are judged. A paragraph or heading goes
+    only by a token of which every word says chrome.
     """
     if node.tag in RAW or node.tag in OUT_TAGS or node.attrs.get("role", "").lower() in OUT_ROLES:
         return True
@@ -148,10 +176,12 @@ def excluded(node: Node, in_article: bool, whole: set[int], headed: set[int]) ->
         return bool(named(node) & NEVER_WORDS) and node.tag == "article"
     out = OUT_WORDS - {"header"} if in_article else OUT_WORDS
     said = [t for t in tokens(node) if t and t[0] not in STATE_WORDS and out.intersection(t)]
-    if not said or id(node) in whole and not any(NEVER_WORDS.intersection(t) for t in said):
+    if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure"):
+        said = [t for t in said if out.issuperset(t)]
+    if not said or (id(node) in page.whole or id(node) in page.most) and not any(NEVER_WORDS.intersection(t) for t in said):
         return False
     own = any(IN_WORDS.issuperset(t) for t in tokens(node) if t) or all(t[-1] in IN_WORDS for t in said)
-    return not (own and id(node) in headed)
+    return not (own and id(node) in page.headed)
 
 
 def blocks(root: Node) -> list[tuple[Node, str]]:
@@ -200,12 +230,12 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     nodes = walk(tree.root)
-    whole, headed = holders(nodes)
+    page = survey(nodes)
     inside: set[int] = set()
     for n in nodes:
         if n.tag in ("article", "main") or n.parent is not None and id(n.parent) in inside:
             inside.add(id(n))
-        n.out = n.parent is not None and (n.parent.out or excluded(n, id(n) in inside, whole, headed))
+        n.out = n.parent is not None and (n.parent.out or excluded(n, id(n) in inside, page))
     for n in reversed(nodes):  # children first
         for c in n.children:
             if isinstance(c, str):

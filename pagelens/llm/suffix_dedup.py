@@ -20,7 +20,7 @@ from pagelens.llm.wordhash import BACK, STEP, mix, powers
 class RepeatParams:
     """``length``: bytes of a repeated string. ``gram``: bytes of an anchor, the
     smallest hash among the grams of such a string. ``shard``: segments of a
-    shard whose transform is built alone. ``bin``: segments merged at a time.
+    shard whose transform is built alone, more in a large bin (16 shards at most). ``bin``: segments merged at a time.
     ``crowd``: segments of a bin beyond which it is split by more of the bytes
     around its core. ``broadcast_ids``: rows of one or two numbers that are
     broadcast rather than shuffled."""
@@ -29,7 +29,7 @@ class RepeatParams:
     gram: int = 32
     shard: int = 128
     bin: int = 512
-    crowd: int = 2048
+    crowd: int = 16_384
     broadcast_ids: int = 2_000_000
 
     @property
@@ -78,7 +78,7 @@ def anchors(data: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
 
 def shard_transform(symbols: np.ndarray, pred: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of one shard in the order of their first ``rounds`` symbols, and the symbol before each (the transform)."""
-    order = np.arange(len(symbols))
+    order = np.arange(len(symbols), dtype=np.int32)
     for _ in range(rounds):
         before = pred[order]
         order = before[np.argsort(symbols[before], kind="stable")]
@@ -94,14 +94,14 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndar
     prefix of ``h - 1``. The suffixes themselves are never sorted again.
     """
     z = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    block = np.zeros(len(z), np.int64)
+    block = np.zeros(len(z), np.int32)
     for _ in range(rounds):
         read = np.empty(len(z), transforms[0].dtype)
         for s, t in enumerate(transforms):
             read[z == s] = t
         deal = np.argsort(read, kind="stable")
         z, old, c = z[deal], block[deal], read[deal]
-        block = np.r_[0, np.cumsum((c[1:] != c[:-1]) | (old[1:] != old[:-1]))]
+        block = np.r_[0, np.cumsum((c[1:] != c[:-1]) | (old[1:] != old[:-1]), dtype=np.int32)].astype(np.int32)
     return z, block
 
 
@@ -118,9 +118,10 @@ def equal_strings(grid: np.ndarray, low: np.ndarray, high: np.ndarray, length: i
     h = run_hashes(flat, g)
     h = np.r_[h, np.zeros(len(flat) - len(h), np.uint64)].reshape(grid.shape)[:, : width - g + 1]
     _, names = np.unique(h, return_inverse=True)
-    names = names.reshape(h.shape) + 1
+    names = names.reshape(h.shape).astype(np.int32) + 1
+    del h
     cells = names.shape[1] + g  # each residue of g is a chain of symbols that ends in symbol 0
-    sym = np.zeros((n, cells), np.uint16 if names.max() < 65535 else np.int64)
+    sym = np.zeros((n, cells), np.uint16 if names.max() < 65535 else np.int32)
     sym[:, : names.shape[1]] = names
     place = np.arange(cells)
     before = place - g
@@ -128,12 +129,12 @@ def equal_strings(grid: np.ndarray, low: np.ndarray, high: np.ndarray, length: i
     orders, transforms = [], []
     for a in range(0, n, shard):
         m = min(shard, n - a)
-        pred = (np.arange(m)[:, None] * cells + before).ravel()
+        pred = (np.arange(m)[:, None] * cells + before).ravel().astype(np.int32)
         order, bwt = shard_transform(sym[a : a + m].ravel(), pred, rounds)
         orders.append(order + a * cells)
         transforms.append(bwt)
     z, block = merge_transforms(transforms, rounds)
-    suffix = np.empty(len(z), np.int64)
+    suffix = np.empty(len(z), np.int32)
     for k, o in enumerate(orders):
         suffix[z == k] = o
     row, off = suffix // cells, suffix % cells
@@ -165,7 +166,7 @@ def repeated_in(rows: pd.DataFrame, extra: int, p: RepeatParams) -> pd.DataFrame
         grid[k, extra] = 256 + cores.setdefault(b[x : x + size], len(cores))
         stop[k] = extra + 1 + len(b) - x - size
         grid[k, extra + 1 : stop[k]] = np.frombuffer(b, np.uint8, len(b) - x - size, x + size)
-    row, off, block = equal_strings(grid, extra - lead, stop, extra + 1, p.shard)
+    row, off, block = equal_strings(grid, extra - lead, stop, extra + 1, max(p.shard, -(-n // 16)))
     doc, th, start = rows["doc"].to_numpy()[row], rows["th"].to_numpy()[row], rows["core"].to_numpy()[row] - extra + off
     order = np.lexsort((start, doc, block))
     doc, th, start, block = doc[order], th[order], start[order], block[order]
@@ -252,7 +253,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", pa
     side = larger(p.extra)  # bytes of a string at one side of its anchor at least
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Around each anchor: the name of the bytes, and bins of the anchor with the bytes at either side."""
+        """Around each anchor: the name of the bytes with its place in them, and bins of the anchor with the bytes at either side."""
         for pdf in batches:
             for part in slices(pdf, 1 << 17):
                 out: list[tuple[np.ndarray, ...]] = []
@@ -267,7 +268,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", pa
                     no_left, no_right = left < 0, right > len(data)
                     before = one.of(np.where(no_left, 0, left), at + p.gram) ^ np.uint64(1)
                     after = one.of(at, np.where(no_right, at, right)) ^ np.uint64(2)
-                    out.append((one.of(a, z) + (z - a).astype(np.uint64), Runs(data, OTHER, UNDO).of(a, z), np.full(len(at), doc), np.full(len(at), th), at, z - a, before, no_left, after, no_right))
+                    out.append((one.of(a, z) + ((z - a) << 16 | (at - a)).astype(np.uint64), Runs(data, OTHER, UNDO).of(a, z), np.full(len(at), doc), np.full(len(at), th), at, z - a, before, no_left, after, no_right))
                 k1, k2, doc, th, at, size, before, no_left, after, no_right = map(np.concatenate, zip(*out))
                 yield pd.DataFrame(
                     {"k1": k1.view(np.int64), "k2": k2.view(np.int64), "doc": doc, "th": th, "at": at, "size": size, "left": pd.arrays.IntegerArray(before.view(np.int64), no_left), "right": pd.arrays.IntegerArray(after.view(np.int64), no_right)}
@@ -309,14 +310,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", pa
     held = cut(fetched)
     drop_cut(own)
     while True:
-        crowds = cut(held.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > p.crowd).select("bin"))
+        crowds = cut(held.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > p.crowd).select("bin", "n"))
         none = crowds.isEmpty()
+        marked = held if none else held.join(bounded(crowds, p), "bin", "left")
         if extra:
-            calm = held if none else held.join(bounded(crowds, p), "bin", "left_anti")
+            calm = held if none else marked.where("n is null").drop("n")
             found_spans.append(cut(calm.repartition("bin").sortWithinPartitions("bin").mapInPandas(merging(extra, p), "doc long, th long, a int, z int")))
         if none and extra:
             break
-        busy = held.join(bounded(crowds, p), "bin", "left_semi")
+        busy = marked.where("n is not null").drop("n")
         if not extra:  # a core is a string
             source = held.groupBy("bytes").agg(F.min(F.struct("doc", "core")).alias("first"))
             again = held.join(source, "bytes").where(F.struct("doc", "core") != F.col("first"))
