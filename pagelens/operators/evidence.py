@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
-from pagelens.operators.structure import attr, inner_text, is_control, text_blocks
+from pagelens.operators.structure import accessible_names, attr, inner_text, is_control, text_blocks
 
 #: Tiers, best first, and how many sources of each a page keeps.
 TIERS = {"declared": 1200, "labeled": 800, "proximate": 800, "hint": 900}
@@ -102,3 +102,51 @@ def rollup_fields(results: DataFrame) -> DataFrame:
 def lead_of(nodes: DataFrame, least: int = 120) -> DataFrame:
     """First paragraph of ``least`` characters of each page."""
     return text_blocks(nodes).where((F.col("tag") == "p") & (F.length("text") >= least)).groupBy("page_id").agg(F.min_by("text", "start").alias("lead"))
+
+
+#: Least characters of both keys, and least share of the longer one that the shorter makes up, for a part to count.
+PART_CHARS, PART_SHARE = 4, 0.2
+
+
+def field_sources(nodes: DataFrame, leaves: DataFrame | None = None, most: int = 800) -> DataFrame:
+    """``page_id, seq, key, value, by``: what a page names by itself, at most ``most`` a page.
+
+    In order of kind: JSON-LD leaves of up to two levels, metas, microdata,
+    definition lists, rows of two cells, labelled fields that hold no secret.
+    """
+    order = ("json-ld", "meta", "microdata", "dl", "row", "form-field")
+    found = evidence(nodes, None).where(F.col("by").isin(*order)).select("page_id", "seq", "key", "value", "by")
+    if leaves is not None:
+        found = found.unionByName(leaves.where(F.size(F.split("path", r"\.")) <= 2).select("page_id", F.lit(-1).alias("seq"), F.col("path").alias("key"), F.left("value", F.lit(VALUE_CHARS)).alias("value"), F.lit("json-ld").alias("by")))
+    kind = F.lower(F.coalesce(attr("type"), F.lit("")))
+    secret = kind.isin("password", "hidden") | F.coalesce(F.lower(attr("autocomplete")).rlike("current-password|new-password|one-time-code"), F.lit(False))
+    fields = accessible_names(nodes, nodes.where(F.col("tag").isin("input", "textarea") & ~secret & (F.coalesce(attr("value"), F.lit("")) != "")))
+    found = found.unionByName(fields.where("name <> ''").select("page_id", F.col("node_id").alias("seq"), F.col("name").alias("key"), attr("value").alias("value"), F.lit("form-field").alias("by")))
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("by"))
+    ranked = found.where("key <> '' and value <> ''").withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy(rank, "seq", "key")))
+    return ranked.where(F.col("n") <= most).select("page_id", F.col("n").alias("seq"), "key", "value", "by")
+
+
+def extract_fields(sources: DataFrame, fields: DataFrame) -> DataFrame:
+    """One row per page and field of ``fields(name, hint)``, a small broadcast table: ``found, value, by, matched_key, quality, others``.
+
+    ``sources(page_id, seq, key, value, by)``; of keys equal in letters and
+    digits the first counts. The name decides before the hint, an equal key
+    before a part. A part is one key inside the other, both of ``PART_CHARS``
+    or more and the shorter at least ``PART_SHARE`` of the longer; parts are
+    ranked by share, then length, then key, and up to three others are named.
+    A page without sources has no rows.
+    """
+    first = sources.withColumn("norm", T.norm_key(F.col("key"))).where("norm <> ''").groupBy("page_id", "norm").agg(F.min(F.struct("seq", "key", "value", "by")).alias("s"))
+    asked = F.broadcast(fields.select("name", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("name").alias("text")), F.struct(F.lit(1).alias("turn"), F.coalesce("hint", F.lit("")).alias("text")))).alias("q")).select("name", "q.turn", T.norm_key(F.col("q.text")).alias("needle")).where("needle <> ''"))
+    shorter, longer = F.least(F.length("norm"), F.length("needle")), F.greatest(F.length("norm"), F.length("needle"))
+    share = shorter / longer
+    equal = F.col("norm") == F.col("needle")
+    part = (shorter >= PART_CHARS) & (share >= PART_SHARE) & (F.contains("norm", F.col("needle")) | F.contains("needle", F.col("norm")))
+    hits = first.join(asked, equal | part).select("page_id", "name", F.struct("turn", (~equal).cast("int").alias("partly"), (-share).alias("share"), (-shorter).alias("overlap"), "norm", "s").alias("m"))
+    ranked = hits.withColumn("n", F.row_number().over(W.partitionBy("page_id", "name").orderBy("m.turn", "m.partly", "m.share", "m.overlap", "m.norm")))
+    best = ranked.where("n = 1").select("page_id", "name", "m.turn", "m.partly", "m.s")
+    others = ranked.join(best.where("partly = 1").select("page_id", "name", "turn"), ["page_id", "name"]).where((F.col("n").between(2, 4)) & (F.col("m.turn") == F.col("turn"))).groupBy("page_id", "name").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", F.col("m.s.key").alias("key"))))["key"], ",").alias("others"))
+    every = sources.select("page_id").distinct().crossJoin(F.broadcast(fields.select("name")))
+    j = every.join(best, ["page_id", "name"], "left").join(others, ["page_id", "name"], "left")
+    return j.select("page_id", "name", F.col("s").isNotNull().alias("found"), "s.value", "s.by", F.col("s.key").alias("matched_key"), F.when(F.col("partly") == 0, "exact").when(F.col("partly") == 1, "partial").alias("quality"), "others")

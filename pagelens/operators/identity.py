@@ -54,19 +54,47 @@ def mark_gone(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.where(~F.coalesce("scoped", F.lit(False))).join(after.select("handle", "ref"), ["handle", "ref"], "left_anti").select("handle", "ref", F.col("anchor.role").alias("role"), F.col("anchor.name").alias("name"))
 
 
-def resolve_refs(asked: DataFrame, current: DataFrame) -> DataFrame:
-    """Outcome of each ``asked(ref, role, name, landmark, key)`` against ``current(ref, role, name, landmark, key)``.
-
-    ``OK`` on a key hit with equal role and name, ``REBOUND`` on a key hit with
-    another name, or a single match of role and name in the landmark or
-    anywhere; ``AMBIGUOUS`` on several, ``STALE`` on none.
+def resolve_refs(asked: DataFrame, registry: DataFrame, current: DataFrame, state: DataFrame, across_urls: bool = False) -> DataFrame:
+    """``handle, ref, outcome, tier, now``: what each asked ref means on its page as it is now.
+
+    ``asked(handle, ref)``; ``registry(ref, minted_on, url, turn_local, gone,
+    role, name, landmark, landmark_label, key)``, one row per ref ever minted;
+    ``current(handle, ref, role, name, landmark, landmark_label, key)``, the
+    units of each page now; ``state(handle, url, modal)``, a row per page. In
+    order: ``MODAL`` behind a dialog, ``NOT_FOUND`` if never minted,
+    ``BAD_PARAMS`` if minted on another page, ``STALE`` if the URL moved (unless
+    ``across_urls``), ``AMBIGUOUS`` for a ref that nothing told apart, ``OK`` on
+    a single key hit of equal role and name, ``REBOUND`` on one with another
+    name, else on a single match of role and name in the landmark, then anywhere
+    on the page; ``AMBIGUOUS`` on several, ``STALE`` on none. A key hit of another
+    role, or for a ref marked gone, does not count. Matches never leave the page:
+    all joins are on the handle, and units are counted before they are joined.
     """
-    by_key = asked.join(current.select("key", F.struct("ref", "role", "name").alias("hit")), "key").where(F.col("hit.role") == F.col("role")).groupBy(asked["ref"]).agg(F.min("hit").alias("key_hit"), F.count("*").alias("key_n"))
-    pair = current.groupBy("role", "name").agg(F.count("*").alias("any_n"), F.min("ref").alias("any_ref"))
-    scoped = current.groupBy("role", "name", "landmark").agg(F.count("*").alias("near_n"), F.min("ref").alias("near_ref"))
-    j = asked.join(by_key, "ref", "left").join(pair, ["role", "name"], "left").join(scoped, ["role", "name", "landmark"], "left")
-    outcome = F.when((F.col("key_n") == 1) & (F.col("key_hit.name") == F.col("name")), "OK").when(F.col("key_n") == 1, "REBOUND").when(F.col("near_n") == 1, "REBOUND").when(F.col("near_n") > 1, "AMBIGUOUS").when(F.col("any_n") == 1, "REBOUND").when(F.col("any_n") > 1, "AMBIGUOUS").otherwise("STALE")
-    return j.select("ref", outcome.alias("outcome"), F.when(outcome.isin("OK", "REBOUND"), F.when(F.col("key_n") == 1, F.col("key_hit.ref")).when(F.col("near_n") == 1, F.col("near_ref")).otherwise(F.col("any_ref"))).alias("now"))
+    place = ["landmark", "landmark_label"]
+    one = lambda *keys: current.groupBy("handle", *keys).agg(F.count("*").alias("n"), F.min(F.struct("ref", "role", "name")).alias("hit"))
+    entry = asked.join(registry, "ref", "left").join(state.select("handle", F.col("url").alias("now_url"), "modal"), "handle", "left")
+    keyed = one("key").where("key is not null").select("handle", "key", F.col("n").alias("key_n"), F.col("hit").alias("key_hit"))
+    near = one("role", "name", *place).select("handle", "role", "name", *(F.coalesce(c, F.lit("")).alias(c) for c in place), F.col("n").alias("near_n"), F.col("hit.ref").alias("near_ref"))
+    near = near.groupBy("handle", "role", "name", *place).agg(F.sum("near_n").alias("near_n"), F.min("near_ref").alias("near_ref"))
+    wide = one("role", "name").select("handle", "role", "name", F.col("n").alias("any_n"), F.col("hit.ref").alias("any_ref"))
+    j = entry.withColumns({c: F.coalesce(c, F.lit("")) for c in place}).join(keyed, ["handle", "key"], "left").join(near, ["handle", "role", "name", *place], "left").join(wide, ["handle", "role", "name"], "left")
+    hit = (F.col("key_n") == 1) & ~F.coalesce("gone", F.lit(False)) & (F.col("key_hit.role") == F.col("role"))
+    steps = (
+        (F.coalesce("modal", F.lit(False)), "MODAL", "modal", None),
+        (F.col("minted_on").isNull(), "NOT_FOUND", "never minted", None),
+        (F.col("minted_on") != F.col("handle"), "BAD_PARAMS", "another page", None),
+        (~F.lit(across_urls) & (F.col("url") != F.col("now_url")), "STALE", "url-changed", None),
+        (F.coalesce("turn_local", F.lit(False)), "AMBIGUOUS", "turn-local ref", None),
+        (hit & (F.col("key_hit.name") == F.col("name")), "OK", "key", F.col("key_hit.ref")),
+        (hit, "REBOUND", "key, name changed", F.col("key_hit.ref")),
+        (F.col("near_n") == 1, "REBOUND", "role and name in landmark", F.col("near_ref")),
+        (F.col("near_n") > 1, "AMBIGUOUS", "role and name in landmark", None),
+        (F.col("any_n") == 1, "REBOUND", "role and name anywhere", F.col("any_ref")),
+        (F.col("any_n") > 1, "AMBIGUOUS", "role and name anywhere", None),
+        (F.lit(True), "STALE", "no match", None),
+    )
+    outcome = F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(o).alias("outcome"), F.lit(t).alias("tier"), (F.lit(None) if now is None else now).cast("string").alias("now"))) for test, o, t, now in steps))
+    return j.select("handle", "ref", outcome.alias("o")).select("handle", "ref", "o.*")
 
 
 def nearest_by_name(asked: DataFrame, current: DataFrame, least: float = 0.4) -> DataFrame:

@@ -16,12 +16,13 @@ CITATION = {"title": ("citation_title", "dc.title"), "author": ("citation_author
 NAMED_METAS = ("description", "keywords", "author", "robots", "viewport", "generator")
 
 
-def get_links(nodes: DataFrame, pages: DataFrame, kind: str | None = None, pattern: str | None = None, limit: int = 40) -> DataFrame:
+def get_links(nodes: DataFrame, pages: DataFrame, kind: str | None = None, pattern: str | None = None, limit: int | None = 40) -> DataFrame:
     """Deduplicated links of each page by (kind, name, href), in order of first position, with counts.
 
     ``kind``: ``nav`` inside nav, header or footer, ``prose`` inside a paragraph,
     quote or caption, else ``other``. ``kind_total`` counts distinct links before
-    the filters; ``pattern`` is a case-insensitive substring of name or href.
+    the filters; ``pattern`` is a case-insensitive substring of name or href;
+    ``limit`` null keeps all.
     """
     anchors = inner_text(nodes, nodes.where((F.col("tag") == "a") & attr("href").isNotNull())).join(pages.select("page_id", "url"), "page_id")
     where = F.when(under("nav", "header", "footer"), "nav").when(under("p", "blockquote", "figcaption"), "prose").otherwise("other")
@@ -32,7 +33,8 @@ def get_links(nodes: DataFrame, pages: DataFrame, kind: str | None = None, patte
         rows = rows.where(F.col("kind") == kind)
     if pattern:
         rows = rows.where(F.contains(F.lower("name"), F.lit(pattern.lower())) | F.contains(F.lower("href"), F.lit(pattern.lower())))
-    return rows.withColumn("pos", F.row_number().over(W.partitionBy("page_id").orderBy("first", "name", "href"))).where(F.col("pos") <= limit)
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("page_id").orderBy("first", "name", "href")))
+    return rows if limit is None else rows.where(F.col("pos") <= limit)
 
 
 def get_metadata(nodes: DataFrame) -> DataFrame:
@@ -65,8 +67,7 @@ def json_ld_leaves(blocks: DataFrame, depth: int = 6, most: int = 400) -> DataFr
     level = blocks.select("page_id", F.try_parse_json("json").alias("v"), F.lit("").alias("path")).where("v is not null")
     leaves = None
     for _ in range(depth):
-        level.createOrReplaceTempView("pagelens_ld_level")
-        rows = blocks.sparkSession.sql("select page_id, path, schema_of_variant(v) as kind, e.pos, e.key, e.value, schema_of_variant(e.value) as sub from pagelens_ld_level, lateral variant_explode(v) e")
+        rows = blocks.sparkSession.sql("select page_id, path, schema_of_variant(v) as kind, e.pos, e.key, e.value, schema_of_variant(e.value) as sub from {level}, lateral variant_explode(v) e", level=level)
         rows = rows.where("key is null or key = '@graph' or not startswith(key, '@')")
         step = F.when(F.col("key").isNull() | (F.col("key") == "@graph"), F.col("path")).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
         rows = rows.withColumn("next", step)

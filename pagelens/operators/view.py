@@ -16,13 +16,47 @@ RUNGS = (
 )
 
 
-def rung_table(spark: SparkSession, links: bool = False) -> DataFrame:
-    """The rungs as rows ``(rung, unit, cap)``; ``links`` lifts the quota of prose links from zero."""
-    units = ("region", "nav", "form_control", "primary", "other", "lead", "heading", "field", "next_call", "form")
-    rows = [(r[0], u, c) for r in RUNGS for u, c in zip(units, r[1:])] + [(r[0], "prose_link", None if links else 0) for r in RUNGS]
+UNITS = ("region", "nav", "form_control", "primary", "other", "lead", "heading", "field", "next_call", "form")
+#: Units that each view shows, and how much further the forms view reads fields.
+VIEWS = {
+    "auto": (*UNITS, "prose_link"),
+    "outline": ("region", "lead", "heading", "next_call"),
+    "act": ("region", "nav", "form_control", "primary", "other", "prose_link", "next_call"),
+    "forms": ("region", "form_control", "field", "form", "next_call"),
+    "tables": ("region", "form", "next_call"),
+}
+FORMS_FIELDS = 12
+
+
+def rung_table(spark: SparkSession, links: bool = False, view: str = "auto") -> DataFrame:
+    """The rungs as rows ``(rung, unit, cap)`` for a view; ``links`` lifts the quota of prose links from zero, ``forms`` scales that of fields."""
+    if view not in VIEWS:
+        raise ValueError(f"a view is one of {', '.join(VIEWS)}")
+    scaled = lambda u, c: c * FORMS_FIELDS if view == "forms" and u == "field" and c is not None else c
+    rows = [(r[0], u, scaled(u, c)) for r in RUNGS for u, c in zip(UNITS, r[1:]) if u in VIEWS[view]]
+    rows += [(r[0], "prose_link", None if links else 0) for r in RUNGS if "prose_link" in VIEWS[view]]
     return spark.createDataFrame(rows, "rung int, unit string, cap int")
 
 
+def view(units: DataFrame, kind: str = "auto", rung: int = 1, links: bool = False) -> DataFrame:
+    """``units(page_id, unit, pos, …)`` that a view shows at a rung, the first ``cap`` of each kind in order, with ``total`` and ``suppressed`` of the kind.
+
+    Units of kinds outside the view are left out.
+    """
+    w = W.partitionBy("page_id", "unit")
+    caps = rung_table(units.sparkSession, links, kind).where(F.col("rung") == rung).select("unit", "cap")
+    place, total = unused("place", units), F.count("*").over(w)
+    ranked = units.join(F.broadcast(caps), "unit").withColumn(place, F.row_number().over(w.orderBy("pos"))).withColumn("total", total)
+    kept = ranked.where(F.col("cap").isNull() | (F.col(place) <= F.col("cap")))
+    return kept.withColumn("suppressed", F.greatest(F.col("total") - F.coalesce("cap", "total"), F.lit(0))).drop(place, "cap")
+
+
+def unused(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def rank_score(name: Column, in_viewport: Column, area: Column, top: Column, has_state: Column) -> Column:
     """Rank of a control: named, in view, large, high up, with a state."""
     return F.when(F.coalesce(name, F.lit("")) != "", 8.0).otherwise(-6.0) + F.when(in_viewport, 6.0).otherwise(0.0) + F.least(F.lit(6.0), F.sqrt(area) / 20) - F.least(F.lit(6.0), top / 2000) + F.when(has_state, 1.0).otherwise(0.0)

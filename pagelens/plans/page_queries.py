@@ -48,7 +48,7 @@ def b1_node_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def c7_links(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
-    return L.get_links(html_nodes(p), p, limit=10_000).select("page_id", "kind", "name", "href", "n", "kind_total")
+    return L.get_links(html_nodes(p), p, limit=None).select("page_id", "kind", "name", "href", "n", "kind_total")
 
 
 @query(
@@ -159,7 +159,7 @@ def u3_text_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "u6_content_words",
-    r"""select item_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '' and x not in ('a', 'an', 'and', 'as', 'at', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'with'))))::int as n_words from benchmark""",
+    r"""select item_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '' and x not in ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'in', 'is', 'it', 'its', 'my', 'of', 'on', 'or', 'our', 'that', 'the', 'their', 'these', 'this', 'those', 'to', 'was', 'were', 'with', 'your'))))::int as n_words from benchmark""",
 )
 def u6_content_words(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "benchmark").select("item_id", F.size(T.content_words(F.col("text"))).alias("n_words"))

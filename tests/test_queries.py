@@ -18,6 +18,8 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def cell(v: object) -> str:
         if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
             return "null"
+        if isinstance(v, float) and v.is_integer():  # pandas holds integers with nulls as floats
+            return str(int(v))
         return repr(round(v, 6)) if isinstance(v, float) else str(v)
 
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
