@@ -37,7 +37,7 @@ class JoinParams:
     broadcast_ids: int = 1_000_000
     small: int = 32
     square: int = 1024
-    leaders: int = 32
+    leaders: int = 256
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -219,8 +219,8 @@ def close(n: str, m: str, p: JoinParams):
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of how many of the set's hashes fall into each cell, a bit a cell; a power of two of cells, two for each hash."""
-    cells = 1 << min(13, max(7, int(len(s)).bit_length() + 1))
+    """Parities of how many of the set's hashes fall into each cell, a bit a cell; a power of two of cells, one to two for each hash."""
+    cells = 1 << min(13, max(7, int(len(s)).bit_length()))
     odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -240,8 +240,8 @@ def apart(least: np.ndarray, n: np.ndarray, m: np.ndarray, p: JoinParams) -> np.
     return least * (100 + p.percent) > (n + m) * (100 - p.percent)
 
 
-#: Leaders, the most similar ones, that each text is compared with before all texts are.
-NEAREST = 2
+#: Leaders, the most similar, that each text is compared with before all texts are.
+NEAREST = 1
 
 
 def met(rows: DataFrame, marks: DataFrame, p: JoinParams, leaders: int | None = None) -> DataFrame:
