@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls as U
+from pagelens.operators.fold import ordered_fold
 
 #: Session limits, console levels, header names.
 LIMITS = {"action": 300, "navigation": 150, "new_origin": 30, "download": 40}
@@ -123,44 +124,46 @@ def list_workflows(flows: DataFrame, origin_host: str) -> DataFrame:
     return flows.where((host == origin_host.lower()) | F.endswith(host, F.lit("." + origin_host.lower())))
 
 
-def budget_fold(calls: Column, limits: dict[str, int] | None = None, wall_clock: int = WALL_CLOCK_S) -> Column:
-    """Fold of ``array<struct<seq,ts,kind,origin>>`` in order to ``array<struct<seq,refused>>``; ``refused`` names the spent limit or is null.
-
-    All checks come before all increments; refused calls are not billed and do
-    not add their origin. ``ts`` is in seconds.
+class Budget:
+    """What a session has spent so far."""
+
+    def __init__(self, limits: dict[str, int], wall_clock: float):
+        self.limits, self.wall_clock, self.began = limits, wall_clock, None
+        self.action = self.navigation = self.download = 0
+        self.origins: set[str] = set()  # no more than the limit of new ones
+
+    def charge(self, ts: float | None, kind: str | None, origin: str | None) -> str | None:
+        """The limit that refuses the call, or null after it is billed. All checks come before all increments."""
+        self.began = ts if self.began is None else self.began
+        fresh = origin is not None and origin not in self.origins
+        if ts is not None and self.began is not None and ts - self.began > self.wall_clock:
+            return "wall_clock"
+        if self.action >= self.limits["action"]:
+            return "action"
+        if kind == "navigation" and self.navigation >= self.limits["navigation"]:
+            return "navigation"
+        if kind == "download" and self.download >= self.limits["download"]:
+            return "download"
+        if fresh and len(self.origins) >= self.limits["new_origin"]:
+            return "new_origin"
+        self.action += 1
+        self.navigation += kind == "navigation"
+        self.download += kind == "download"
+        if fresh:
+            self.origins.add(origin)
+        return None
+
+
+def charge_budget(calls: DataFrame, limits: dict[str, int] | None = None, wall_clock: float = WALL_CLOCK_S) -> DataFrame:
+    """Each call of ``calls(session, seq, ts, kind, origin)`` with ``refused``, the spent limit or null.
+
+    Refused calls are not billed and do not add their origin, so each verdict
+    rests on those before it: an ordered fold with a bounded state.
     """
     lim = {**LIMITS, **(limits or {})}
-    start = F.struct(F.lit(None).cast("double").alias("t0"), F.lit(0).alias("action"), F.lit(0).alias("navigation"), F.lit(0).alias("download"), F.array().cast("array<string>").alias("origins"), F.array().cast("array<struct<seq:bigint,refused:string>>").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        t0 = F.coalesce(a["t0"], c["ts"])
-        fresh = c["origin"].isNotNull() & ~F.array_contains(a["origins"], c["origin"])
-        refused = (
-            F.when(c["ts"] - t0 > wall_clock, "wall_clock")
-            .when(a["action"] >= lim["action"], "action")
-            .when((c["kind"] == "navigation") & (a["navigation"] >= lim["navigation"]), "navigation")
-            .when((c["kind"] == "download") & (a["download"] >= lim["download"]), "download")
-            .when(fresh & (F.size(a["origins"]) >= lim["new_origin"]), "new_origin")
-        )
-        ok = refused.isNull()
-        inc = lambda name, when: a[name] + F.when(ok & when, 1).otherwise(0)
-        return F.struct(
-            t0.alias("t0"), inc("action", F.lit(True)).alias("action"), inc("navigation", c["kind"] == "navigation").alias("navigation"), inc("download", c["kind"] == "download").alias("download"),
-            F.when(ok & fresh, F.concat(a["origins"], F.array(c["origin"]))).otherwise(a["origins"]).alias("origins"),
-            F.concat(a["out"], F.array(F.struct(c["seq"].alias("seq"), refused.alias("refused")))).alias("out"),
-        )
-
-    return F.aggregate(calls, start, step, lambda a: a["out"])
-
-
-def charge_budget(calls: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """Each call of ``calls(session, seq, ts, kind, origin)`` with ``refused``.
-
-    The fold is ordered and keeps one session together; a session holds at most
-    some hundred calls before all further ones are refused.
-    """
-    folded = calls.groupBy("session").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), seconds("ts").alias("ts"), "kind", "origin"))).alias("calls"))
-    return folded.select("session", F.explode(budget_fold(F.col("calls"), limits)).alias("r")).select("session", "r.seq", "r.refused")
+    rows = calls.select("session", F.col("seq").cast("long").alias("seq"), seconds("ts").alias("ts"), "kind", "origin")
+    kind = calls.select("session").schema[0].dataType.simpleString()
+    return ordered_fold(rows, "session", ["seq"], lambda: Budget(lim, wall_clock), lambda b, r: (r[0], r[1], b.charge(*r[2:])), f"session {kind}, seq long, refused string")
 
 
 def budget_snapshot(calls: DataFrame) -> DataFrame:

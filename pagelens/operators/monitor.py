@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
+from pagelens.operators.fold import ordered_fold
 
 #: Failures after which a monitor pauses itself; order of states in a report.
 MAX_FAILURES = 6
@@ -87,23 +88,24 @@ def due_checks(monitors: DataFrame, now: float, batch: int = 3, floor_s: float =
     return due.withColumn("new_due", F.lit(now) + F.greatest(F.col("interval"), F.lit(floor_s)) * jitter)
 
 
-def daily_fold(times: Column, ceiling: int = 500, window_s: float = 86_400.0) -> Column:
-    """Fold of sorted ``array<struct<at,seq>>`` to ``array<struct<seq,refused>>``: a window opens at its first check and closes after ``window_s``."""
-    start = F.struct(F.lit(None).cast("double").alias("opened"), F.lit(0).alias("n"), F.array().cast("array<struct<seq:bigint,refused:boolean>>").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        fresh = a["opened"].isNull() | (c["at"] - a["opened"] > window_s)
-        n = F.when(fresh, 0).otherwise(a["n"])
-        refused = n >= ceiling
-        return F.struct(F.when(fresh, c["at"]).otherwise(a["opened"]).alias("opened"), (n + F.when(refused, 0).otherwise(1)).alias("n"), F.concat(a["out"], F.array(F.struct(c["seq"].alias("seq"), refused.alias("refused")))).alias("out"))
-
-    return F.aggregate(times, start, step, lambda a: a["out"])
+def daily_ceiling(checks: DataFrame, ceiling: int = 500, window_s: float = 86_400.0) -> DataFrame:
+    """``checks(owner, at, seq)`` with ``refused``; refused checks are not billed.
 
+    A window opens at its first check and closes after ``window_s``, so each
+    rests on the one before it: an ordered fold with two numbers of state.
+    """
 
-def daily_ceiling(checks: DataFrame, ceiling: int = 500) -> DataFrame:
-    """``checks(owner, at, seq)`` with ``refused``; refused checks are not billed."""
-    rows = checks.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq")))).alias("c"))
-    return rows.select("owner", F.explode(daily_fold(F.col("c"), ceiling)).alias("r")).select("owner", "r.seq", "r.refused")
+    def step(state: list, row: tuple) -> tuple:
+        owner, at, seq = row
+        if state[0] is None or at - state[0] > window_s:
+            state[:] = [at, 0]
+        refused = state[1] >= ceiling
+        state[1] += not refused
+        return owner, seq, refused
+
+    kind = checks.select("owner").schema[0].dataType.simpleString()
+    rows = checks.select("owner", F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"))
+    return ordered_fold(rows, "owner", ["at", "seq"], lambda: [None, 0], step, f"owner {kind}, seq long, refused boolean")
 
 
 def restart_gaps(monitors: DataFrame, now: float) -> DataFrame:

@@ -108,3 +108,20 @@ def html_nodes(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, ARROW)
 
     return pages.select("page_id", "html").mapInArrow(parse, NODES)
+
+
+_kept: list[DataFrame] = []
+
+
+def parsed_once(pages: DataFrame) -> DataFrame:
+    """``html_nodes`` kept by the executors, in memory and then on disk, until the next call.
+
+    For queries that read the nodes several times: the pages are parsed when
+    they are first needed and only then. A lost executor's part is parsed again.
+    """
+    while _kept:
+        old = _kept.pop()
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
+    _kept.append(html_nodes(pages).persist())
+    return _kept[-1]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelens.operators.fold import ordered_fold
+
 CLASSES = ("nav", "form_control", "primary", "other", "prose_link")
 #: Caps of the 16 rungs (regions, quotas of nav, form, primary, other, lead, headings, fields, next calls, forms and tables; null is no cap).
 RUNGS = (
@@ -105,15 +107,22 @@ def completeness(units: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def pack_parts(parts: DataFrame, ceiling: int = 400) -> DataFrame:
-    """Greedy packing of ``parts(owner, pos, name, tokens)`` in order: a part is kept if the sum stays under the ceiling; later smaller ones may still fit."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("dropped"))
+    """Greedy packing of ``parts(owner, pos, name, tokens)`` in order: a part is kept if the sum stays under the ceiling; later smaller ones may still fit.
 
-    def step(a: Column, x: Column) -> Column:
-        fits = a["sum"] + x["tokens"] <= ceiling
-        return F.struct((a["sum"] + F.when(fits, x["tokens"]).otherwise(0)).alias("sum"), F.when(fits, F.concat(a["kept"], F.array(x["name"]))).otherwise(a["kept"]).alias("kept"), F.when(fits, a["dropped"]).otherwise(F.concat(a["dropped"], F.array(x["name"]))).alias("dropped"))
+    ``owner, tokens, kept, dropped``, the names joined by commas.
+    """
 
-    rows = parts.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.col("tokens").cast("long").alias("tokens")))).alias("p"))
-    return rows.select("owner", F.aggregate("p", start, step).alias("r")).select("owner", F.col("r.sum").alias("tokens"), F.array_join("r.kept", ",").alias("kept"), F.array_join("r.dropped", ",").alias("dropped"))
+    def step(state: list[int], row: tuple) -> tuple:
+        owner, pos, name, tokens = row
+        fits = state[0] + tokens <= ceiling
+        state[0] += tokens * fits
+        return owner, pos, name, tokens, fits
+
+    kind = lambda c: parts.select(c).schema[0].dataType.simpleString()
+    rows = parts.select("owner", "pos", "name", F.col("tokens").cast("long").alias("tokens"))
+    packed = ordered_fold(rows, "owner", ["pos", "name"], lambda: [0], step, f"owner {kind('owner')}, pos {kind('pos')}, name string, tokens long, fits boolean")
+    names = lambda fits: F.array_join(F.array_sort(F.collect_list(F.when(F.col("fits") == fits, F.struct("pos", "name"))))["name"], ",")
+    return packed.groupBy("owner").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("tokens"))), F.lit(0)).alias("tokens"), names(True).alias("kept"), names(False).alias("dropped"))
 
 
 def fit_columns(cells: DataFrame, budget: int = 5000) -> DataFrame:

@@ -82,6 +82,15 @@ def g16_charge_budget(spark: SparkSession, d: str) -> DataFrame:
     return G.charge_budget(rows, {"action": 25, "navigation": 6, "download": 4, "new_origin": 7})
 
 
+@query(
+    "g16_wall_clock",
+    "select user_id as session, event_id as seq, case when epoch(ts) - first_value(epoch(ts)) over (partition by user_id order by event_id) > 259200 then 'wall_clock' end as refused from events",
+)
+def g16_wall_clock(spark: SparkSession, d: str) -> DataFrame:
+    rows = calls(spark, d).withColumn("origin", F.lit(None).cast("string"))
+    return G.charge_budget(rows, {k: 1 << 40 for k in G.LIMITS}, wall_clock=259_200)
+
+
 @query("g17_budget_snapshot", f"select user_id as session, count(*) as n_calls, count(*) filter ({KIND_SQL} = 'navigation') as n_navigation, count(*) filter ({KIND_SQL} = 'download') as n_download, count(distinct substr(props, 7, 1)) as origins from events group by 1")
 def g17_budget_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return G.budget_snapshot(calls(spark, d)).drop("wall_s")

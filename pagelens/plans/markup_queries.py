@@ -19,7 +19,7 @@ from pagelens.operators import links as L
 from pagelens.operators import structure as S
 from pagelens.operators import tables as B
 from pagelens.operators import view as V
-from pagelens.operators.nodes import html_nodes
+from pagelens.operators.nodes import parsed_once
 from pagelens.plans.registry import query
 from pagelens.sources.pages import read_table
 
@@ -49,7 +49,7 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return html_nodes(profiles(spark, d))
+    return parsed_once(profiles(spark, d))
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_cells(spark: SparkSession, d: str) -> DataFrame:
-    nodes = html_nodes(orders(spark, d)).persist()
+    nodes = parsed_once(orders(spark, d))
     return B.table_cells(nodes, B.table_inventory(nodes))
 
 
@@ -94,7 +94,7 @@ def b6_roles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b7_accessible_names", f"with {CONTROLS_SQL} select page_id, c.tag as tag, c.name as name, c.source as name_source from controls")
 def b7_accessible_names(spark: SparkSession, d: str) -> DataFrame:
-    nodes = profile_nodes(spark, d).persist()
+    nodes = profile_nodes(spark, d)
     return S.accessible_names(nodes, nodes.where(S.is_control())).select("page_id", "tag", "name", "name_source")
 
 
@@ -112,7 +112,7 @@ def b8_landmarks(spark: SparkSession, d: str) -> DataFrame:
     union all select c_custkey, 'Secret', 'password', false, true, null, 0 from customer union all select c_custkey, 'Size', 'select', false, false, null, 2 from customer""",
 )
 def b13_forms(spark: SparkSession, d: str) -> DataFrame:
-    return S.forms(profile_nodes(spark, d).persist()).select("page_id", "label", "type", "required", "secret", "value", "n_options")
+    return S.forms(profile_nodes(spark, d)).select("page_id", "label", "type", "required", "secret", "value", "n_options")
 
 
 @query(
@@ -120,7 +120,7 @@ def b13_forms(spark: SparkSession, d: str) -> DataFrame:
     "select c_custkey as page_id, 'POST' as method, '/go' as action, 3::bigint as field_count, true as secret, false as payment, false as has_file, false as textarea, 'Send ' || c_mktsegment as submitter from customer",
 )
 def b14_form_census(spark: SparkSession, d: str) -> DataFrame:
-    return S.form_census(profile_nodes(spark, d).persist()).select("page_id", "method", "action", "field_count", "secret", "payment", "has_file", "textarea", "submitter")
+    return S.form_census(profile_nodes(spark, d)).select("page_id", "method", "action", "field_count", "secret", "payment", "has_file", "textarea", "submitter")
 
 
 @query(
@@ -138,7 +138,7 @@ def b18_age_declared(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c1_table_inventory", "select l_orderkey as page_id, 'Order ' || l_orderkey as caption, count(*) + 1 as n_rows, 3::bigint as n_cols from lineitem group by l_orderkey")
 def c1_table_inventory(spark: SparkSession, d: str) -> DataFrame:
-    found = B.table_inventory(html_nodes(orders(spark, d)).persist())
+    found = B.table_inventory(parsed_once(orders(spark, d)))
     return found.select("page_id", "caption", F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"))
 
 
@@ -160,7 +160,7 @@ def c3_table_headers(spark: SparkSession, d: str) -> DataFrame:
     f"with {LINES_SQL}, t as (select l_orderkey, count(*) as total from lineitem group by 1) select l_orderkey as page_id, n - 1 as row, l_linenumber || '|' || l_returnflag || '|' || l_quantity::bigint as cells, total as total_rows, case when total > 3 then 3 end::bigint as next_start_row from lines join t using (l_orderkey) where n <= 3",
 )
 def c4_get_table(spark: SparkSession, d: str) -> DataFrame:
-    cells = order_cells(spark, d).persist()
+    cells = order_cells(spark, d)
     return B.get_table(cells, B.table_headers(cells), 0, 3).select("page_id", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"), "total_rows", F.col("next_start_row").cast("long").alias("next_start_row"))
 
 
@@ -171,7 +171,7 @@ def c4_get_table(spark: SparkSession, d: str) -> DataFrame:
     {'pos': 0, 'term': null, 'text': 'first ' || c_mktsegment, 'href': null}, {'pos': 1, 'term': null, 'text': 'second', 'href': '/c/' || c_custkey}]) as r from customer)""",
 )
 def c6_lists(spark: SparkSession, d: str) -> DataFrame:
-    found = B.list_items(profile_nodes(spark, d).persist(), profiles(spark, d))
+    found = B.list_items(profile_nodes(spark, d), profiles(spark, d))
     return found.select("page_id", F.col("pos").cast("long").alias("pos"), "total", "term", "text", "href")
 
 
@@ -182,7 +182,7 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 @query("c9_json_ld_leaves", "select c_custkey as page_id, r.p as path, r.v as value from (select c_custkey, unnest([{'p': 'name', 'v': c_name}, {'p': 'offers.price', 'v': (floor(c_acctbal)::bigint)::varchar}, {'p': 'offers.unit', 'v': 'a, b'}]) as r from customer)")
 def c9_json_ld_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return leaves(profile_nodes(spark, d).persist()).select("page_id", "path", "value")
+    return leaves(profile_nodes(spark, d)).select("page_id", "path", "value")
 
 
 @query(
@@ -195,7 +195,7 @@ def c9_json_ld_leaves(spark: SparkSession, d: str) -> DataFrame:
     union all select c_custkey, 'declared', 'rating', 'adult', 'meta' from customer where c_custkey % 7 = 0""",
 )
 def c10_evidence(spark: SparkSession, d: str) -> DataFrame:
-    nodes = profile_nodes(spark, d).persist()
+    nodes = profile_nodes(spark, d)
     return E.evidence(nodes, leaves(nodes)).where("tier in ('declared', 'labeled')").select("page_id", "tier", "key", "value", "by")
 
 
@@ -210,13 +210,13 @@ WANTED = [("segment", None), ("balance", "the balance"), ("author", None), ("cit
 )
 def c12_extract_page(spark: SparkSession, d: str) -> DataFrame:
     fields = spark.createDataFrame(WANTED, "name string, description string")
-    return E.extract_page(E.evidence(profile_nodes(spark, d).persist()), fields).select("page_id", "name", "outcome", "value", "tier")
+    return E.extract_page(E.evidence(profile_nodes(spark, d)), fields).select("page_id", "name", "outcome", "value", "tier")
 
 
 @query("c15_rollup", "select n as name, f * c as found, nf * c as not_found, a * c as ambiguous from (select count(*) as c from customer), (values ('segment', 1, 0, 0), ('balance', 1, 0, 0), ('author', 1, 0, 0), ('citation author', 0, 0, 1), ('colour', 0, 1, 0), (null, 3, 1, 1)) v(n, f, nf, a)")
 def c15_rollup(spark: SparkSession, d: str) -> DataFrame:
     fields = spark.createDataFrame(WANTED, "name string, description string")
-    return E.rollup_fields(E.extract_page(E.evidence(profile_nodes(spark, d).persist()), fields)).select("name", "found", "not_found", "ambiguous")
+    return E.rollup_fields(E.extract_page(E.evidence(profile_nodes(spark, d)), fields)).select("name", "found", "not_found", "ambiguous")
 
 
 @query(
@@ -227,19 +227,19 @@ def c15_rollup(spark: SparkSession, d: str) -> DataFrame:
     {'n': 'secret', 'f': false, 'v': null, 'b': null, 'k': null, 'q': null}]) as r from customer)""",
 )
 def c14_extract_fields(spark: SparkSession, d: str) -> DataFrame:
-    nodes = profile_nodes(spark, d).persist()
+    nodes = profile_nodes(spark, d)
     fields = spark.createDataFrame([("segment", None), ("price", None), ("term", None), ("worth", "balance"), ("secret", None)], "name string, hint string")
     return E.extract_fields(E.field_sources(nodes, leaves(nodes)), fields).select("page_id", "name", "found", "value", "by", "matched_key", "quality")
 
 
 @query("c19_article_sources", "select c_custkey as page_id, c_name as title, 'body-h1' as title_source, c_mktsegment as byline from customer")
 def c19_article_sources(spark: SparkSession, d: str) -> DataFrame:
-    return A.article_meta(profile_nodes(spark, d).persist()).select("page_id", "title", "title_source", "byline")
+    return A.article_meta(profile_nodes(spark, d)).select("page_id", "title", "title_source", "byline")
 
 
 @query("c23_next_link", "select c_custkey as page_id, 'https://shop.example.com/p/' || c_custkey as next_url, 2 as source from customer")
 def c23_next_link(spark: SparkSession, d: str) -> DataFrame:
-    return L.next_link(profile_nodes(spark, d).persist(), profiles(spark, d)).select("page_id", "next_url", "source")
+    return L.next_link(profile_nodes(spark, d), profiles(spark, d)).select("page_id", "next_url", "source")
 
 
 @query("c25_citation_meta", "select c_custkey as page_id, 'title' as field, 'Paper ' || c_custkey as value from customer union all select c_custkey, 'author', 'Ann; Bob ' || c_custkey from customer")

@@ -9,7 +9,7 @@ from pagelens.functions import text as T
 from pagelens.functions import urls as U
 from pagelens.operators import links as L
 from pagelens.operators import structure as S
-from pagelens.operators.nodes import html_nodes
+from pagelens.operators.nodes import html_nodes, parsed_once
 from pagelens.plans.registry import query
 from pagelens.sources.pages import read_table
 
@@ -48,7 +48,7 @@ def b1_node_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def c7_links(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
-    return L.get_links(html_nodes(p), p, limit=None).select("page_id", "kind", "name", "href", "n", "kind_total")
+    return L.get_links(parsed_once(p), p, limit=None).select("page_id", "kind", "name", "href", "n", "kind_total")
 
 
 @query(
@@ -56,14 +56,14 @@ def c7_links(spark: SparkSession, d: str) -> DataFrame:
     r"""select page_id, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')), '') as title, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang from pages""",
 )
 def c8_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return L.get_metadata(html_nodes(pages(spark, d))).select("page_id", F.nullif("title", F.lit("")).alias("title"), "lang")
+    return L.get_metadata(parsed_once(pages(spark, d))).select("page_id", F.nullif("title", F.lit("")).alias("title"), "lang")
 
 
 @query("b5_text_blocks", f"with {BLOCKS_SQL} select page_id, row_number() over (partition by page_id order by i) as pos, text from blocks where text <> ''")
 def b5_text_blocks(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    blocks = S.text_blocks(html_nodes(pages(spark, d)))
+    blocks = S.text_blocks(parsed_once(pages(spark, d)))
     return blocks.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("start")).cast("long").alias("pos"), "text")
 
 
@@ -72,7 +72,7 @@ def b5_text_blocks(spark: SparkSession, d: str) -> DataFrame:
     f"with {BLOCKS_SQL} select page_id, 1 as level, text, 'document' as landmark from blocks where opener = 'h1' and text <> ''",
 )
 def b10_headings(spark: SparkSession, d: str) -> DataFrame:
-    return S.headings(html_nodes(pages(spark, d))).where("text <> ''").select("page_id", "level", "text", "landmark")
+    return S.headings(parsed_once(pages(spark, d))).where("text <> ''").select("page_id", "level", "text", "landmark")
 
 
 @query(
@@ -80,13 +80,13 @@ def b10_headings(spark: SparkSession, d: str) -> DataFrame:
     f"with {LINKS_SQL}, n as (select page_id, count(*) as c from links group by 1) select p.page_id, x.kind, case when x.kind = 'navigation' then coalesce(n.c, 0) else 0 end as interactive from pages p cross join (values ('navigation'), ('contentinfo')) x(kind) left join n using (page_id)",
 )
 def b9_regions(spark: SparkSession, d: str) -> DataFrame:
-    return S.regions(html_nodes(pages(spark, d))).select("page_id", "kind", "interactive")
+    return S.regions(parsed_once(pages(spark, d))).select("page_id", "kind", "interactive")
 
 
 @query("b11_controls", f"with {LINKS_SQL} select page_id, 'link' as role, name, 'nav' as cls, row_number() over (partition by page_id order by i) as ordinal from links")
 def b11_controls(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
-    return S.nav_flood(S.controls(html_nodes(p), p)).select("page_id", "role", "name", "cls", F.col("ordinal").cast("long").alias("ordinal"))
+    return S.nav_flood(S.controls(parsed_once(p), p)).select("page_id", "role", "name", "cls", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query(
@@ -95,14 +95,14 @@ def b11_controls(spark: SparkSession, d: str) -> DataFrame:
     select p.page_id, coalesce(paragraphs, 0) as paragraphs, coalesce(prose_chars, 0)::bigint as prose_chars, coalesce(longest, 0) as longest from pages p left join par using (page_id)""",
 )
 def b16_page_shape(spark: SparkSession, d: str) -> DataFrame:
-    return S.page_shape(html_nodes(pages(spark, d))).select("page_id", "paragraphs", "prose_chars", F.col("longest").cast("long").alias("longest"))
+    return S.page_shape(parsed_once(pages(spark, d))).select("page_id", "paragraphs", "prose_chars", F.col("longest").cast("long").alias("longest"))
 
 
 @query("d1_find_elements", f"with {LINKS_SQL} select page_id, q as query, name, count(*) over (partition by page_id, q) as total from links, (values ('th'), ('nicht')) v(q) where contains(lower(name), q)")
 def d1_find_elements(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
     asked = spark.createDataFrame([("th", None), ("nicht", None)], "query string, role string")
-    return L.find_elements(S.controls(html_nodes(p), p), asked).select("page_id", "query", "name", "total")
+    return L.find_elements(S.controls(parsed_once(p), p), asked).select("page_id", "query", "name", "total")
 
 
 @query(
@@ -111,12 +111,12 @@ def d1_find_elements(spark: SparkSession, d: str) -> DataFrame:
 )
 def d2_nearest_misses(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
-    return L.nearest_misses(S.controls(html_nodes(p), p), "on er").select("page_id", "name", F.col("score").cast("int").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return L.nearest_misses(S.controls(parsed_once(p), p), "on er").select("page_id", "name", F.col("score").cast("int").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("d3_count_selector", f"with {LINKS_SQL} select page_id, count(l.i) as n from pages p left join links l using (page_id) group by 1")
 def d3_count_selector(spark: SparkSession, d: str) -> DataFrame:
-    return L.count_selector(html_nodes(pages(spark, d)), "nav ul a[href]")
+    return L.count_selector(parsed_once(pages(spark, d)), "nav ul a[href]")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens.operators import article as A
 from pagelens.operators import classify as C
 from pagelens.operators import view as V
-from pagelens.operators.nodes import html_nodes
+from pagelens.operators.nodes import parsed_once
 from pagelens.plans.log_queries import events
 from pagelens.plans.page_queries import BLOCKS_SQL, pages
 from pagelens.plans.registry import query
@@ -27,7 +27,7 @@ kind as (select page_id, bool_or(i > a and i < z and opener in ('p', 'br') and l
 def c17_article_blocks(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    n = html_nodes(pages(spark, d))
+    n = parsed_once(pages(spark, d))
     return A.article_blocks(n, A.article_body(n)).select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("start")).cast("long").alias("pos"), "text")
 
 
@@ -36,13 +36,13 @@ def c17_article_blocks(spark: SparkSession, d: str) -> DataFrame:
     f"with {ARTICLE_SQL} select page_id, case when opener = 'a' or opener in ('nav', 'ul', 'li') then 'nav' when i > z then 'footer' else 'promo' end as reason, count(*) as blocks, sum(length(text))::bigint as chars from inside join kind using (page_id) where case when art then not (i >= a and i < z) when ad then false else true end group by all",
 )
 def c18_article_excluded(spark: SparkSession, d: str) -> DataFrame:
-    n = html_nodes(pages(spark, d))
+    n = parsed_once(pages(spark, d))
     return A.article_excluded(n, A.article_body(n))
 
 
 @query("c19_article_meta", f"with {BLOCKS_SQL} select page_id, text as title, 'body-h1' as title_source from blocks where opener = 'h1' and text <> ''")
 def c19_article_meta(spark: SparkSession, d: str) -> DataFrame:
-    return A.article_meta(html_nodes(pages(spark, d))).where("title_source = 'body-h1'").select("page_id", "title", "title_source")
+    return A.article_meta(parsed_once(pages(spark, d))).select("page_id", "title", "title_source")
 
 
 UNIT_SQL = "case event_type when 'view' then 'nav' when 'click' then 'form_control' when 'purchase' then 'primary' when 'signup' then 'other' else 'prose_link' end"

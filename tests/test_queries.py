@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def cell(v: object) -> str:
-        if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return "null"
         if isinstance(v, float) and v.is_integer():  # pandas holds integers with nulls as floats
             return str(int(v))
