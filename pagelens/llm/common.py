@@ -73,42 +73,31 @@ def free_shuffles(spark: SparkSession) -> None:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row per node, ``(id, root)``.
 
-    ``root`` is the smallest id of the component. Every round gives the nodes a
-    fresh random order and merges each into the first of its neighbourhood, so
-    nodes shrink by a constant factor in expectation, chains included; then the
-    merges are followed backwards. Rows are pre-aggregated by ``min`` before
-    each shuffle, hence a hub with millions of links is no hot task. Only one
-    emptiness test per round reaches the driver. Null ends and loops are
-    ignored; an empty input gives an empty result.
+    ``root`` is the smallest id of the component. Each round links the larger
+    neighbours of every node to the smallest of its neighbourhood, and then the
+    smaller neighbours of every node to the smallest of them, until nothing
+    changes: the number of edges never grows, stars take two rounds and chains a
+    number that follows the logarithm of their length. ``min`` is combined before
+    each shuffle, hence a hub is no hot task. A count and a checksum per round
+    reach the driver. Null ends and loops are ignored; an empty input gives an
+    empty result.
 
     Raises ``RuntimeError`` if ``max_rounds`` do not suffice, never a part result.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    state = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    levels: list[DataFrame] = []
-    while not state.isEmpty():
-        if len(levels) == max_rounds:
-            raise RuntimeError("components did not settle")
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(levels))).alias("r"), F.col(c).alias("id"))  # noqa: B023, E731
-        ends = state.union(state.select("b", "a")).toDF("u", "v")
-        level = cut(ends.groupBy("u").agg(F.least(F.min(rank("v")), F.first(rank("u"))).alias("m")).select("u", F.col("m.id").alias("m")))
-        moved = state.join(level.toDF("a", "ma"), "a").join(level.toDF("b", "mb"), "b")
-        after = cut(moved.where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
+    state = cut(e.select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct())
+    seen = None
+    for _ in range(max_rounds):
+        now = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("big", "small"))).first())
+        if now == seen or not now[0]:
+            return state.select(F.col("big").alias("id"), F.col("small").alias("root")).union(state.select("small", "small").distinct())
+        seen = now
+        ends = state.union(state.select("small", "big")).toDF("u", "v")
+        least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("small"), F.least("u", "m").alias("m"))
+        large = state.join(least, "small").select("big", F.col("m").alias("small")).distinct()
+        lowest = large.groupBy("big").agg(F.min("small").alias("m"))
+        turned = large.join(lowest, "big").where("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small"))
+        after = cut(turned.union(lowest).distinct())
         drop_cut(state)
-        levels.append(level)
         state = after
-    if not levels:
-        return state.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    drop_cut(state)
-    above = levels.pop()
-    while levels:
-        level = levels.pop()
-        merged = cut(level.toDF("id", "m").join(above.toDF("m", "r"), "m", "left").select("id", F.coalesce("r", "m").alias("m")))
-        drop_cut(level)
-        drop_cut(above)
-        above = merged
-    out = above.toDF("id", "root")
-    least = out.groupBy("root").agg(F.min("id").alias("least"))
-    result = cut(out.join(least, "root").select("id", F.col("least").alias("root")))
-    drop_cut(above)
-    return result
+    raise RuntimeError("components did not settle")
