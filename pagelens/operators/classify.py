@@ -13,10 +13,17 @@ SEVERITY = ("captcha", "botwall", "rate_limited", "login_required", "geo_blocked
 WALLS = {"captcha": "captcha", "botwall": "botwall", "rate_limited": "rate-limit", "login_required": "login", "geo_blocked": "geo"}
 REFUSING = (401, 403, 405, 406, 429, 503)
 READABLE = 200
-#: What names a vendor, by header (identifies), block header (decides), and text.
-VENDOR_HEADERS = {"cloudflare": ("cf-ray", "cf-cache-status"), "akamai": ("x-akamai-transformed", "akamai-grn"), "datadome": ("x-datadome",), "imperva": ("x-iinfo", "x-cdn"), "human": ("x-px-block",), "fastly": ("x-served-by", "fastly-restarts"), "aws-waf": ("x-amzn-waf-action",)}
-BLOCK_HEADERS = {"cloudflare": "cf-mitigated", "datadome": "x-datadome-cid", "human": "x-px-block", "aws-waf": "x-amzn-waf-action"}
-VENDOR_TEXT = {"cloudflare": "cloudflare|cf-challenge|ray id", "akamai": r"akamai|reference #[0-9a-f.]+", "datadome": "datadome|captcha-delivery", "imperva": "incapsula|imperva", "human": "perimeterx|px-captcha|human verification"}
+#: Response headers (name, part of the value) that name a vendor on any response.
+EDGE_HEADERS = (
+    ("server", "cloudflare", "Cloudflare"), ("cf-ray", "", "Cloudflare"), ("server", "akamaighost", "Akamai"), ("akamai-grn", "", "Akamai"), ("x-akamai-transformed", "", "Akamai"),
+    ("x-datadome", "", "DataDome"), ("x-cdn", "imperva", "Imperva"), ("x-iinfo", "", "Imperva"), ("server", "cloudfront", "AWS CloudFront"), ("x-amz-cf-id", "", "AWS CloudFront"),
+)
+#: Headers that are set only with a challenge or block; their presence decides alone.
+BLOCK_HEADERS = (("cf-mitigated", "Cloudflare"), ("x-dd-b", "DataDome"), ("x-px-blocked", "HUMAN (PerimeterX)"), ("x-amzn-waf-action", "AWS WAF"))
+#: Texts and sources of block pages; they count where the status refuses.
+BLOCK_TEXT = (("request unsuccessful. incapsula incident id", "Imperva"), ("please enable js and disable any ad blocker", "DataDome"), ("press & hold", "HUMAN (PerimeterX)"), ("before we continue...", "HUMAN (PerimeterX)"))
+BLOCK_SOURCE = (("/* perimeterx assignments */", "HUMAN (PerimeterX)"), ("window._pxappid", "HUMAN (PerimeterX)"), ("px-captcha", "HUMAN (PerimeterX)"), ("captcha-delivery.com", "DataDome"), ("var dd={", "DataDome"))
+#: Words of our own choice.
 BLOCK_WORDS = r"access denied|request blocked|unusual traffic|automated (requests|queries)|verify you are (a )?human|are you a robot|security check|checking your browser"
 CHALLENGE = r"captcha|challenge|just a moment|attention required|verify|robot"
 CAPTCHA_WORDS = r"g-recaptcha|h-captcha|cf-turnstile|captcha|i am not a robot|i'm not a robot"
@@ -37,25 +44,26 @@ def header(name: str) -> Column:
     return F.col("headers")[name]
 
 
-def all_vendors() -> Column:
-    """Every vendor that headers, cookies or texts name, in rule order."""
-    text = F.lower(F.concat_ws(" ", "title", "body", "source", F.coalesce(header("set-cookie"), F.lit(""))))
-    tests = [vendor_test(v, text) for v in VENDOR_HEADERS]
-    return F.array_compact(F.array(*tests))
+def refuses() -> Column:
+    return F.coalesce(F.col("status").isin(*REFUSING), F.lit(False))
+
 
+def page_signs(signs: tuple[tuple[str, str], ...], *columns: str) -> list[Column]:
+    """The vendor of each sign that these columns hold on a refused response, else null."""
+    text = F.lower(F.concat_ws("\n", *columns))
+    return [F.when(refuses() & F.contains(text, F.lit(sign)), F.lit(vendor)) for sign, vendor in signs]
 
-def vendor_test(vendor: str, text: Column) -> Column:
-    named = F.lit(False)
-    for h in VENDOR_HEADERS[vendor]:
-        named = named | header(h).isNotNull()
-    if vendor in VENDOR_TEXT:
-        named = named | text.rlike(VENDOR_TEXT[vendor])
-    return F.when(F.coalesce(named, F.lit(False)), F.lit(vendor))
+
+def all_vendors() -> Column:
+    """Every vendor that headers, texts or sources name, in rule order, once each."""
+    edge = [F.when(F.contains(F.lower(header(h)), F.lit(part)), F.lit(v)) for h, part, v in EDGE_HEADERS]
+    block = [F.when(header(h).isNotNull(), F.lit(v)) for h, v in BLOCK_HEADERS]
+    return F.array_distinct(F.array_compact(F.array(*block, *edge, *page_signs(BLOCK_TEXT, "title", "body"), *page_signs(BLOCK_SOURCE, "source"))))
 
 
 def header_block() -> Column:
     """The vendor whose block header decides alone."""
-    return F.coalesce(*(F.when(header(h).isNotNull(), F.lit(v)) for v, h in BLOCK_HEADERS.items()))
+    return F.coalesce(*(F.when(header(h).isNotNull(), F.lit(v)) for h, v in BLOCK_HEADERS))
 
 
 def reference_ids(text: Column) -> Column:
@@ -71,11 +79,11 @@ def access_for_free(jsonld: Column) -> Column:
 
 
 def classify_response(responses: DataFrame) -> DataFrame:
-    """One row per label of each response: ``label, confidence, blocks, corroborating`` and ``top``.
+    """One row per label of each response: ``label, confidence, blocks, corroborating``.
 
     ``responses`` needs ``url, landed_url, status, headers (lower-case names),
-    title, body, source``; ``structural`` (struct) and ``chain`` are used where
-    present. Any block signal confirms, two corroborating ones make a label
+    title, body, source``; ``structural`` (struct) and ``chain`` (structs with a
+    ``url`` per redirect) are used where present. Any block signal confirms, two corroborating ones make a label
     probable, one possible (geo never above possible without a block). Without
     any label and with under 200 readable characters at status 200 or null, the
     label is ``insufficient_evidence``. Rows stay where they are: all rules are
@@ -89,12 +97,16 @@ def classify_response(responses: DataFrame) -> DataFrame:
     t, b, src, empty, refusing, n = F.col("__t"), F.col("__b"), F.col("__s"), F.col("__e"), F.col("__r"), F.col("__n")
     loginish = F.coalesce(F.col("landed_url").rlike(LOGIN_PATH), F.lit(False))
     continued = loginish & ~F.coalesce(F.col("url").rlike(LOGIN_PATH), F.lit(False)) & F.coalesce(F.lower("landed_url").rlike(CONTINUE), F.lit(False))
+    if "chain" in responses.columns:
+        hop = F.exists("chain", lambda x: x["url"].rlike(LOGIN_PATH) & F.lower(x["url"]).rlike(CONTINUE))
+        continued = continued | (F.coalesce(hop, F.lit(False)) & ~F.coalesce(F.col("url").rlike(LOGIN_PATH), F.lit(False)))
+    page_block = F.coalesce(*page_signs(BLOCK_TEXT, "title", "body"), *page_signs(BLOCK_SOURCE, "source")).isNotNull()
     soft = (n < 400) & (n != 202) & empty & (t.rlike(CHALLENGE) | b.rlike(CHALLENGE) | F.coalesce(F.lower("landed_url").rlike("captcha|challenge"), F.lit(False)))
     widget = src.rlike(CAPTCHA_WORDS) | b.rlike(CAPTCHA_WORDS)
     academic = src.rlike("citation_|scholarlyarticle") | b.rlike("institutional access|purchase (pdf|article)")
     paywalled = flag("paywall_container") | b.rlike(PAYWALL_WORDS)
     rules = [
-        ("botwall", "B", F.col("__v").isNotNull()), ("botwall", "B", n == 202), ("botwall", "B", soft), ("botwall", "C", refusing & b.rlike(BLOCK_WORDS)), ("botwall", "C", refusing & (F.size(all_vendors()) > 0) & src.rlike("challenge|captcha|blocked")), ("botwall", "C", refusing & t.rlike(CHALLENGE)),
+        ("botwall", "B", F.col("__v").isNotNull()), ("botwall", "B", page_block), ("botwall", "B", n == 202), ("botwall", "B", soft), ("botwall", "C", refusing & b.rlike(BLOCK_WORDS)), ("botwall", "C", refusing & (F.size(all_vendors()) > 0) & src.rlike("challenge|captcha|blocked")), ("botwall", "C", refusing & t.rlike(CHALLENGE)),
         ("captcha", "B", F.coalesce(F.lower(header("x-amzn-waf-action")).contains("captcha"), F.lit(False))), ("captcha", "B", src.contains("px-captcha")), ("captcha", "C", empty & t.contains("captcha")), ("captcha", "C", (refusing | empty) & widget),
         ("rate_limited", "B", n == 429), ("rate_limited", "B", header("retry-after").isNotNull() & (n >= 400) & (n != 503)), ("rate_limited", "C", (n >= 400) & b.rlike(RATE_WORDS)),
         ("login_required", "B", n == 401), ("login_required", "B", continued), ("login_required", "C", flag("has_password_field") & (loginish | empty | refusing)), ("login_required", "C", b.rlike(LOGIN_WORDS)),

@@ -119,3 +119,27 @@ def h1_classify(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 404).when(F.col("event_type") == "purchase", 429).when(F.col("event_type") == "click", 401).otherwise(200)
     r = events(spark, d).select("event_id", F.lit("https://a.example.com/x").alias("url"), F.lit("https://a.example.com/x").alias("landed_url"), status.alias("status"), F.create_map().cast("map<string,string>").alias("headers"), F.lit("").alias("title"), F.lit("hello").alias("body"), F.lit("").alias("source"))
     return C.classify_response(r).select("event_id", "label", "confidence")
+
+
+RESPONSES_SQL = "case event_type when 'click' then 'cf-mitigated' when 'view' then 'x-dd-b' when 'error' then 'server' else 'x-none' end"
+
+
+def blocked(spark: SparkSession, d: str) -> DataFrame:
+    """Responses with a block header, an edge server, a block page, or none, by the kind of event."""
+    name = F.expr(RESPONSES_SQL)
+    value = F.expr("case event_type when 'error' then 'AkamaiGHost' else 'x' end")
+    body = F.expr("case event_type when 'signup' then 'Press & Hold to confirm' else 'a page of plain words' end")
+    url = F.lit("https://a.example.com/x")
+    status = F.expr("case event_type when 'signup' then 403 else 200 end")
+    long = F.repeat(F.lit("readable words "), F.lit(20))
+    return events(spark, d).select("event_id", url.alias("url"), url.alias("landed_url"), status.alias("status"), F.create_map(name, value).alias("headers"), F.lit("").alias("title"), F.concat(body, F.lit(" "), long).alias("body"), F.lit("").alias("source"))
+
+
+@query("h4_vendors", "select event_id, case event_type when 'click' then 'Cloudflare' when 'view' then 'DataDome' when 'error' then 'Akamai' when 'signup' then 'HUMAN (PerimeterX)' else '' end as vendors, case event_type when 'click' then 'Cloudflare' when 'view' then 'DataDome' end as decides from events")
+def h4_vendors(spark: SparkSession, d: str) -> DataFrame:
+    return blocked(spark, d).select("event_id", F.array_join(C.all_vendors(), ",").alias("vendors"), C.header_block().alias("decides"))
+
+
+@query("h3_wall_for", "select event_id, 'botwall' as wall from events where event_type in ('click', 'view', 'signup')")
+def h3_wall_for(spark: SparkSession, d: str) -> DataFrame:
+    return C.wall_for(C.classify_response(blocked(spark, d)), "event_id").select("event_id", "wall")
