@@ -37,9 +37,7 @@ def lane_fold(observations: Column) -> Column:
 def record_outcomes(facts: DataFrame) -> DataFrame:
     """One record per (host, lane) of ``facts(host, lane, outcome, day, seq, vendor, wall)``; unknown outcomes and null keys are left out.
 
-    The fold is ordered, so a key's observations meet in one task: equal days
-    are first counted together, which bounds a key by its days and outcomes
-    only if the order within a day does not matter; here it does not halve.
+    The fold is ordered and keeps a key's observations together in one array.
     """
     rows = facts.where(F.col("outcome").isin(*OUTCOMES) & F.col("host").isNotNull() & F.col("lane").isNotNull())
     grouped = rows.groupBy("host", "lane").agg(F.array_sort(F.collect_list(F.struct("day", "seq", "outcome", "vendor", "wall"))).alias("o"))

@@ -15,7 +15,9 @@ from pagelens.functions import urls as U
 from pagelens.operators import article as A
 from pagelens.operators import evidence as E
 from pagelens.operators import identity as I
+from pagelens.operators import lanes as N
 from pagelens.operators import links as L
+from pagelens.operators import logs as G
 from pagelens.operators import structure as S
 from pagelens.operators import tables as B
 from pagelens.operators import view as V
@@ -337,3 +339,107 @@ def u7_visual_tokens(spark: SparkSession, d: str) -> DataFrame:
 )
 def u9_human_span(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select("event_id", T.human_span((F.col("event_id") * 37) % 1000000).alias("span"))
+
+
+@query(
+    "f1_anchor_keys",
+    """select c_custkey, case when c_custkey % 3 = 0 then 'testid' else 'role-name-landmark' end as strongest, case when c_custkey % 3 = 0 then 'p|main||t' || c_custkey else 'p|main||link|' || c_name end as key,
+    (1 + (c_custkey % 3 = 0)::int)::int as n from customer""",
+)
+def f1_anchor_keys(spark: SparkSession, d: str) -> DataFrame:
+    keys = anchored(spark, d).select("c_custkey", I.anchor_keys().alias("k"))
+    return keys.select("c_custkey", F.get("k", F.lit(0))["kind"].alias("strongest"), F.get("k", F.lit(0))["key"].alias("key"), F.size("k").alias("n"))
+
+
+def anchored(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as links, every third with a test id; of every fourth the name is that of its segment."""
+    none = F.lit(None).cast("string")
+    testid = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("t"), F.col("c_custkey").cast("string")))
+    fields = {"page_key": F.lit("p"), "role": F.lit("link"), "name": F.col("c_name"), "landmark": F.lit("main"), "landmark_label": F.lit(""), "labelled_ancestor": none, "attr_id": none, "attr_testid": testid, "attr_name": none}
+    return read_table(spark, d, "customer").withColumn("anchor", F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
+@query(
+    "f2_unique_keys",
+    """with u as (select c_nationkey as handle, c_custkey as ref, c_mktsegment as name from customer), n as (select *, count(*) over (partition by handle, name) as n from u) select handle, ref, 'role-name-landmark' as key_kind from n where n = 1""",
+)
+def f2_unique_keys(spark: SparkSession, d: str) -> DataFrame:
+    named = anchored(spark, d).withColumn("anchor", F.col("anchor").withField("name", F.col("c_mktsegment")).withField("attr_testid", F.lit(None).cast("string")))
+    units = named.select(F.col("c_nationkey").alias("handle"), F.lit(1).alias("token"), F.col("c_custkey").alias("ref"), F.lit("link").alias("kind"), "anchor")
+    return I.unique_keys(units).select("handle", "ref", "key_kind")
+
+
+@query(
+    "f6_nearest_by_name",
+    """with a as (select c_nationkey as handle, 'customer ' || c_custkey as asked_name from customer where c_custkey % 50 = 0), p as (select a.handle, asked_name, c_name as name, 1 - levenshtein(asked_name, c_name) / greatest(length(asked_name), length(c_name), 1)::double as ratio from a join customer c on a.handle = c.c_nationkey)
+    select handle, asked_name, name, ratio from (select *, row_number() over (partition by handle, asked_name order by ratio desc, name desc) as n from p where ratio >= 0.4) where n = 1""",
+)
+def f6_nearest_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth customer is asked for by a name that is not quite its own, among all of its page."""
+    c = read_table(spark, d, "customer")
+    asked = c.where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("handle"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name"))
+    return I.nearest_by_name(asked, c.select(F.col("c_nationkey").alias("handle"), F.col("c_name").alias("name"))).select("handle", "asked_name", "name", "ratio")
+
+
+@query(
+    "d4_disambiguate",
+    """with f as (select c_nationkey as page_id, c_custkey as node_id, c_mktsegment as name, '/p' || c_custkey % 40 as path, 'm' || c_custkey % 30 as landmark, c_custkey as ordinal from customer),
+    w as (select *, count(*) over k as n, count(distinct path) over k as paths, count(distinct landmark) over k as marks from f window k as (partition by page_id, name))
+    select page_id, node_id, case when n = 1 or paths = n then '' when marks = n then 'in ' || landmark else '#' || ordinal || ' link' end as hint from w""",
+)
+def d4_disambiguate(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    found = read_table(spark, d, "customer").select(F.col("c_nationkey").alias("page_id"), key.alias("node_id"), F.lit("link").alias("role"), F.col("c_mktsegment").alias("name"), F.concat(F.lit("/p"), (key % 40).cast("string")).alias("path"), F.concat(F.lit("m"), (key % 30).cast("string")).alias("landmark"), key.alias("ordinal"))
+    return L.disambiguate(found).select("page_id", "node_id", "hint")
+
+
+@query(
+    "e2_rank_score",
+    "select p_partkey, (case when p_size % 4 > 0 then 8.0 else -6.0 end + case when p_size > 25 then 6.0 else 0.0 end + least(6.0, sqrt(p_size * 100) / 20) - least(6.0, p_retailprice / 2000) + case when p_size % 2 = 0 then 1.0 else 0.0 end)::double as score from part",
+)
+def e2_rank_score(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("p_size") % 4 > 0, F.col("p_name"))
+    return read_table(spark, d, "part").select("p_partkey", V.rank_score(name, F.col("p_size") > 25, F.col("p_size") * 100, F.col("p_retailprice"), F.col("p_size") % 2 == 0).alias("score"))
+
+
+@query(
+    "e6_next_calls",
+    """with r as (select c_nationkey as page_id, c_custkey as region_id, (2 * (c_custkey % 9 - c_custkey % 5) + 3 * (c_custkey % 4) + least(c_custkey % 60, 40)) * case when c_custkey % 6 = 0 then 0.4 else 1 end as value from customer)
+    select page_id, region_id, rank from (select *, row_number() over (partition by page_id order by value desc, region_id) as rank from r where value > 0) where rank <= 6""",
+)
+def e6_next_calls(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    regions = read_table(spark, d, "customer").select(F.col("c_nationkey").alias("page_id"), key.alias("region_id"), (key % 9).alias("interactive"), (key % 5).alias("prose_links"), (key % 4).alias("headings"), (key % 60).alias("text_blocks"), (key % 6 == 0).alias("has_children"))
+    return V.next_calls(regions).select("page_id", "region_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "g12_auth_expiry",
+    """with k as (select c_nationkey as state, case c_custkey % 3 when 0 then 'sessionid' when 1 then 'auth_token' else 'theme' end as name, case when c_custkey % 5 = 0 then -1.0 else 1700000000 + c_custkey * 1000.0 end as expires from customer)
+    select state, min(case when expires > 0 then expires end)::double as expires_at, count(*) filter (expires <= 0) as session_cookies,
+    case when min(case when expires > 0 then expires end) - 1700050000 <= 0 then 'expired' when min(case when expires > 0 then expires end) - 1700050000 < 86400 then 'under 24 h' when min(case when expires > 0 then expires end) is null then 'none' else 'valid' end as note from k where name <> 'theme' group by state""",
+)
+def g12_auth_expiry(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    cookies = read_table(spark, d, "customer").select(F.col("c_nationkey").alias("state"), F.when(key % 3 == 0, "sessionid").when(key % 3 == 1, "auth_token").otherwise("theme").alias("name"), F.when(key % 5 == 0, F.lit(-1.0)).otherwise(1700000000 + key * 1000.0).alias("expires"))
+    return G.auth_expiry(cookies, 1700050000.0).select("state", "expires_at", "session_cookies", "note")
+
+
+@query("g15_list_workflows", "select c_custkey from customer where c_nationkey = 3 and c_custkey % 4 < 2")
+def g15_list_workflows(spark: SparkSession, d: str) -> DataFrame:
+    host = F.expr("case c_custkey % 4 when 0 then 'Shop' when 1 then 'www.shop' when 2 then 'webshop' else 'x.shopping' end || c_nationkey || '.example.com'")
+    return G.list_workflows(read_table(spark, d, "customer").withColumn("host", host), "shop3.example.com").select("c_custkey")
+
+
+@query(
+    "i11_coerce_records",
+    "select c_custkey, not (c_custkey % 7 = 0 or c_custkey % 11 = 0 or c_custkey % 13 = 0) as good from customer",
+)
+def i11_coerce_records(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    raw = read_table(spark, d, "customer").select(
+        "c_custkey", F.when(key % 13 != 0, F.lit("a.example.com")).alias("host"), F.lit("direct").alias("lane"), F.when(key % 7 == 0, F.lit("-1")).otherwise("2").alias("ok"), F.lit("0").alias("blocked"), F.lit("1").alias("dropped"),
+        F.when(key % 11 == 0, F.lit("2024-13-01")).otherwise("2024-01-31").alias("last_ok"), F.lit(None).cast("string").alias("last_bad"),
+    )
+    good, rejects = N.coerce_records(raw)
+    return good.select("c_custkey", F.lit(True).alias("good")).union(rejects.select("c_custkey", F.lit(False)))
