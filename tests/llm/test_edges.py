@@ -195,7 +195,7 @@ def test_pipeline(spark, tmp_path):
     item = " ".join("".join(x) for x in rng.choice(list("klmnopqr"), (30, 6)))
     license_line = "this line of the license is found in many of the documents here"
     docs = [(i, t + ("\n" + license_line if i in (3, 9) else ""), "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(texts)]
-    docs += [(40, None, None, "s", 0), (41, "12345 !!", "en", "s", 8), (42, texts[5] + " tail", "en", "s", 1), (43, texts[7][:200] + " " + item + " " + said(english, 30), "en", "s", 1)]
+    docs += [(40, None, None, "s", 0), (41, "12345 !!", "en", "s", 8), (42, texts[5] + " tail", "en", "s", 1), (43, texts[7][:200] + " " + item + " " + said(english, 30), "en", "s", 1), (44, texts[11].replace(" ", "\n"), "en", "s", 1)]
     folder = str(tmp_path)
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -206,9 +206,10 @@ def test_pipeline(spark, tmp_path):
         at = spark.read.parquet(f"{folder}/{name}")
         seen.append({r.doc_id: r for r in at.collect()})
     language, lines, near, clean, coded = seen
-    assert set(language) == set(range(40)) | {42, 43}
-    assert license_line in lines[3].text and lines[9].text == texts[9] and lines[9].n_chars == len(texts[9]) and set(lines) == set(language)
-    assert set(near) == set(lines) - {42} and set(clean) == set(near) - {43} and set(coded) == set(clean)
+    assert set(language) == set(range(40)) | {42, 43, 44}
+    assert license_line in lines[3].text and lines[9].text == texts[9] and lines[9].n_chars == len(texts[9])
+    assert set(lines) == set(language) - {42}  # its only line is nearly that of another document
+    assert set(near) == set(lines) - {44} and set(clean) == set(near) - {43} and set(coded) == set(clean)
     enc = bpe.encoding(bpe.read_ranks(RANKS), PATTERN)
     assert all(np.frombuffer(bytes(r.token_ids), "<u4").tolist() == enc.encode_ordinary(clean[i].text) for i, r in coded.items())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()) == sorted(coded)
