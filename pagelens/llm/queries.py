@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, ngram_join, pii, quality, suffix_dedup
+from pagelens.llm import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, ngram_join, phrases, pii, quality, suffix_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -85,9 +85,45 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that score highest, with their counts."""
+    return phrases.mine_phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+        FROM documents)),
+words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM pieces WHERE len(w) > 0),
+nearby AS (SELECT lang, w1, lead(w1, 1) OVER (PARTITION BY piece ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY piece ORDER BY i) AS w3 FROM words),
+grams AS (
+  SELECT lang, 1 AS n, w1 AS phrase, count(*) AS f FROM nearby GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM nearby WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM nearby WHERE w3 IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE n = 1 GROUP BY lang),
+candidates AS (SELECT lang, n, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE n >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k.k, l.f AS l, r.f AS r,
+         CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM candidates c JOIN (VALUES (1), (2)) AS k(k) ON k.k < c.n
+  JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k.k], ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k.k + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a
+  FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part FROM candidates WHERE n = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, t.n, b.score
+FROM best b JOIN totals t USING (lang) LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase
+WHERE coalesce(g.a, 0) * 100 < b.a * 50
+QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op4_decontamination, op5_embedding_near_dedup, op6_pii, op7_line_dedup, op8_quality, op9_language_id, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op4_decontamination, op5_embedding_near_dedup, op6_pii, op7_line_dedup, op8_quality, op9_language_id, op10_suffix_dedup, op11_phrase_collocation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_phrase_collocation": OP11_SQL}
