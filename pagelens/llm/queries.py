@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, ngram_join, phrases, pii, quality, suffix_dedup
+from pagelens.llm import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, ngram_join, phrases, pii, quality, substring_dedup, suffix_dedup, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -121,9 +121,45 @@ QUALIFY rank <= 2000
 """
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left once windows of 35 words that stand elsewhere too are removed."""
+    done = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs WHERE len(w) > 0),
+windows AS (
+  SELECT row, word, i, count(*) OVER ahead AS many, string_agg(word, ' ') OVER ahead AS text
+  FROM words WINDOW ahead AS (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+repeated AS (SELECT text FROM windows WHERE many = 35 GROUP BY text HAVING count(*) > 1),
+marked AS (
+  SELECT v.row, v.word, v.i,
+         coalesce(bool_or(v.many = 35 AND r.text IS NOT NULL) OVER (PARTITION BY v.row ORDER BY v.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM windows v LEFT JOIN repeated r ON v.text = r.text),
+left_over AS (
+  SELECT row, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY row)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN left_over k USING (row)
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of every usable vector on the eight leading components, scaled to unit variance."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fit = whitening.fit_whitening(rows)
+    white = whitening.whiten(rows, fit)
+    n, trace, values = (fit.n, fit.trace, fit.values.tolist()) if fit else (0, 0.0, [])
+    share = F.array(*(F.lit(v / trace if trace else 0.0) for v in values)) if values else F.lit(None).cast("array<double>")
+    each = white.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    wrong = whitening.identity_error(white) if fit else 0.0
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(share, F.col("at")).alias("explained"), F.lit(wrong).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op4_decontamination, op5_embedding_near_dedup, op6_pii, op7_line_dedup, op8_quality, op9_language_id, op10_suffix_dedup, op11_phrase_collocation)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_html_extraction, op4_decontamination, op5_embedding_near_dedup, op6_pii, op7_line_dedup, op8_quality, op9_language_id, op10_suffix_dedup, op11_phrase_collocation, op12_substring_dedup, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_phrase_collocation": OP11_SQL}
+    return {"op11_phrase_collocation": OP11_SQL, "op12_substring_dedup": OP12_SQL}
