@@ -162,8 +162,7 @@ def c3_table_headers(spark: SparkSession, d: str) -> DataFrame:
     f"with {LINES_SQL}, t as (select l_orderkey, count(*) as total from lineitem group by 1) select l_orderkey as page_id, n - 1 as row, l_linenumber || '|' || l_returnflag || '|' || l_quantity::bigint as cells, total as total_rows, case when total > 3 then 3 end::bigint as next_start_row from lines join t using (l_orderkey) where n <= 3",
 )
 def c4_get_table(spark: SparkSession, d: str) -> DataFrame:
-    cells = order_cells(spark, d)
-    return B.get_table(cells, B.table_headers(cells), 0, 3).select("page_id", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"), "total_rows", F.col("next_start_row").cast("long").alias("next_start_row"))
+    return B.get_table(order_cells(spark, d), 0, 3).select("page_id", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"), "total_rows", F.col("next_start_row").cast("long").alias("next_start_row"))
 
 
 @query(
