@@ -11,37 +11,49 @@ OUTCOMES = ("ok", "blocked", "dropped")
 HALVE_DAYS, STALE_DAYS = 30, 60
 
 
-def lane_fold(observations: Column) -> Column:
-    """Fold of ``array<struct<day,seq,outcome,vendor,wall>>`` in order to one record.
+RECORD = "ok int, blocked int, dropped int, last string, last_ok date, last_bad date, vendor string, wall string"
+NO_RECORD = "named_struct('ok', 0, 'blocked', 0, 'dropped', 0, 'last', cast(null as string), 'last_ok', cast(null as date), 'last_bad', cast(null as date), 'vendor', cast(null as string), 'wall', cast(null as string))"
 
-    Before each observation all counts are halved (rounded down) if the latest
-    evidence is over ``HALVE_DAYS`` old.
+
+def lane_fold(days: Column, start: Column) -> Column:
+    """Fold of the days of one lane, in order, onto a record.
+
+    Before the first observation of a day all counts are halved (rounded down) if
+    the latest evidence is over ``HALVE_DAYS`` old; those after it only count.
     """
-    start = F.struct(*(F.lit(0).alias(o) for o in OUTCOMES), F.lit(None).cast("string").alias("last"), F.lit(None).cast("date").alias("last_ok"), F.lit(None).cast("date").alias("last_bad"), F.lit(None).cast("string").alias("vendor"), F.lit(None).cast("string").alias("wall"))
 
     def step(a: Column, x: Column) -> Column:
         latest = F.greatest(a["last_ok"], a["last_bad"])
         old = F.coalesce(F.date_diff(x["day"], latest) > HALVE_DAYS, F.lit(False))
-        n = lambda o: (F.when(old, F.floor(a[o] / 2).cast("int")).otherwise(a[o]) + (x["outcome"] == o).cast("int")).alias(o)
-        good = x["outcome"] == "ok"
+        n = lambda o: (F.when(old, F.floor(a[o] / 2).cast("int")).otherwise(a[o]) + x[o]).alias(o)
         return F.struct(
-            *map(n, OUTCOMES), F.when(good, "ok").otherwise("bad").alias("last"),
-            F.when(good, F.greatest(a["last_ok"], x["day"])).otherwise(a["last_ok"]).alias("last_ok"),
-            F.when(good, a["last_bad"]).otherwise(F.greatest(a["last_bad"], x["day"])).alias("last_bad"),
+            *map(n, OUTCOMES), F.when(x["last"] == "ok", "ok").otherwise("bad").alias("last"),
+            F.when(x["ok"] > 0, F.greatest(a["last_ok"], x["day"])).otherwise(a["last_ok"]).alias("last_ok"),
+            F.when(x["blocked"] + x["dropped"] > 0, F.greatest(a["last_bad"], x["day"])).otherwise(a["last_bad"]).alias("last_bad"),
             F.coalesce(x["vendor"], a["vendor"]).alias("vendor"), F.coalesce(x["wall"], a["wall"]).alias("wall"),
         )
 
-    return F.aggregate(observations, start, step)
+    return F.aggregate(days, start, step)
 
 
-def record_outcomes(facts: DataFrame) -> DataFrame:
+def record_outcomes(facts: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """One record per (host, lane) of ``facts(host, lane, outcome, day, seq, vendor, wall)``; unknown outcomes and null keys are left out.
 
-    The fold is ordered and keeps a key's observations together in one array.
+    The observations of a day are counted first, with the last one and the latest
+    vendor and wall by ``seq``, before anything is shuffled; what meets in the
+    ordered fold is a row per day of a lane, however many observations it had.
+    ``records``, an earlier result, is carried on; facts must not be older than it.
     """
     rows = facts.where(F.col("outcome").isin(*OUTCOMES) & F.col("host").isNotNull() & F.col("lane").isNotNull())
-    grouped = rows.groupBy("host", "lane").agg(F.array_sort(F.collect_list(F.struct("day", "seq", "outcome", "vendor", "wall"))).alias("o"))
-    return grouped.select("host", "lane", lane_fold(F.col("o")).alias("r")).select("host", "lane", "r.*")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    daily = rows.groupBy("host", "lane", "day").agg(*(F.count_if(F.col("outcome") == o).cast("int").alias(o) for o in OUTCOMES), F.max_by("outcome", F.struct("seq", "outcome")).alias("last"), last("vendor"), last("wall"))
+    days = daily.groupBy("host", "lane").agg(F.array_sort(F.collect_list(F.struct("day", *OUTCOMES, "last", "vendor", "wall"))).alias("days"))
+    if records is None:
+        return days.select("host", "lane", lane_fold(F.col("days"), F.expr(NO_RECORD)).alias("r")).select("host", "lane", "r.*")
+    kept = records.select("host", "lane", F.struct("ok", "blocked", "dropped", "last", "last_ok", "last_bad", "vendor", "wall").cast(f"struct<{RECORD.replace(' ', ':').replace(',:', ',')}>").alias("r"))
+    both = kept.join(days, ["host", "lane"], "full")
+    folded = F.when(F.col("days").isNull(), F.col("r")).otherwise(lane_fold(F.col("days"), F.coalesce("r", F.expr(NO_RECORD))))
+    return both.select("host", "lane", folded.alias("r")).select("host", "lane", "r.*")
 
 
 def belief() -> Column:

@@ -40,25 +40,66 @@ def checks_fired(checks: DataFrame) -> DataFrame:
     return checks.withColumn("before", before).withColumn("fired", F.col("ok") & fires(F.col("condition"), F.col("before"), F.col("value")))
 
 
-def monitor_fold(checks: Column) -> Column:
-    """Fold of ``array<struct<at,ok,blocked>>`` in order: failures in a row, pause at ``MAX_FAILURES``, last attempt and success.
+MONITOR = "failures int, paused boolean, checks long, last_attempt double, last_ok double, last_failed boolean, blocked_until double"
+NEW_MONITOR = "named_struct('failures', 0, 'paused', false, 'checks', 0L, 'last_attempt', cast(null as double), 'last_ok', cast(null as double), 'last_failed', false, 'blocked_until', cast(null as double))"
+#: Seconds of checks that are summed up before a monitor's parts meet.
+CHUNK_S = 86_400
 
-    A blocked check counts as no failure; once paused, later checks change nothing.
+
+def monitor_fold(chunks: Column, start: Column) -> Column:
+    """Fold of the parts of one monitor's checks, in order, onto a state: failures in a row, pause at ``MAX_FAILURES``, last attempt and success.
+
+    Once paused, later checks change nothing. The failures before a part's first
+    success add to those carried in; those after its last one are carried on.
     """
-    start = F.struct(F.lit(0).alias("failures"), F.lit(False).alias("paused"), F.lit(0).alias("checks"), F.lit(None).cast("double").alias("last_attempt"), F.lit(None).cast("double").alias("last_ok"), F.lit(False).alias("last_failed"))
+    state = lambda *v: F.struct(*(x.alias(c.strip().split(" ")[0]) for x, c in zip(v, MONITOR.split(","))))
 
     def step(a: Column, c: Column) -> Column:
-        failures = F.when(c["ok"], 0).when(c["blocked"], a["failures"]).otherwise(a["failures"] + 1)
-        new = F.struct(failures.alias("failures"), (failures >= MAX_FAILURES).alias("paused"), (a["checks"] + 1).alias("checks"), c["at"].alias("last_attempt"), F.when(c["ok"], c["at"]).otherwise(a["last_ok"]).alias("last_ok"), (~c["ok"] & ~c["blocked"]).alias("last_failed"))
-        return F.when(a["paused"], a).otherwise(new)
+        carried = F.get(F.filter(c["early"], lambda x: x["run"] == MAX_FAILURES - a["failures"]), F.lit(0))
+        paused = lambda at, last_ok: state(F.lit(MAX_FAILURES), F.lit(True), a["checks"] + at["rn"], at["at"], last_ok, F.lit(True), F.coalesce(at["until"], a["blocked_until"]))
+        failures = F.when(c["succeeded"], c["late"]).otherwise(a["failures"] + c["late"])
+        new = state(failures, F.lit(False), a["checks"] + c["n"], c["last_attempt"], F.coalesce(c["last_ok"], a["last_ok"]), F.coalesce(c["last_failed"], a["last_failed"]), F.coalesce(c["until"], a["blocked_until"]))
+        return F.when(a["paused"], a).when(carried.isNotNull(), paused(carried, a["last_ok"])).when(c["inner"].isNotNull(), paused(c["inner"], c["inner"]["last_ok"])).otherwise(new)
 
-    return F.aggregate(checks, start, step)
+    return F.aggregate(chunks, start, step)
 
 
-def monitor_state(checks: DataFrame) -> DataFrame:
-    """State of each monitor after all of ``checks(monitor_id, at, seq, ok, blocked)``; a monitor's own checks meet in one task."""
-    rows = checks.groupBy("monitor_id").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "ok", "blocked"))).alias("c"))
-    return rows.select("monitor_id", monitor_fold(F.col("c")).alias("s")).select("monitor_id", "s.*")
+def monitor_state(checks: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """State of each monitor after all of ``checks(monitor_id, at, seq, ok, blocked)``, with ``blocked_until`` if the checks have it.
+
+    A blocked check counts as no failure and leaves the last verdict as it was.
+    Checks are summed up by monitor and day, in as many tasks as there are days;
+    what meets in the ordered fold is a row per day, however many checks it had.
+    ``states``, an earlier result, is carried on; checks must not be older than it.
+    """
+    until = F.col("blocked_until") if "blocked_until" in checks.columns else F.lit(None)
+    rows = checks.select("monitor_id", F.col("at").cast("double").alias("at"), "seq", F.coalesce("ok", F.lit(False)).alias("ok"), (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("ok", F.lit(False))).alias("blocked"), until.cast("double").alias("until"))
+    rows = rows.withColumn("chunk", F.floor(F.col("at") / CHUNK_S)).withColumn("failed", ~F.col("ok") & ~F.col("blocked"))
+    so_far = W.partitionBy("monitor_id", "chunk").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("rn", F.count("*").over(so_far)).withColumn("good", F.count_if("ok").over(so_far)).withColumn("bad", F.count_if("failed").over(so_far))
+    rows = rows.withColumn("run", (F.col("bad") - F.coalesce(F.max(F.when(F.col("ok"), F.col("bad"))).over(so_far), F.lit(0))).cast("int"))
+    rows = rows.withColumn("last_ok", F.last(F.when(F.col("ok"), F.col("at")), True).over(so_far)).withColumn("until_now", F.last(F.when(F.col("blocked"), F.col("until")), True).over(so_far))
+    here = F.struct("rn", "at", "last_ok", F.col("until_now").alias("until"))
+    early = F.col("failed") & (F.col("good") == 0) & (F.col("run") <= MAX_FAILURES)
+    parts = rows.groupBy("monitor_id", "chunk").agg(
+        F.count("*").alias("n"), F.max_by("at", "rn").alias("last_attempt"), F.max_by("last_ok", "rn").alias("last_ok"), F.max_by("run", "rn").alias("late"), F.max_by("until_now", "rn").alias("until"),
+        F.max_by("failed", F.when(~F.col("blocked"), F.col("rn"))).alias("last_failed"), (F.max("good") > 0).alias("succeeded"),
+        F.collect_list(F.when(early, F.struct("run", "rn", "at", F.col("until_now").alias("until")))).alias("early"),
+        F.min(F.when(F.col("failed") & (F.col("good") > 0) & (F.col("run") == MAX_FAILURES), here)).alias("inner"),
+    )
+    each = parts.groupBy("monitor_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "n", "last_attempt", "last_ok", "late", "until", "last_failed", "succeeded", "early", "inner"))).alias("parts"))
+    if states is None:
+        return each.select("monitor_id", monitor_fold(F.col("parts"), F.expr(NEW_MONITOR)).alias("s")).select("monitor_id", "s.*")
+    kept = states.select("monitor_id", F.struct(*(F.col(c.split(" ")[0]).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in MONITOR.split(", "))).alias("s"))
+    both = kept.join(each, "monitor_id", "full")
+    folded = F.when(F.col("parts").isNull(), F.col("s")).otherwise(monitor_fold(F.col("parts"), F.coalesce("s", F.expr(NEW_MONITOR))))
+    return both.select("monitor_id", folded.alias("s")).select("monitor_id", "s.*")
+
+
+def check_history(checks: DataFrame, keep: int = 50) -> DataFrame:
+    """The newest ``keep`` checks of each monitor, as ``age`` counts them from 1."""
+    newest = W.partitionBy("monitor_id").orderBy(F.desc("at"), F.desc("seq"))
+    return checks.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= keep)
 
 
 def state_of(now: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagelens.operators import logs as G
 from pagelens.plans.registry import query
 from pagelens.sources.pages import read_table
+from pagelens.streaming import stateful as K
+from pagelens.streaming.run import drain
 
 LEVEL_SQL = "case event_type when 'error' then 'error' when 'purchase' then 'warning' else 'info' end"
 SHAPE_SQL = r"regexp_replace(event_type || ' ' || props, '\b[0-9]+\b', '#', 'g')"
@@ -22,8 +24,13 @@ def console(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.expr(LEVEL_SQL).alias("level"), F.concat_ws(" ", "event_type", "props").alias("text"))
 
 
-def calls(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", F.expr(KIND_SQL).alias("kind"), F.concat(F.lit("https://"), F.col("props").substr(7, 1), F.lit(".example.com")).alias("origin"), F.col("event_type").alias("sig"))
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """``events`` as a stream of files."""
+    return spark.readStream.schema(events(spark, d).schema).parquet(f"{d}/events.[p]arquet")
+
+
+def calls(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return (events(spark, d) if rows is None else rows).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", F.expr(KIND_SQL).alias("kind"), F.concat(F.lit("https://"), F.col("props").substr(7, 1), F.lit(".example.com")).alias("origin"), F.col("event_type").alias("sig"))
 
 
 @query(
@@ -66,16 +73,16 @@ def g9_redact_secrets(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", G.redact_secrets(F.col("props"), ["7", "69"]).alias("props"))
 
 
-@query(
-    "g16_charge_budget",
-    f"""with recursive c as (select user_id as session, event_id as seq, {KIND_SQL} as kind, 'https://' || substr(props, 7, 1) || '.example.com' as origin, row_number() over (partition by user_id order by event_id) as rn from events),
+BUDGET_SQL = f"""with recursive c as (select user_id as session, event_id as seq, {KIND_SQL} as kind, 'https://' || substr(props, 7, 1) || '.example.com' as origin, row_number() over (partition by user_id order by event_id) as rn from events),
     f as (
       select session, seq, rn, null::varchar as refused, 1 as a, (kind = 'navigation')::int as n, (kind = 'download')::int as w, [origin] as o from c where rn = 1
       union all
       select session, seq, rn, r, a + (r is null)::int, n + (r is null and kind = 'navigation')::int, w + (r is null and kind = 'download')::int, case when r is null and not list_contains(o, origin) then list_append(o, origin) else o end
       from (select c.*, f.a, f.n, f.w, f.o, case when f.a >= 25 then 'action' when c.kind = 'navigation' and f.n >= 6 then 'navigation' when c.kind = 'download' and f.w >= 4 then 'download' when not list_contains(f.o, c.origin) and len(f.o) >= 7 then 'new_origin' end as r from f join c on c.session = f.session and c.rn = f.rn + 1)
-    ) select session, seq, refused from f""",
-)
+    ) select session, seq, refused from f"""
+
+
+@query("g16_charge_budget", BUDGET_SQL)
 def g16_charge_budget(spark: SparkSession, d: str) -> DataFrame:
     """Wall clock is left out here by a limit beyond the month of the events."""
     rows = calls(spark, d).withColumn("ts", F.lit(0.0))
@@ -96,11 +103,11 @@ def g17_budget_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return G.budget_snapshot(calls(spark, d)).drop("wall_s")
 
 
-@query(
-    "g18_loop_detect",
-    """with w as (select user_id as session, event_id as seq, event_type as sig, list(event_type) over (partition by user_id order by event_id rows between 19 preceding and current row) as r from events)
-    select session, seq, case when len(list_filter(r, lambda x: x = sig)) >= 5 then 'repeat' when len(r) >= 8 and len(list_distinct([r[-1], r[-3], r[-5], r[-7]])) = 1 and len(list_distinct([r[-2], r[-4], r[-6], r[-8]])) = 1 and r[-1] <> r[-2] then 'alternation' end as loop from w""",
-)
+LOOP_SQL = """with w as (select user_id as session, event_id as seq, event_type as sig, list(event_type) over (partition by user_id order by event_id rows between 19 preceding and current row) as r from events)
+    select session, seq, case when len(list_filter(r, lambda x: x = sig)) >= 5 then 'repeat' when len(r) >= 8 and len(list_distinct([r[-1], r[-3], r[-5], r[-7]])) = 1 and len(list_distinct([r[-2], r[-4], r[-6], r[-8]])) = 1 and r[-1] <> r[-2] then 'alternation' end as loop from w"""
+
+
+@query("g18_loop_detect", LOOP_SQL)
 def g18_loop_detect(spark: SparkSession, d: str) -> DataFrame:
     return G.loop_detect(calls(spark, d)).select("session", "seq", "loop")
 
@@ -117,14 +124,34 @@ def g19_parse_retry_after(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", G.parse_retry_after(raw, F.col("now")).alias("wait"))
 
 
-@query(
-    "g20_backoff_windows",
-    """with r as (select user_id as domain, event_id as seq, epoch(ts) as t, case event_type when 'error' then 429 when 'signup' then 503 else 200 end as status, case event_id % 3 when 1 then 0.0 when 2 then user_id * 600.0 end as wait from events),
+BACKOFF_SQL = """with r as (select user_id as domain, event_id as seq, epoch(ts) as t, case event_type when 'error' then 429 when 'signup' then 503 else 200 end as status, case event_id % 3 when 1 then 0.0 when 2 then user_id * 600.0 end as wait from events),
     o as (select *, case when status in (429, 503) and coalesce(wait, 60.0) > 0 then t + coalesce(wait, 60.0) end as until from r),
-    m as (select *, max(until) over (partition by domain order by t, seq rows between unbounded preceding and 1 preceding) as open from o) select domain, seq, coalesce(open > t, false) as refused from m""",
-)
-def g20_backoff_windows(spark: SparkSession, d: str) -> DataFrame:
+    m as (select *, max(until) over (partition by domain order by t, seq rows between unbounded preceding and 1 preceding) as open from o) select domain, seq, coalesce(open > t, false) as refused from m"""
+
+
+def responses(rows: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 503).otherwise(200)
     wait = F.when(F.col("event_id") % 3 == 1, 0.0).when(F.col("event_id") % 3 == 2, F.col("user_id") * 600.0)
-    r = events(spark, d).select(F.col("user_id").alias("domain"), F.col("event_id").alias("seq"), "ts", status.alias("status"), wait.alias("wait"))
-    return G.backoff_windows(r).select("domain", "seq", "refused")
+    return rows.select(F.col("user_id").alias("domain"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), wait.alias("wait"))
+
+
+@query("g20_backoff_windows", BACKOFF_SQL)
+def g20_backoff_windows(spark: SparkSession, d: str) -> DataFrame:
+    return G.backoff_windows(responses(events(spark, d))).select("domain", "seq", "refused")
+
+
+@query("j9_backoff_stream", BACKOFF_SQL)
+def j9_backoff_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Nothing is late: the files of a folder make one batch."""
+    return drain(K.backoff_stream(responses(event_stream(spark, d)))).select("domain", "seq", "refused")
+
+
+@query("j9_loop_stream", LOOP_SQL)
+def j9_loop_stream(spark: SparkSession, d: str) -> DataFrame:
+    return drain(K.loop_detect_stream(calls(spark, d, event_stream(spark, d)))).select("session", "seq", "loop")
+
+
+@query("j9_budget_stream", BUDGET_SQL)
+def j9_budget_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = calls(spark, d, event_stream(spark, d)).withColumn("ts", F.lit(0.0))
+    return drain(K.charge_calls_stream(rows, {"action": 25, "navigation": 6, "download": 4, "new_origin": 7}))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.operators import identity as I
 from pagelens.operators import lanes as N
 from pagelens.operators import monitor as M
+from pagelens.operators import refs as R
 from pagelens.plans.log_queries import events
 from pagelens.plans.registry import query
+from pagelens.streaming import stateful as K
+from pagelens.streaming.run import VersionedTable, drain, shared_dir
 
 LANE_SQL = "case when event_type in ('view', 'click') then 'headless' else 'headed' end"
 OUTCOME_SQL = "case event_type when 'error' then 'blocked' when 'signup' then 'dropped' else 'ok' end"
@@ -138,3 +144,97 @@ def f9_batch_outcome(spark: SparkSession, d: str) -> DataFrame:
     outcome = F.when(F.col("event_type") == "error", "STALE").when(F.col("event_type") == "click", "REBOUND").otherwise("OK")
     items = events(spark, d).select(F.col("user_id").alias("batch"), F.col("event_id").alias("pos"), F.col("event_id").alias("ref"), outcome.alias("outcome"))
     return I.batch_outcome(items).select("batch", "completed", "rebound", F.col("failed.ref").alias("failed_ref"), "not_attempted")
+
+
+UNIT_KEYS = """list_filter([case when k % 5 = 0 then 'testid:p|main||t' || k % 11 end, case when k % 3 = 0 then 'id:p|main||i' || k % 13 end, case when event_type = 'purchase' then 'named-control:p|main||purchase|f' || k % 4 end, case when k % 4 = 0 then 'role-name-scoped:p|main||' || event_type || '|n' || k % 17 || '|b' || k % 3 end, 'role-name-landmark:p|main||' || event_type || '|n' || k % 17], lambda x: x is not null)"""
+#: The fold unit by unit: the state is the map of keys, the refs that the read has used and the number of refs.
+REFS_SQL = f"""e as (select user_id as handle, case when event_type in ('error', 'signup') then 'inner' else '' end as frame, case event_type when 'click' then 'control' else 'link' end as kind, event_id as ord, event_type, cast(regexp_extract(props, '[0-9]+') as int) as k, cast(ntile(5) over (partition by user_id order by event_id) as bigint) as token from events),
+    ks as (select *, {UNIT_KEYS} as keys from e),
+    single as (select handle, frame, kind, token, key from (select handle, frame, kind, token, unnest(keys) as key from ks) group by all having count(*) = 1),
+    own as (select ks.handle, ks.frame, ks.kind, ks.token, ks.ord, list_filter(any_value(ks.keys), lambda x: list_contains(coalesce(list(s.key), []), x)) as keys from ks left join single s on s.handle = ks.handle and s.frame = ks.frame and s.kind = ks.kind and s.token = ks.token and list_contains(ks.keys, s.key) group by ks.handle, ks.frame, ks.kind, ks.token, ks.ord),
+    u as (select *, row_number() over (partition by handle, frame, kind order by token, ord) as rn from own),
+    f as (select distinct handle, frame, kind, 0::bigint as rn, 0::bigint as token, 0::bigint as ord, 0::bigint as ref, '' as key_kind, false as turn_local, false as minted, map([], [])::map(varchar, bigint) as known, []::bigint[] as used, 0::bigint as n from u
+    union all select handle, frame, kind, rn, token, ord, ref, key_kind, turn_local, minted, case when len(keys) = 0 then known else map_concat(known, map(keys, list_transform(keys, lambda x: ref))) end, list_append(spent, ref), n + minted::int
+    from (select u.*, f.known, case when u.token = f.token then f.used else []::bigint[] end as spent, f.n,
+        list_filter(u.keys, lambda x: f.known[x] is not null and not list_contains(case when u.token = f.token then f.used else []::bigint[] end, f.known[x]))[1] as hit,
+        coalesce(f.known[hit], f.n + 1) as ref, split_part(coalesce(hit, u.keys[1], 'turn-local'), ':', 1) as key_kind, len(u.keys) = 0 as turn_local, hit is null as minted
+        from f join u on u.handle = f.handle and u.frame = f.frame and u.kind = f.kind and u.rn = f.rn + 1)),
+    bound as (select handle, frame, kind, token, ord, ref, key_kind, turn_local, minted from f where rn > 0)"""
+
+
+def ref_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units of five reads per user: event kinds as frames and kinds of units, numbers of the properties as attributes."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    e = events(spark, d).withColumn("k", k).withColumn("token", F.ntile(5).over(W.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    some = lambda test, prefix, n: F.when(test, F.concat(F.lit(prefix), (F.col("k") % n).cast("string")))
+    anchor = F.struct(
+        F.lit("p").alias("page_key"), F.col("event_type").alias("role"), some(F.lit(True), "n", 17).alias("name"), F.lit("main").alias("landmark"), F.lit("").alias("landmark_label"), some(F.col("k") % 4 == 0, "b", 3).alias("labelled_ancestor"),
+        some(F.col("k") % 3 == 0, "i", 13).alias("attr_id"), some(F.col("k") % 5 == 0, "t", 11).alias("attr_testid"), some(F.col("event_type") == "purchase", "f", 4).alias("attr_name"),
+    )
+    frame, kind = F.when(F.col("event_type").isin("error", "signup"), "inner").otherwise(""), F.when(F.col("event_type") == "click", "control").otherwise("link")
+    return e.select(F.col("user_id").alias("handle"), frame.alias("frame"), kind.alias("kind"), "token", F.col("event_id").alias("ord"), anchor.alias("anchor"))
+
+
+@query("f3_bind_reads", f"with recursive {REFS_SQL} select * from bound")
+def f3_bind_reads(spark: SparkSession, d: str) -> DataFrame:
+    return R.bind_reads(ref_units(spark, d))
+
+
+@query(
+    "f3_ref_entries",
+    f"""with recursive {REFS_SQL}, full_reads as (select handle, frame, max(token) as full_read from bound group by all), named as (select b.*, e.event_type as role, 'n' || e.k % 17 as name from bound b join e on e.ord = b.ord),
+    entries as (select handle, frame, kind, ref, min(token) as minted, max(token) as seen, arg_max(key_kind, token) as key_kind, arg_max(role, token) as role, arg_max(name, token) as name, arg_max(turn_local, token) as turn_local from named group by all)
+    select handle, frame, kind, ref, minted, seen, key_kind, turn_local, full_read > seen as gone, case when full_read > seen then role || ' "' || name || '"' end as gone_as from entries join full_reads using (handle, frame)""",
+)
+def f3_ref_entries(spark: SparkSession, d: str) -> DataFrame:
+    units = ref_units(spark, d)
+    return R.ref_entries(R.bind_reads(units), units).drop("role", "name")
+
+
+@query("j9_ref_stream", f"with recursive {REFS_SQL} select * from bound")
+def j9_ref_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The registry as a stream of reads, which are stored first as a source would."""
+    reads = R.reads_of(ref_units(spark, d))
+    path = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}"
+    reads.write.parquet(path)
+    return drain(K.bind_reads_stream(spark.readStream.schema(reads.schema).parquet(path)))
+
+
+@query("i3_folded_batches", f"with recursive {FOLD_SQL} select * replace (last_ok::varchar as last_ok, last_bad::varchar as last_bad) from rec")
+def i3_folded_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The lane records from three batches folded one after the other into a stored table, the second one twice."""
+    stored = VersionedTable(spark, f"{shared_dir(spark)}/lanes-{uuid.uuid4().hex}")
+    rows = facts(spark, d)
+    part = F.when(F.col("day") < F.lit("2024-06-01"), 0).when(F.col("day") < F.lit("2025-01-01"), 1).otherwise(2)
+    for batch in (0, 1, 1, 2):
+        stored.fold(rows.where(part == batch), batch, N.record_outcomes)
+    out = stored.read().drop("vendor", "wall")
+    return out.withColumn("last_ok", F.col("last_ok").cast("string")).withColumn("last_bad", F.col("last_bad").cast("string"))
+
+
+J3_SQL = f"""c as (select *, row_number() over (partition by monitor_id order by tsec, seq) as rn from ({CHECKS_SQL})),
+    f as (select monitor_id, rn, (not ok and not blocked)::int as failures, false as paused, 1::bigint as checks, tsec as last_attempt, case when ok then tsec end as last_ok, case when not blocked then not ok else false end as last_failed, case when blocked then tsec + 900 end as blocked_until from c where rn = 1
+    union all select monitor_id, rn, failures, failures >= 6, checks, last_attempt, last_ok, last_failed, blocked_until from (select c.monitor_id, c.rn, case when f.paused then f.failures when c.ok then 0 when c.blocked then f.failures else f.failures + 1 end as failures, f.checks + (not f.paused)::int as checks,
+        case when f.paused then f.last_attempt else c.tsec end as last_attempt, case when c.ok and not f.paused then c.tsec else f.last_ok end as last_ok, case when f.paused or c.blocked then f.last_failed else not c.ok end as last_failed, case when c.blocked and not f.paused then c.tsec + 900 else f.blocked_until end as blocked_until
+        from f join c on c.monitor_id = f.monitor_id and c.rn = f.rn + 1)),
+    last as (select * exclude (rn) from (select *, row_number() over (partition by monitor_id order by rn desc) as k from f) where k = 1)"""
+
+
+def waits(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of which all but purchases and clicks fail or are blocked, with the end of each block."""
+    return checks(spark, d).withColumn("blocked_until", F.when(F.col("blocked"), F.col("at") + 900))
+
+
+@query("j3_folded_batches", f"with recursive {J3_SQL} select monitor_id, failures, paused, checks, last_attempt, last_ok, last_failed, blocked_until from last")
+def j3_folded_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Monitor states from three batches folded one after the other into a stored table, the second one twice."""
+    stored = VersionedTable(spark, f"{shared_dir(spark)}/monitors-{uuid.uuid4().hex}")
+    part = F.when(F.col("at") < 1704931200, 0).when(F.col("at") < 1705795200, 1).otherwise(2)
+    for batch in (0, 1, 1, 2):
+        stored.fold(waits(spark, d).where(part == batch), batch, M.monitor_state)
+    return stored.read()
+
+
+@query("j3_check_history", f"select monitor_id, seq, age from (select *, row_number() over (partition by monitor_id order by tsec desc, seq desc) as age from ({CHECKS_SQL})) where age <= 50")
+def j3_check_history(spark: SparkSession, d: str) -> DataFrame:
+    return M.check_history(checks(spark, d)).select("monitor_id", "seq", F.col("age").cast("long").alias("age"))
