@@ -77,25 +77,63 @@ def article_meta(nodes: DataFrame) -> DataFrame:
     return metas.join(heads, "page_id", "full").select("page_id", pick["value"].alias("title"), pick["source"].alias("title_source"), F.left("byline", F.lit(120)).alias("byline"), "published", "modified")
 
 
-def article_verdict(nodes: DataFrame, body: DataFrame) -> DataFrame:
-    """``article`` or ``none`` with the reasons against it: few blocks, short, links, a small share of the page."""
+
+def article_verdict(nodes: DataFrame, body: DataFrame, found_threads: DataFrame | None = None) -> DataFrame:
+    """``article``, else ``thread`` where ``found_threads`` (of ``threads``) has the page, else ``none``, with the figures and the reasons against an article.
+
+    Reasons: fewer than three prose blocks, under 400 characters, over half of
+    the text in links, under 15% of the page's text.
+    """
     inside = article_blocks(nodes, body).groupBy("page_id").agg(F.count_if(F.length("text") >= 25).alias("prose_blocks"), F.sum(F.length("text")).alias("body_chars"))
     whole = text_blocks(nodes).groupBy("page_id").agg(F.sum(F.length("text")).alias("page_chars"))
     j = whole.join(body.select("page_id", "link_density"), "page_id", "left").join(inside, "page_id", "left").na.fill(0, ["prose_blocks", "body_chars"])
     against = F.array_compact(F.array(F.when(F.col("prose_blocks") < 3, "few-blocks"), F.when(F.col("body_chars") < 400, "short"), F.when(F.col("link_density") > 0.5, "links"), F.when(F.col("body_chars") < 0.15 * F.col("page_chars"), "small-share")))
-    return j.withColumn("against", F.array_join(against, ",")).withColumn("verdict", F.when(F.size(against) == 0, "article").otherwise("none"))
-
-
-def threads(nodes: DataFrame, hops: int = 8, least_posts: int = 3, least_chars: int = 200) -> DataFrame:
-    """Posts of the largest group of repeated sibling containers that each hold a machine-readable time."""
-    times = nodes.where((F.col("tag") == "time") & attr("datetime").isNotNull()).select("page_id", "node_id", attr("datetime").alias("at"), F.slice(F.reverse("ancestors.id"), 1, hops + 1).alias("up"))
-    pairs = times.select("page_id", "node_id", "at", F.posexplode(F.slice("up", 1, hops)).alias("hop", "box"), "up").withColumn("group", F.get("up", F.col("hop") + 1)).where("group is not null")
-    size = pairs.groupBy("page_id", "group").agg(F.count_distinct("box").alias("n")).where(F.col("n") >= least_posts)
-    best = size.groupBy("page_id").agg(F.max(F.struct("n", F.col("group"))).alias("b")).select("page_id", F.col("b.group").alias("group"))
-    boxes = pairs.join(best, ["page_id", "group"]).groupBy("page_id", "group", "box").agg(F.min_by("at", "node_id").alias("at"))
-    posts = inner_text(nodes, nodes.join(boxes.select("page_id", F.col("box").alias("node_id"), "at"), ["page_id", "node_id"]))
-    out = posts.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("node_id")).alias("post"), "at", F.left("inner", F.lit(1200)).alias("text")).where("post <= 200")
-    return out.withColumn("n_posts", F.count("*").over(W.partitionBy("page_id"))).withColumn("chars", F.sum(F.length("text")).over(W.partitionBy("page_id"))).where((F.col("n_posts") >= least_posts) & (F.col("chars") >= least_chars)).drop("chars")
+    j = j.withColumn("share_of_page", F.round(F.col("body_chars") / F.col("page_chars"), 2))
+    known = F.lit(False)
+    if found_threads is not None:
+        j = j.join(found_threads.select("page_id", F.lit(True).alias("__thread")).distinct(), "page_id", "left")
+        known = F.coalesce("__thread", F.lit(False))
+    return j.withColumn("against", F.array_join(against, ",")).withColumn("verdict", F.when(F.size(against) == 0, "article").when(known, "thread").otherwise("none")).drop("__thread")
+
+
+def names_author() -> Column:
+    """Whether an element says who wrote what it stands in."""
+    cls, rel = F.concat(F.lit(" "), F.coalesce(attr("class"), F.lit("")), F.lit(" ")), F.concat(F.lit(" "), F.coalesce(attr("rel"), F.lit("")), F.lit(" "))
+    parent = F.exists("ancestors", lambda x: x["tag"].isin("h3", "h4"))
+    return F.coalesce(attr("itemprop") == "author", F.lit(False)) | rel.contains(" author ") | cls.contains(" user ") | cls.contains("author") | cls.contains("username") | F.coalesce(F.contains(attr("data-testid"), F.lit("author")), F.lit(False)) | ((F.col("tag") == "a") & parent)
+
+
+def threads(nodes: DataFrame, hops: int = 8, least_posts: int = 3, least_chars: int = 200, most_posts: int = 200) -> DataFrame:
+    """``page_id, post, node_id, author, at, at_text, text, n_posts``: posts of the largest group of siblings that each hold a machine-readable time.
+
+    A time climbs at most ``hops`` parents, up to the body, to the nearest one of
+    which ``least_posts`` children hold a time; the child it came through is a
+    post of that parent. The parent with most posts is the thread, the first in
+    the page among equals; a report of its first ``most_posts`` posts. Hidden
+    times and posts are left out where ``nodes`` are those of ``hidden_nodes``.
+    Pages with fewer posts, or under ``least_chars`` characters in them, have none.
+    """
+    seen = nodes.where("hidden_reason is null") if "hidden_reason" in nodes.columns else nodes
+    stamps = seen.where(attr("datetime").isNotNull() & ~F.col("tag").startswith("#"))
+    stamps = stamps.select("page_id", F.col("node_id").alias("stamp"), attr("datetime").alias("at"), F.concat(F.array("node_id"), F.reverse("ancestors.id")).alias("up"), F.concat(F.array("tag"), F.reverse("ancestors.tag")).alias("tags"))
+    steps = stamps.select("page_id", "stamp", "at", F.posexplode("up").alias("hop", "box"), "up", "tags").withColumn("parent", F.get("up", F.col("hop") + 1)).where("parent is not null").withColumn("top", F.get("tags", F.col("hop") + 1).isin("body", "html"))
+    holds = steps.groupBy("page_id", "parent").agg(F.count_distinct("box").alias("n")).where(F.col("n") >= least_posts)
+    fenced = steps.withColumn("fence", F.min(F.when(F.col("top"), F.col("hop"))).over(W.partitionBy("page_id", "stamp"))).where((F.col("hop") < hops) & (F.col("fence").isNull() | (F.col("hop") < F.col("fence"))))
+    nearest = fenced.join(holds, ["page_id", "parent"]).groupBy("page_id", "stamp", "at").agg(F.min(F.struct("hop", "parent", "box")).alias("s")).select("page_id", "stamp", "at", "s.parent", "s.box")
+    group = nearest.groupBy("page_id", "parent").agg(F.count_distinct("box").alias("n"), F.min("stamp").alias("first")).where(F.col("n") >= least_posts)
+    best = group.groupBy("page_id").agg(F.min(F.struct(-F.col("n"), "first", "parent")).alias("b")).select("page_id", F.col("b.parent").alias("parent"))
+    boxes = nearest.join(best, ["page_id", "parent"]).groupBy("page_id", "box").agg(F.min("stamp").alias("stamp"), F.min_by("at", "stamp").alias("at"))
+    ranked = boxes.withColumn("post", F.row_number().over(W.partitionBy("page_id").orderBy("stamp"))).where(F.col("post") <= most_posts).withColumnRenamed("box", "node_id")
+    posts = inner_text(nodes, seen.join(ranked, ["page_id", "node_id"]))
+    spans = posts.select("page_id", "node_id", "last_desc")
+    told = inner_text(nodes, nodes.where(names_author() & ~F.col("tag").startswith("#"))).select("page_id", F.col("node_id").alias("who"), T.squash(F.coalesce(attr("content"), F.col("inner"))).alias("author"))
+    authors = spans.join(told, "page_id").where(F.col("who").between(F.col("node_id"), F.col("last_desc"))).groupBy("page_id", "node_id").agg(F.min_by("author", "who").alias("author"))
+    times = inner_text(nodes, nodes.where(attr("datetime").isNotNull())).select("page_id", F.col("node_id").alias("stamp"), F.nullif(T.clip(F.col("inner"), 60), F.lit("")).alias("at_text"))
+    out = posts.select("page_id", "post", "node_id", "stamp", F.nullif(T.squash(F.col("at")), F.lit("")).alias("at"), F.col("inner").alias("text")).join(authors, ["page_id", "node_id"], "left").join(times, ["page_id", "stamp"], "left")
+    w = W.partitionBy("page_id")
+    sized = out.withColumn("n_posts", F.count("*").over(w)).withColumn("chars", F.sum(F.length("text")).over(w)).where((F.col("n_posts") >= least_posts) & (F.col("chars") >= least_chars))
+    author = F.when(F.length("author").between(1, 120), F.col("author"))
+    return sized.select("page_id", "post", "node_id", author.alias("author"), "at", "at_text", T.clip(F.col("text"), 1200).alias("text"), "n_posts")
 
 
 def inline_links(nodes: DataFrame, pages: DataFrame, body: DataFrame, most: float = 0.25) -> DataFrame:

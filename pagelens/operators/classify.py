@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelens.functions import submission_words as named
 from pagelens.functions import urls as U
+from pagelens.functions.normal import folded
 
 #: Labels from most to least severe.
 SEVERITY = ("captcha", "botwall", "rate_limited", "login_required", "geo_blocked", "age_gated", "paywall_academic", "paywall_news", "paywall_saas", "maintenance", "http_500", "http_404", "soft_404", "gdpr_consent")
@@ -145,28 +149,77 @@ def pan_shape(value: Column) -> Column:
     return F.length(value).between(13, 32) & bare.rlike(r"^[0-9*•xX]{13,19}$")
 
 
-#: Words that make a submission consequential, by class, first class first.
-SUBMISSION_WORDS = {"payment": ("pay", "buy", "purchase", "checkout", "order now", "place order", "donate"), "credential": ("log in", "login", "sign in", "signin", "password", "register", "sign up"), "destructive": ("delete", "remove", "erase", "close account", "deactivate", "cancel subscription"), "legal": ("agree", "accept", "consent", "sign document", "terms"), "broadcast": ("send", "post", "publish", "share", "invite", "reply")}
+#: Letters of scripts that set no blanks between words.
+UNSPACED = r"[\u1100-\u11ff\u3040-\u30ff\u3130-\u318f\u3400-\u4dbf\u4e00-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff]+"
+#: An amount of money as pages print it.
+AMOUNT = r"(?i)[$€£¥₩₹¢]\s?\d|\d\s?[€£¥₩₹¢]|\b(?:usd|eur|gbp|jpy|krw|cny|rmb|cad|aud|chf|inr|brl|mxn)\s?\d|\d\s?(?:usd|eur|gbp|jpy|krw|cny|rmb|cad|aud|chf|inr|brl|mxn)\b|\d\s?(?:원|円|元|€)"
 
 
 def squashed(text: Column) -> Column:
-    parted = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Ll})(\p{Lu})", "$1 $2")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(parted), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Lower-case words between blanks, camel case parted, diacritics folded; of the first 400 characters."""
+    parted = F.left(F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Ll}|\p{N})(\p{Lu})", "$1 $2"), F.lit(400))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(parted), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def first_term(hay: Column, terms: tuple[str, ...]) -> Column:
+    """The first of ``terms`` in ``hay``: as words of their own, but anywhere for terms of unspaced scripts. Null without one."""
+    alone = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t if re.fullmatch(UNSPACED, t) else f" {t} ").alias("w")) for t in terms))
+    return F.get(F.filter(alone, lambda x: F.contains(hay, x["w"])), F.lit(0))["t"]
+
+
+def action_path(action: Column) -> Column:
+    """The path of a form's action; the host, the query and the fragment say nothing."""
+    bare = F.regexp_replace(F.coalesce(action, F.lit("")), r"[?#].*$", "")
+    return F.when(F.contains(bare, F.lit("://")), F.regexp_extract(bare, r"://[^/]*(/.*)$", 1)).otherwise(bare)
+
+
+def with_hays(census: DataFrame) -> DataFrame:
+    """``census`` with the squashed submitter, path and checkbox labels, in one pass through Python."""
+    return census.withColumns({"__submitter": squashed(F.col("submitter")), "__path": squashed(action_path(F.col("action"))), "__labels": squashed(F.col("checkbox_labels"))})
+
+
+def is_search(name: Column) -> Column:
+    """Whether a form of ``with_hays`` only searches: one field, by GET, nothing paid or secret, a search word in its path, its submitter or the field's ``name``."""
+    word = F.coalesce(first_term(F.col("__path"), named.SEARCH), first_term(F.col("__submitter"), named.SEARCH), first_term(name, named.SEARCH)).isNotNull()
+    return (F.upper(F.coalesce("method", F.lit("GET"))) == "GET") & F.coalesce(F.col("field_count") == 1, F.lit(False)) & ~F.coalesce("payment", F.lit(False)) & ~F.coalesce("secret", F.lit(False)) & word
 
 
 def classify_submission(census: DataFrame) -> DataFrame:
-    """Class and reason of each form of ``form_census``; payment and secret fields decide first, then whole words of submitter, labels and path. The host is ignored."""
-    hay = squashed(F.concat_ws(" ", "submitter", "checkbox_labels", U.part(F.concat(F.lit("https://h"), F.regexp_replace("action", r"^https?://[^/]+", "")), "PATH")))
-    words = [F.when(F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(hay, F.concat(F.lit(" "), w, F.lit(" ")))), F.struct(F.lit(c).alias("cls"), F.lit("words").alias("reason"))) for c, ws in SUBMISSION_WORDS.items()]
-    by_field = [F.when(F.col("payment"), F.struct(F.lit("payment").alias("cls"), F.lit("field").alias("reason"))), F.when(F.col("secret"), F.struct(F.lit("credential").alias("cls"), F.lit("field").alias("reason")))]
-    broadcast = F.when(F.col("recipient") & F.col("textarea"), F.struct(F.lit("broadcast").alias("cls"), F.lit("recipient").alias("reason")))
-    return census.withColumn("__c", F.coalesce(*by_field, *words, broadcast)).withColumn("cls", F.coalesce("__c.cls", F.lit("none"))).withColumn("reason", F.col("__c.reason")).drop("__c")
+    """``census`` with ``cls`` (``payment``, ``credential``, ``destructive``, ``legal``, ``broadcast`` or ``none``), ``reason`` and ``term`` of each form.
+
+    The worst class that holds decides, in this order. ``census`` has
+    ``submitter, action, checkbox_labels, method, field_count, payment, secret,
+    textarea, recipient``. Payment: a field, the submitter's words, the path's
+    words unless the form only searches, or a printed amount with a word that
+    confirms. Words are compared whole in scripts with blanks and anywhere in
+    those without, after case and diacritics are folded (NFKD).
+    """
+    f = with_hays(census)
+    sub, path, labels = F.col("__submitter"), F.col("__path"), F.col("__labels")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    amount = F.coalesce(F.col("submitter").rlike(AMOUNT), F.lit(False))
+    free = flag("textarea") | flag("recipient")
+    found = lambda cls, reason, term: F.when(term.isNotNull(), F.struct(F.lit(cls).alias("cls"), F.lit(reason).alias("reason"), term.alias("term")))
+    given = lambda cls, reason, test: F.when(test, F.struct(F.lit(cls).alias("cls"), F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("term")))
+    rules = (
+        given("payment", "field", flag("payment")), found("payment", "words", first_term(sub, named.PAYMENT)),
+        found("payment", "words", F.when(~is_search(F.lit("")), first_term(path, named.PAYMENT))),
+        found("payment", "amount", F.when(amount, F.coalesce(first_term(sub, named.PAYMENT_CONFIRM), first_term(path, named.PAYMENT_PATHS)))),
+        given("credential", "field", flag("secret")),
+        found("destructive", "words", F.coalesce(first_term(sub, named.DESTRUCTIVE), first_term(path, named.DESTRUCTIVE))),
+        found("legal", "checkbox", F.when(F.col("submitter").isNotNull(), first_term(labels, named.ASSENT_LABELS))), found("legal", "words", first_term(sub, named.ASSENT)),
+        found("broadcast", "words", F.coalesce(first_term(sub, named.BROADCAST_STRONG), first_term(path, named.BROADCAST_STRONG))),
+        given("broadcast", "recipient", flag("textarea") & flag("recipient")),
+        found("broadcast", "send", F.when(free, F.coalesce(first_term(sub, named.BROADCAST_SEND), first_term(path, named.BROADCAST_SEND)))),
+    )
+    return f.withColumn("__c", F.coalesce(*rules)).withColumn("cls", F.coalesce("__c.cls", F.lit("none"))).withColumn("reason", F.col("__c.reason")).withColumn("term", F.col("__c.term")).drop("__c", "__submitter", "__path", "__labels")
 
 
 def search_shaped(census: DataFrame) -> DataFrame:
-    """Forms that only search: GET, one field, nothing secret or paid, a search word in the path or submitter."""
-    word = squashed(F.concat_ws(" ", "action", "submitter")).rlike(" (search|find|query|suche|recherche|buscar) ")
-    return census.withColumn("search_shaped", (F.col("method") == "GET") & (F.col("field_count") == 1) & ~F.col("payment") & ~F.col("secret") & ~has_amount(F.coalesce("submitter", F.lit(""))) & word)
+    """``census`` with ``search_shaped``: forms that only search; ``field_name``, where the census has it, may say so too."""
+    name = squashed(F.col("field_name")) if "field_name" in census.columns else F.lit("")
+    f = with_hays(census).withColumn("__name", name)
+    return f.withColumn("search_shaped", is_search(F.col("__name"))).drop("__submitter", "__path", "__labels", "__name")
 
 
 def match_profile(urls: DataFrame, profiles: DataFrame) -> DataFrame:

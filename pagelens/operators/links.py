@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import urls as U
+from pagelens.session import stored
 from pagelens.operators.structure import NO_PROSE, attr, inner_text, under
 
 #: Labels that mean "next page", and citation tags by field, best first.
@@ -90,28 +91,51 @@ def next_link(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return found.groupBy("page_id").agg(F.min("s").alias("s")).select("page_id", F.col("s.target").alias("next_url"), F.col("s.rank").alias("source"))
 
 
-def read_series(start: DataFrame, chain: DataFrame, max_pages: int = 5, budget_chars: int = 40_000) -> DataFrame:
-    """Pages read from ``start(url)`` along ``chain(url, next_url, text)``, one row per page, with the reason each series stopped.
+MAX_SERIES = 25
 
-    A bounded number of equi-joins, one for each step, carries all series at
-    once: ``end``, ``loop``, ``page-cap``, ``char-budget`` or ``end-of-corpus``.
+
+def read_series(start: DataFrame, chain: DataFrame, max_pages: int = 5, max_chars: int = 8000, budget_chars: int = 40_000) -> DataFrame:
+    """``series, step, url, read, chars, clipped, stop, resume``: pages from ``start(url)`` along ``chain(url, next_url, text)``, with the reason each series stopped.
+
+    ``chain`` may also say what a page answers with: ``wall`` (its name, as of
+    ``wall_for``), ``resource`` (as of ``resource_kind``) and ``failed`` (it could
+    not be fetched). A page of another resource than ``html`` is not read:
+    ``unreadable-resource``. A page read gives up to ``max_chars`` characters;
+    then ``page-cap`` (at most 25 pages), ``char-budget``, ``end`` (no next link
+    over http) and ``loop`` are looked at, in this order, and before the next page
+    is read ``navigation-failed``, ``end-of-corpus`` and ``wall``, which are rows
+    that are not read. ``chars`` counts from the start of the series; ``resume``
+    is where a later call can go on.
+
+    All series take a step at once, one equi-join each, and what a step found is
+    stored, so that a step costs what is still under way and nothing is done twice.
     """
-    at = start.select(F.col("url").alias("series"), "url", F.lit(1).alias("step"), F.array("url").alias("seen"), F.lit(0).alias("chars"))
-    out = None
-    for step in range(1, max_pages + 1):
-        hit = at.join(chain, "url", "left").withColumn("chars", F.col("chars") + F.coalesce(F.length("text"), F.lit(0)))
+    most = max(1, min(max_pages, MAX_SERIES))
+    have = lambda c, kind: (F.col(c) if c in chain.columns else F.lit(None)).cast(kind).alias(c)
+    pages = stored(chain.select("url", "next_url", F.coalesce("text", F.lit("")).alias("text"), have("wall", "string"), have("resource", "string"), have("failed", "boolean"), F.lit(True).alias("there")))
+    at = start.select(F.col("url").alias("series"), "url", F.lit(1).alias("step"), F.array("url").alias("seen"), F.lit(0).cast("long").alias("chars"))
+    out: list[DataFrame] = []
+    for step in range(1, most + 1):
+        first = F.lit(step == 1)
+        unread = F.when(~first & F.coalesce("failed", F.lit(False)), "navigation-failed").when(F.col("there").isNull(), "end-of-corpus").when(~first & F.col("wall").isNotNull(), "wall").when(F.coalesce("resource", F.lit("html")) != "html", "unreadable-resource")
+        hit = at.join(pages, "url", "left").withColumn("unread", unread)
+        hit = hit.withColumn("chars", F.col("chars") + F.when(F.col("unread").isNull(), F.least(F.length("text"), F.lit(max_chars))).otherwise(0))
+        onward = F.when(F.col("next_url").rlike("(?i)^https?://"), F.col("next_url"))
         stop = (
-            F.when(F.col("text").isNull(), "end-of-corpus")
-            .when(F.col("chars") >= budget_chars, "char-budget")
-            .when(F.col("next_url").isNull(), "end")
-            .when(F.array_contains("seen", F.col("next_url")), "loop")
-            .when(F.lit(step) == max_pages, "page-cap")
-        )
-        hit = hit.withColumn("stop", stop)
-        rows = hit.select("series", "step", "url", "chars", "stop")
-        out = rows if out is None else out.unionByName(rows)
-        at = hit.where("stop is null").select("series", F.col("next_url").alias("url"), F.lit(step + 1).alias("step"), F.concat("seen", F.array("next_url")).alias("seen"), "chars")
-    return out
+            F.when(F.col("unread").isNotNull(), F.col("unread")).when(F.lit(step == most), "page-cap").when(F.col("chars") >= budget_chars, "char-budget")
+            .when(onward.isNull(), "end").when(F.array_contains("seen", onward), "loop")
+        )
+        hit = hit.withColumn("onward", onward).withColumn("stop", stop)
+        resume = F.when(F.col("stop").isin("page-cap", "char-budget"), F.col("onward")).when(F.col("stop") == "navigation-failed", F.col("url"))
+        told = stored(hit.select("series", "step", "url", F.col("unread").isNull().alias("read"), "chars", (F.col("unread").isNull() & (F.length("text") > max_chars)).alias("clipped"), "stop", resume.alias("resume"), "onward", "seen"))
+        out.append(told.drop("onward", "seen"))
+        at = told.where("stop is null").select("series", F.col("onward").alias("url"), F.lit(step + 1).alias("step"), F.concat("seen", F.array("onward")).alias("seen"), "chars")
+        if at.isEmpty():
+            break
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def citation_meta(nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
+from pagelens.functions.normal import normal_form
 from pagelens.operators.fold import ordered_fold
 
 #: Failures after which a monitor pauses itself; order of states in a report.
@@ -15,15 +16,36 @@ STATE_ORDER = ("stale", "blocked", "suspended", "changed", "paused", "never_chec
 
 
 def content_hash(text: Column) -> Column:
-    """Digest of the squashed text."""
-    return F.sha2(T.squash(text), 256)
+    """Digest of the text in NFC with its white space squashed: what looks the same is the same."""
+    return F.sha2(T.squash(normal_form(text, "NFC")), 256)
 
 
-def observe(pages: DataFrame, monitors: DataFrame) -> DataFrame:
-    """Value of each monitor on each page version: ``monitors(monitor_id, url, condition, needle)`` met on the url with ``pages(url, observed_at, text)``."""
-    j = pages.join(monitors, "url")
-    value = F.when(F.col("condition") == "hash", content_hash(F.col("text"))).when(F.col("condition") == "count", F.regexp_count("text", F.col("needle")).cast("string")).otherwise(F.contains("text", F.col("needle")).cast("string"))
-    return j.select("monitor_id", "observed_at", "condition", value.alias("value"), F.col("text").isNotNull().alias("ok"))
+def observe(pages: DataFrame, monitors: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Value of each monitor on each page version: ``monitors(monitor_id, url, condition, needle)`` met on the url with ``pages(url, observed_at, text)``.
+
+    A ``hash`` monitor digests the text, a ``count`` one counts its needle (a
+    regular expression) and the others look whether it stands there. Monitors
+    with a ``selector`` (``#id``, ``.class`` or a tag) look at that element of
+    ``nodes(url, observed_at, …)`` alone, the first in order; its absence is a
+    failure, as is a page without text. ``count`` with a selector counts the
+    elements.
+    """
+    chosen = "selector" in monitors.columns and nodes is not None
+    whole = monitors.where(F.col("selector").isNull()) if chosen else monitors
+    keys = ["monitor_id", "observed_at", "condition"]
+    seen = pages.join(whole, "url").select(*keys, "needle", "text", F.lit(None).cast("long").alias("n"))
+    if chosen:
+        asked = pages.select("url", "observed_at").join(monitors.where(F.col("selector").isNotNull()), "url")
+        units = nodes.where("tag not like '#%'").select("url", "observed_at", "page_id", "node_id", "last_desc", F.explode(F.array_distinct(F.concat(F.array("tag"), F.coalesce(F.array(F.concat(F.lit("#"), F.col("attrs")["id"])), F.array()), F.transform(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), lambda c: F.concat(F.lit("."), c))))).alias("selector"))
+        hits = asked.join(units, ["url", "observed_at", "selector"]).groupBy("url", "observed_at", *[c for c in asked.columns if c not in ("url", "observed_at")]).agg(F.min(F.struct("page_id", "node_id", "last_desc")).alias("first"), F.count("*").alias("n"))
+        runs = nodes.where("tag = '#text'").select("url", "observed_at", F.col("node_id").alias("t"), "own_text")
+        inside = hits.join(runs, ["url", "observed_at"]).where(F.col("t").between(F.col("first.node_id"), F.col("first.last_desc")))
+        texts = inside.groupBy("monitor_id", "url", "observed_at").agg(F.array_join(F.array_sort(F.collect_list(F.struct("t", "own_text")))["own_text"], "").alias("text"))
+        found = asked.join(hits.select("monitor_id", "url", "observed_at", "n"), ["monitor_id", "url", "observed_at"], "left").join(texts, ["monitor_id", "url", "observed_at"], "left")
+        seen = seen.unionByName(found.select(*keys, "needle", F.when(F.col("n").isNotNull(), F.coalesce("text", F.lit(""))).alias("text"), "n"))
+    seen = seen.withColumn("hash", content_hash(F.col("text")))
+    value = F.when(F.col("condition") == "hash", F.col("hash")).when(F.col("condition") == "count", F.coalesce("n", F.regexp_count("text", F.col("needle")).cast("long")).cast("string")).otherwise(F.contains("text", F.col("needle")).cast("string"))
+    return seen.select(*keys, value.alias("value"), F.col("text").isNotNull().alias("ok"))
 
 
 def fires(condition: Column, before: Column, after: Column) -> Column:

@@ -100,10 +100,54 @@ def next_calls(regions: DataFrame, limit: int = 6) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
-def completeness(units: DataFrame, selected: DataFrame) -> DataFrame:
-    """Units of each page by kind, class and status (``printed`` if selected, else ``suppressed_by_quota``), with subtotals per kind and page."""
-    marked = units.join(selected.select("page_id", "node_id").withColumn("__in", F.lit(True)), ["page_id", "node_id"], "left").withColumn("status", F.when(F.col("__in"), "printed").otherwise("suppressed_by_quota"))
-    return marked.groupingSets([["page_id", "kind", "status", "cls"], ["page_id", "kind"], ["page_id"]], "page_id", "kind", "status", "cls").agg(F.count("*").alias("n"))
+STATUSES = ("printed", "summarized", "suppressed_by_quota", "dropped_by_rung", "listed_not_expanded", "not_reached", "listed_container_only", "no_content")
+
+
+def unit_ledger(units: DataFrame, caps: dict[str, int | None], quotas: dict[str, int], field_cap: int | None = None) -> DataFrame:
+    """``units`` with ``status``, what a read of the page did with each: one of ``STATUSES``.
+
+    ``units(page_id, kind, node_id, cls, pos, reached, owns, has_children,
+    expanded, form_id)``, one row per thing the page has. In order:
+    ``not_reached`` beyond the walk; a region without content of its own is
+    ``listed_container_only`` with nested regions and ``no_content`` without; an
+    affordance beyond the quota of its class (0 for a class without one) is
+    ``suppressed_by_quota``; what is beyond the rung's cap of its kind (no cap:
+    null) is ``dropped_by_rung``; a region that is not opened is
+    ``listed_not_expanded``; a field of a dropped form goes with it, one beyond
+    ``field_cap`` of its form is ``summarized``; the rest is ``printed``. Ranks
+    count only what an earlier rule left. Nulls count as false, a null kind has no cap.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) if d else F.create_map().cast("map<string,int>")
+    cap = F.element_at(table({k: v for k, v in caps.items() if v is not None}), F.coalesce("kind", F.lit("")))
+    quota = F.coalesce(F.element_at(table(quotas), F.coalesce("cls", F.lit(""))), F.lit(0))
+    empty = (F.col("kind") == "region") & ~flag("owns")
+    early = F.when(~flag("reached"), "not_reached").when(empty & flag("has_children"), "listed_container_only").when(empty, "no_content")
+    rows = units.withColumn("__early", early)
+    order = ["pos", "node_id"]
+    within = F.row_number().over(W.partitionBy("page_id", "kind", "cls", F.col("__early").isNull()).orderBy(*order))
+    rows = rows.withColumn("__early", F.when(F.col("__early").isNull() & (F.col("kind") == "affordance") & (within > quota), "suppressed_by_quota").otherwise(F.col("__early")))
+    rank = F.row_number().over(W.partitionBy("page_id", "kind", F.col("__early").isNull()).orderBy(*order))
+    is_field = F.col("kind") == "field"
+    rows = rows.withColumn("__early", F.when(F.col("__early").isNull() & ~F.coalesce(is_field, F.lit(False)) & (rank > cap), "dropped_by_rung").otherwise(F.col("__early")))
+    lost = rows.where("kind = 'form' and __early is not null").select("page_id", F.col("node_id").alias("form_id"), F.lit(True).alias("__lost")).distinct()
+    rows = rows.join(lost, ["page_id", "form_id"], "left").withColumn("__early", F.when(F.col("__early").isNull() & is_field & F.col("__lost"), "dropped_by_rung").otherwise(F.col("__early")))
+    field = F.row_number().over(W.partitionBy("page_id", "form_id", F.col("__early").isNull() & F.coalesce(is_field, F.lit(False))).orderBy(*order))
+    much = F.lit(False) if field_cap is None else F.coalesce(is_field, F.lit(False)) & (field > field_cap)
+    closed = (F.col("kind") == "region") & ~flag("expanded")
+    status = F.when(F.col("__early").isNotNull(), F.col("__early")).when(closed, "listed_not_expanded").when(much, "summarized").otherwise("printed")
+    return rows.withColumn("status", status).drop("__early", "__lost")
+
+
+def completeness(ledger: DataFrame) -> DataFrame:
+    """``page_id, kind, status, cls, n, level``: units of each page by kind, status and class, with subtotals by kind and status, by kind and by page, from one aggregation over grouping sets.
+
+    Every unit of the ledger is counted once on each level, so the statuses of a
+    page sum to its census.
+    """
+    sets = [["page_id", "kind", "status", "cls"], ["page_id", "kind", "status"], ["page_id", "kind"], ["page_id"]]
+    level = F.when(F.grouping("kind") == 1, "page").when(F.grouping("status") == 1, "kind").when(F.grouping("cls") == 1, "status").otherwise("class")
+    return ledger.groupingSets(sets, "page_id", "kind", "status", "cls").agg(F.count("*").alias("n"), level.alias("level"))
 
 
 def pack_parts(parts: DataFrame, ceiling: int = 400) -> DataFrame:

@@ -14,8 +14,9 @@ from pagelens.operators import monitor as M
 from pagelens.operators import refs as R
 from pagelens.plans.log_queries import events
 from pagelens.plans.registry import query
+from pagelens.session import shared_dir
 from pagelens.streaming import stateful as K
-from pagelens.streaming.run import VersionedTable, drain, shared_dir
+from pagelens.streaming.run import VersionedTable, drain
 
 LANE_SQL = "case when event_type in ('view', 'click') then 'headless' else 'headed' end"
 OUTCOME_SQL = "case event_type when 'error' then 'blocked' when 'signup' then 'dropped' else 'ok' end"
