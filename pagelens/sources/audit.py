@@ -55,9 +55,9 @@ class AuditLog:
         """Append records; pass it to ``foreachBatch`` for a stream."""
         batch.write.mode("append").json(self.path)
 
-    def _rows(self, manifest: dict) -> DataFrame:
+    def _rows(self, manifest: dict, files: list[str]) -> DataFrame:
         gone = set(manifest["files"])
-        paths = [f"{self.path}/{n}" for n in self.appended() if n not in gone]
+        paths = [f"{self.path}/{n}" for n in files if n not in gone]
         if manifest["folder"]:
             paths.append(manifest["folder"])
         if not paths:
@@ -66,7 +66,7 @@ class AuditLog:
 
     def read(self) -> DataFrame:
         """All records kept; a malformed line is left out."""
-        return self._rows(self.manifest())
+        return self._rows(self.manifest(), self.appended())
 
     def rotate(self, keep: int = KEEP) -> dict:
         """Keep the newest ``keep`` records by ``seq`` once there are over twice as many.
@@ -76,7 +76,7 @@ class AuditLog:
         """
         now = self.manifest()
         files = self.appended()
-        rows = self._rows({**now, "files": [*now["files"]]})
+        rows = self._rows(now, files)
         total = rows.count()
         if total <= 2 * keep:
             return {**now, "rotated": False}
