@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm.common import bounded_batches, cut, drop_cut, free_shuffles, unused
 from pagelens.llm.ngram_join import slices
-from pagelens.llm.suffix_dedup import anchors
+from pagelens.llm.suffix_dedup import anchors, run_hashes
 
 
 @dataclass(frozen=True)
@@ -27,8 +27,8 @@ class PassageParams:
 
     length: int = 35
     gram: int = 20
-    shard: int = 512
-    crowd: int = 4096
+    shard: int = 256
+    crowd: int = 2048
     broadcast_ids: int = 2_000_000
 
     @property
@@ -285,15 +285,20 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str =
     if not crowds.isEmpty():
 
         def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each window once: under the first of its grams of the smallest hash, as all windows of these words are."""
             for pdf in batches:
                 out = []
-                for key, at, lead, weight, b in zip(pdf["key"], pdf["at"].tolist(), pdf["lead"].tolist(), pdf["weight"].tolist(), pdf["words"]):
-                    w = b.split(b" ")
+                split = [b.split(b" ") for b in pdf["words"]]
+                hashes, begin = word_hashes(split), 0
+                for key, at, lead, weight, w in zip(pdf["key"], pdf["at"].tolist(), pdf["lead"].tolist(), pdf["weight"].tolist(), split):
+                    grams = run_hashes(hashes[begin : begin + len(w)], p.gram)
+                    begin += len(w)
                     for s in range(len(w) - p.length + 1):
-                        out.append((blake2b(b" ".join(w[s : s + p.length]), digest_size=16).digest(), key, at - lead + s, weight))
+                        if s <= lead < s + p.window and int(grams[s : s + p.window].argmin()) == lead - s:
+                            out.append((blake2b(b" ".join(w[s : s + p.length]), digest_size=16).digest(), key, at - lead + s, weight))
                 yield pd.DataFrame(out, columns=["window", "key", "a", "weight"])
 
-        each = cut(crowds.mapInPandas(windows, "window binary, key binary, a int, weight int").distinct())
+        each = cut(crowds.mapInPandas(windows, "window binary, key binary, a int, weight int"))
         often = cut(each.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window"))
         found_spans.append(cut(each.where("weight = 1").join(few(often, p), "window").select("key", "a", (F.col("a") + p.length).alias("z")).distinct()))
         for done in (each, often):
