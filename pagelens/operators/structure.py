@@ -219,15 +219,22 @@ def inner_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
     return of.join(summed, ["page_id", "node_id"], "left").withColumn("inner", F.coalesce("inner", F.lit("")))
 
 
+#: Children that name the element around them.
+CAPTION_TAGS = {"legend": "fieldset", "caption": "table", "figcaption": "figure"}
+
+
 def accessible_names(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """``of`` with ``name`` and ``name_source`` by the precedence of references, labels, content, title and id."""
+    """``of`` with ``name`` and ``name_source`` by the precedence of references (all of them, in order), labels, legends and captions, content, title and id."""
     named = inner_text(nodes, of)
-    texts = inner_text(nodes, nodes.where(attr("id").isNotNull() | (F.col("tag") == "label"))).select(F.col("page_id").alias("p"), attr("id").alias("ref"), attr("for").alias("target"), F.col("tag").alias("label_tag"), F.col("inner").alias("ref_text"))
-    by_id = texts.where("ref is not null").groupBy("p", "ref").agg(F.first("ref_text").alias("labelledby"))
+    texts = inner_text(nodes, nodes.where(attr("id").isNotNull() | F.col("tag").isin("label", *CAPTION_TAGS))).select(F.col("page_id").alias("p"), F.col("parent_id").alias("up"), attr("id").alias("ref"), attr("for").alias("target"), F.col("tag").alias("label_tag"), F.col("inner").alias("ref_text"))
+    by_id = texts.where("ref is not null").groupBy("p", "ref").agg(F.first("ref_text").alias("ref_text"))
+    asked = of.where(attr("aria-labelledby").isNotNull()).select(F.col("page_id").alias("p"), F.col("node_id").alias("asking"), F.posexplode(F.split(F.trim(attr("aria-labelledby")), r"\s+")).alias("pos", "ref"))
+    several = asked.join(by_id, ["p", "ref"]).groupBy("p", "asking").agg(F.array_join(F.filter(F.array_sort(F.collect_list(F.struct("pos", "ref_text")))["ref_text"], lambda t: t != ""), " ").alias("labelledby"))
     labels = texts.where("label_tag = 'label' and target is not null").groupBy("p", "target").agg(F.first("ref_text").alias("label"))
-    first_ref = F.substring_index(F.trim(attr("aria-labelledby")), " ", 1)
-    j = named.join(by_id, (F.col("page_id") == by_id["p"]) & (first_ref == by_id["ref"]), "left").drop("p", "ref")
+    heads = texts.where(F.col("label_tag").isin(*CAPTION_TAGS)).groupBy("p", "up", "label_tag").agg(F.first("ref_text").alias("heading"))
+    j = named.join(several, (F.col("page_id") == several["p"]) & (F.col("node_id") == several["asking"]), "left").drop("p", "asking")
     j = j.join(labels, (F.col("page_id") == labels["p"]) & (attr("id") == labels["target"]), "left").drop("p", "target")
+    j = j.join(heads, (F.col("page_id") == heads["p"]) & (F.col("node_id") == heads["up"]) & (mapped(F.col("tag"), {v: k for k, v in CAPTION_TAGS.items()}) == heads["label_tag"]), "left").drop("p", "up", "label_tag")
     some = lambda c: F.nullif(T.squash(c), F.lit(""))
     button = (F.col("tag") == "input") & F.lower(attr("type")).isin("button", "submit", "reset", "image")
     content_named = role_of().isin("link", "button", "heading", "tab", "menuitem", "option", "checkbox", "radio", "switch", "cell", "columnheader", "row") & (F.col("tag") != "input")
@@ -237,6 +244,7 @@ def accessible_names(nodes: DataFrame, of: DataFrame) -> DataFrame:
             (some(attr("aria-label")), "computed"),
             (F.when(button, F.coalesce(some(attr("value")), some(attr("alt")))), "computed"),
             (some(F.col("label")), "computed"),
+            (some(F.col("heading")), "computed"),
             (F.when(F.col("tag") == "img", some(attr("alt"))), "computed"),
             (F.when(content_named, some(F.col("inner"))), "computed"),
             (some(attr("placeholder")), "fallback:placeholder"),
@@ -245,13 +253,30 @@ def accessible_names(nodes: DataFrame, of: DataFrame) -> DataFrame:
         )),
     )
     best = F.get(F.filter(ranked, lambda x: x["v"].isNotNull()), F.lit(0))
-    return j.withColumn("__n", best).withColumn("name", T.clip(F.col("__n.v"), 100)).withColumn("name_source", F.when(F.length("__n.v") > 100, "truncated").otherwise(F.coalesce("__n.s", F.lit("none")))).drop("__n", "labelledby", "label")
+    return j.withColumn("__n", best).withColumn("name", T.clip(F.col("__n.v"), 100)).withColumn("name_source", F.when(F.length("__n.v") > 100, "truncated").otherwise(F.coalesce("__n.s", F.lit("none")))).drop("__n", "labelledby", "label", "heading")
+
+
+def labelled_ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """``of`` with ``labelled_ancestor``: the label of the nearest labelled element between it and its landmark, empty without one.
+
+    Labels come from ``aria-label`` or the first element that ``aria-labelledby``
+    names. A labelled section is a landmark itself.
+    """
+    by_id = inner_text(nodes, nodes.where(attr("id").isNotNull())).groupBy(F.col("page_id").alias("p"), attr("id").alias("ref")).agg(F.first("inner").alias("said"))
+    labelled = nodes.where(attr("aria-label").isNotNull() | attr("aria-labelledby").isNotNull()).withColumn("__ref", F.substring_index(F.trim(attr("aria-labelledby")), " ", 1))
+    labelled = labelled.join(by_id, (F.col("page_id") == by_id["p"]) & (F.col("__ref") == by_id["ref"]), "left")
+    labelled = labelled.select(F.col("page_id").alias("p"), F.col("node_id").alias("a"), F.coalesce(F.nullif(T.squash(attr("aria-label")), F.lit("")), F.nullif("said", F.lit(""))).alias("said"), (F.col("tag") == "section").alias("own")).where("said is not null")
+    within = F.filter(F.reverse("ancestors"), lambda x: x["id"] > F.coalesce(F.get(F.filter(F.reverse("ancestors"), lambda y: landmark_kind(y).isNotNull()), F.lit(0))["id"], F.lit(-1)))
+    steps = of.select(F.col("page_id").alias("sp"), F.col("node_id").alias("sn"), F.explode(F.transform(within, lambda x: x["id"])).alias("a2"))
+    hits = steps.join(labelled, (F.col("sp") == F.col("p")) & (F.col("a2") == F.col("a"))).groupBy("sp", "sn").agg(F.max_by(F.when(~F.col("own"), F.col("said")), "a").alias("labelled_ancestor"))
+    j = of.join(hits, (F.col("page_id") == F.col("sp")) & (F.col("node_id") == F.col("sn")), "left").drop("sp", "sn")
+    return j.withColumn("labelled_ancestor", F.coalesce("labelled_ancestor", F.lit("")))
 
 
 def regions(nodes: DataFrame, limit: int = 40) -> DataFrame:
-    """Landmarks of each page with counts credited to the innermost one; at most ``limit`` per page in order, ``n_regions`` the true total."""
+    """Landmarks of each page, with the number of landmarks around each (``depth``) and counts credited to the innermost one; at most ``limit`` per page in order, ``n_regions`` the true total."""
     me = F.coalesce(F.when(attr("role").isin(*LANDMARK_ROLES), attr("role")), mapped(F.col("tag"), LANDMARK_TAGS))
-    lands = nodes.where(me.isNotNull()).select("page_id", F.col("node_id").alias("region_id"), me.alias("kind"), F.coalesce(attr("aria-label"), F.lit("")).alias("label"), F.get(F.filter(F.reverse("ancestors"), lambda x: landmark_kind(x).isNotNull()), F.lit(0))["id"].alias("parent_region"))
+    lands = nodes.where(me.isNotNull()).select("page_id", F.col("node_id").alias("region_id"), me.alias("kind"), F.coalesce(attr("aria-label"), F.lit("")).alias("label"), F.get(F.filter(F.reverse("ancestors"), lambda x: landmark_kind(x).isNotNull()), F.lit(0))["id"].alias("parent_region"), F.size(F.filter("ancestors", lambda x: landmark_kind(x).isNotNull())).alias("depth"))
     inner = F.get(F.filter(F.reverse("ancestors"), lambda x: landmark_kind(x).isNotNull()), F.lit(0))["id"]
     units = nodes.where(~under(*NO_PROSE)).withColumn("region_id", inner).where("region_id is not null")
     squashed = T.squash(F.col("own_text"))

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from pagelens.plans import ledger_queries, log_queries, markup_queries, page_queries, state_queries, view_queries  # noqa: F401
+    from pagelens.plans import ledger_queries, log_queries, markup_queries, page_queries, state_queries, varied_queries, view_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
