@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions import urls as U
 from pagelens.operators.structure import attr, inner_text, role_of, under
+from pagelens.session import stored
 
 CELL_CHARS = 200
 #: Spans are no wider than this, whatever a page says.
@@ -71,7 +72,7 @@ def table_inventory(nodes: DataFrame) -> DataFrame:
     known = tables.join(facts.join(cells, ["page_id", "owner"], "left").withColumnRenamed("owner", "node_id"), ["page_id", "node_id"], "left").na.fill(0, ["rows", "cols", "first_cols"]).na.fill(False, ["marked", "nests", "blocks"])
     small = ~F.col("marked") & (F.coalesce("summary", F.lit("")) == "") & ((F.col("rows") <= 1) | (F.col("first_cols") <= 1)) & F.col("blocks")
     layout = F.col("role").isin("presentation", "none") | ((F.col("tag") == "table") & (F.col("nests") | small))
-    kept = known.where(~layout)
+    kept = stored(known.where(~layout))  # met four times, and no more than the tables
     outer = kept.select(F.col("page_id").alias("op"), F.col("node_id").alias("o"), F.col("last_desc").alias("ol"))
     top = kept.join(outer, (F.col("page_id") == F.col("op")) & (F.col("node_id") > F.col("o")) & (F.col("node_id") <= F.col("ol")), "left_anti")
     captions = inner_text(nodes, nodes.where("tag = 'caption'")).select("page_id", F.col("parent_id").alias("node_id"), F.col("inner").alias("caption")).groupBy("page_id", "node_id").agg(F.first("caption").alias("caption"))

@@ -15,6 +15,7 @@ from pagelens.operators import tables as B
 from pagelens.operators import view as V
 from pagelens.operators.nodes import parsed_once
 from pagelens.plans.log_queries import events
+from pagelens.plans.markup_queries import spread
 from pagelens.plans.registry import query
 from pagelens.session import shared_dir, stored
 from pagelens.sources.audit import AuditLog
@@ -79,7 +80,7 @@ TURN = """'<div class="post"><span class="' || case turn % 3 when 0 then 'author
 
 def discussions(spark: SparkSession, d: str) -> DataFrame:
     """``page_id, html``: a page per conversation, its turns as posts in a list, with a time in the navigation."""
-    turns = read_table(spark, d, "conversations").select("conv_id", F.struct("turn", F.expr(TURN).alias("post")).alias("t"))
+    turns = spread(read_table(spark, d, "conversations"), "conv_id").select("conv_id", F.struct("turn", F.expr(TURN).alias("post")).alias("t"))
     posts = turns.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("t"))["post"], "").alias("posts"))
     return posts.select(F.col("conv_id").alias("page_id"), F.concat(F.lit('<html><body><nav><time datetime="2020">then</time></nav><div class="list">'), "posts", F.lit("</div></body></html>")).alias("html"))
 
@@ -190,9 +191,9 @@ PART_ROWS = """case p_partkey % 4 when 0 then '<table><tr><td rowspan="2">' || c
 )
 def c4_table_choice(spark: SparkSession, d: str) -> DataFrame:
     """Row spans, empty rows, a foot before the body, layout tables, roles in place of tags, and two tables to choose from."""
-    pages = read_table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<html><body>"), F.expr(PART_ROWS), F.lit("</body></html>")).alias("html"))
+    pages = spread(read_table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<html><body>"), F.expr(PART_ROWS), F.lit("</body></html>")).alias("html"))
     nodes = parsed_once(pages)
-    inventory = B.table_inventory(nodes)
+    inventory = stored(B.table_inventory(nodes))
     choice = B.table_choice(inventory)
     data = B.get_table(B.table_cells(nodes, inventory), choice=choice)
     lines = data.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row", F.array_join("cells", ",").alias("line"))))["line"], "/").alias("data"), F.max("total_rows").alias("total_rows"))

@@ -45,9 +45,15 @@ ORDER_ROW = "'<tr><td>' || cast(l_linenumber as varchar(20)) || '</td><td>' || l
 LINES_SQL = "lines as (select l_orderkey, l_linenumber, l_returnflag, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as n from lineitem)"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` in as many partitions as there are cores at least: their pages are parsed in Python, which small partitions joined by size would leave to a few."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     """``page_id, url, html`` of every customer."""
-    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(f"'https://shop.example.com/c/' || {KEY}").alias("url"), F.expr(PROFILE).alias("html"))
+    return spread(read_table(spark, d, "customer"), "c_custkey").select(F.col("c_custkey").alias("page_id"), F.expr(f"'https://shop.example.com/c/' || {KEY}").alias("url"), F.expr(PROFILE).alias("html"))
 
 
 def profile_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +63,7 @@ def profile_nodes(spark: SparkSession, d: str) -> DataFrame:
 def orders(spark: SparkSession, d: str) -> DataFrame:
     """``page_id, html`` of every order with lines: a caption, a header row and a row per line."""
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    rows = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.expr(ORDER_ROW).alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    rows = spread(read_table(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.expr(ORDER_ROW).alias("row")))), lambda x: x["row"]), "").alias("rows"))
     html = F.concat(F.lit("<html><body><table role='presentation'><tr><td>layout</td></tr></table><table><caption>Order "), F.col("l_orderkey").cast("string"), F.lit("</caption><tr><th>Line</th><th colspan='2'>State</th></tr>"), F.col("rows"), F.lit("</table></body></html>"))
     return rows.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
 

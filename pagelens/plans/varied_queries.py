@@ -9,6 +9,7 @@ from pagelens.operators import article as A
 from pagelens.operators import evidence as E
 from pagelens.operators import structure as S
 from pagelens.operators.nodes import parsed_once
+from pagelens.plans.markup_queries import spread
 from pagelens.plans.registry import query
 from pagelens.session import stored
 from pagelens.sources.pages import read_table
@@ -16,7 +17,7 @@ from pagelens.sources.pages import read_table
 
 def customer_pages(spark: SparkSession, d: str, body: str) -> DataFrame:
     """``page_id, html``: a page per customer around an SQL expression."""
-    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("<html><body>"), F.expr(body), F.lit("</body></html>")).alias("html"))
+    return spread(read_table(spark, d, "customer"), "c_custkey").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("<html><body>"), F.expr(body), F.lit("</body></html>")).alias("html"))
 
 
 COLOURS = """case c_custkey % 8 when 0 then '<dl><dt>Colour</dt><dd>' || c_mktsegment || '</dd></dl>' when 1 then '<dl><dt>Colour</dt><dd><span hidden>red</span></dd></dl>' when 2 then '<dl><dt>Colour</dt><dd></dd></dl>'
