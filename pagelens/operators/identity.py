@@ -105,15 +105,42 @@ def nearest_by_name(asked: DataFrame, current: DataFrame, least: float = 0.4) ->
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = ("name", "landmark", "landmark_label", "state")) -> DataFrame:
-    """Refs ``added``, ``removed`` or ``changed`` (with the fields) between two snapshots keyed by (handle, ref); stable ones are left out."""
-    b = before.select("handle", "ref", F.struct(*fields).alias("b"))
-    a = after.select("handle", "ref", F.struct(*fields).alias("a"))
+    """Refs ``added``, ``removed`` or ``changed`` (with the fields) between two snapshots keyed by (handle, ref); stable ones are left out.
+
+    Units marked ``turn_local`` get a new ref with every read; they are neither
+    added nor removed.
+    """
+    sticky = lambda d: d.where(~F.coalesce("turn_local", F.lit(False))) if "turn_local" in d.columns else d
+    b = sticky(before).select("handle", "ref", F.struct(*fields).alias("b"))
+    a = sticky(after).select("handle", "ref", F.struct(*fields).alias("a"))
     j = b.join(a, ["handle", "ref"], "full")
     changed = F.array_compact(F.array(*(F.when(~F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}")), F.lit(f)) for f in fields)))
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.size(changed) > 0, "changed")
     return j.select("handle", "ref", change.alias("change"), F.when(change == "changed", F.array_join(changed, ",")).alias("fields")).where("change is not null")
 
 
+def delta_summary(before: DataFrame, after: DataFrame, urls: DataFrame, fields: tuple[str, ...] = ("name", "landmark", "landmark_label", "state")) -> DataFrame:
+    """``handle, added, removed, changed, stable, stable_by_kind, re_minted, navigated``: what two reads of each page have in common and what not.
+
+    Snapshots as for ``snapshot_diff``, with ``kind`` and ``turn_local``;
+    ``urls(handle, url_before, url_after)`` has a row for each page. Units that
+    nothing tells apart are counted as ``re_minted`` if the later read has them
+    under a ref that the earlier one lacks.
+    """
+    b = before.select("handle", "ref", F.struct(*fields).alias("b"), F.coalesce("turn_local", F.lit(False)).alias("b_local"))
+    a = after.select("handle", "ref", F.struct(*fields).alias("a"), F.coalesce("turn_local", F.lit(False)).alias("a_local"), "kind")
+    j = b.join(a, ["handle", "ref"], "full")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}"))
+    old, new = F.col("b").isNotNull(), F.col("a").isNotNull()
+    counts = j.groupBy("handle").agg(F.count_if(~old & ~F.col("a_local")).alias("added"), F.count_if(~new & ~F.col("b_local")).alias("removed"), F.count_if(old & new & ~same).alias("changed"), F.count_if(old & new & same).alias("stable"), F.count_if(~old & F.col("a_local")).alias("re_minted"))
+    kinds = j.where(old & new & same).groupBy("handle", "kind").agg(F.count("*").alias("n")).groupBy("handle").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", F.col("n").cast("string")))), ", ").alias("stable_by_kind"))
+    told = urls.select("handle", (~F.col("url_before").eqNullSafe(F.col("url_after"))).alias("navigated"))
+    out = told.join(counts, "handle", "left").join(kinds, "handle", "left").na.fill(0, ["added", "removed", "changed", "stable", "re_minted"])
+    return out.select("handle", "added", "removed", "changed", "stable", F.coalesce("stable_by_kind", F.lit("")).alias("stable_by_kind"), "re_minted", "navigated")
+
+
 def retain_reads(reads: DataFrame, keep: int = 5) -> DataFrame:
     """Reads of each handle with ``retained`` for the newest ``keep``."""
     n = F.row_number().over(W.partitionBy("handle").orderBy(F.desc("ts"), F.desc("token")))

@@ -106,8 +106,23 @@ def evict(records: DataFrame, max_hosts: int = 5000) -> DataFrame:
     return records.join(hosts.select("host"), "host", "left_semi")
 
 
-def forget(records: DataFrame, host: str | None = None) -> DataFrame:
-    """Records without a site and its subdomains; none without a host."""
+def import_report(local: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``records, new_hosts, new_records, conflicts`` of an import, in one row, which writes nothing: a dry run.
+
+    A conflict is a record of both sides whose ``last`` differ.
+    """
+    hosts = local.select("host").distinct().withColumn("__host", F.lit(True))
+    mine = local.select("host", "lane", F.col("last").alias("__last"), F.lit(True).alias("__known"))
+    j = incoming.select("host", "lane", "last").join(hosts, "host", "left").join(mine, ["host", "lane"], "left")
+    fresh = F.col("__host").isNull()
+    return j.agg(F.count("*").alias("records"), F.count_distinct(F.when(fresh, F.col("host"))).alias("new_hosts"), F.count_if(F.col("__known").isNull()).alias("new_records"), F.count_if(F.col("__known") & ~F.col("last").eqNullSafe(F.col("__last"))).alias("conflicts"))
+
+
+def forget(records: DataFrame, host: str | None = None, source: str | None = None) -> DataFrame:
+    """Records without a site and its subdomains, or without those that came from ``source``; none without either."""
+    if source is not None:
+        kept = records.where(~F.col("source").eqNullSafe(F.lit(source)))
+        return kept if host is None else forget(kept, host)
     if host is None:
         return records.where(F.lit(False))
     return records.where((F.col("host") != host) & ~F.endswith("host", F.lit("." + host)))

@@ -248,18 +248,40 @@ def a11y_rollup(results: DataFrame, examples: int = 3) -> DataFrame:
 
 
 def bind_parameters(steps: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Where each declared value of ``parameters(param, declared)`` stands in the arguments of ``steps(session, number, args)``: argument, place from 1 and length.
+    """Where each declared value of ``parameters(param, declared)`` stands in the arguments of ``steps(session, number, args)``: a row for each place, from 1, with the value's length.
 
-    ``origin_slot`` marks an argument whose value begins with a web origin.
+    Places of one value do not overlap. ``origin_slot`` marks an argument whose
+    value begins with a web origin. Empty values bind nothing. ``parameters`` is
+    the caller's short list; it is broadcast if it is counted to be small.
     """
     flat = steps.select("session", "number", F.explode("args").alias("arg", "value"))
-    hit = flat.join(F.broadcast(parameters), F.contains(flat["value"], parameters["declared"]) & (parameters["declared"] != ""))
-    return hit.select("session", "number", "arg", "param", F.instr("value", F.col("declared")).alias("at"), F.length("declared").alias("size"), "value", F.coalesce(F.col("value").rlike("^https?://"), F.lit(False)).alias("origin_slot"))
+    wanted = parameters.where("declared <> ''")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_PARAMETERS else wanted
+    hit = flat.join(wanted, F.contains(flat["value"], wanted["declared"]))
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("declared"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    size = F.length("declared")
+    sizes = F.transform(F.split("value", quoted, -1), lambda x: F.length(x))
+    begin = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(1), lambda total, n: total + n) + (i - 1) * size
+    placed = hit.withColumn("sizes", sizes).withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("sizes") - 1), begin)))
+    return placed.select("session", "number", "arg", "param", "at", size.alias("size"), "value", F.coalesce(F.col("value").rlike("^https?://"), F.lit(False)).alias("origin_slot"))
+
+
+#: Parameters that are broadcast to the steps.
+MOST_PARAMETERS = 10_000
 
 
 def apply_parameters(bound: DataFrame, supplied: DataFrame) -> DataFrame:
-    """Splice ``supplied(param, given)`` into the bound places; a slot that carries an origin must keep it, else ``refused`` is true and the value stays."""
-    j = bound.join(F.broadcast(supplied), "param", "left")
-    new = F.concat(F.substring("value", F.lit(1), F.col("at") - 1), F.coalesce("given", F.substring("value", F.col("at"), F.col("size"))), F.substring("value", F.col("at") + F.col("size"), F.length("value")))
-    moved = F.col("origin_slot") & ~U.url_origin(new).eqNullSafe(U.url_origin(F.col("value")))
-    return j.select("session", "number", "arg", "param", F.when(moved, F.col("value")).otherwise(new).alias("value"), moved.alias("refused"))
+    """``session, number, arg, param, value, refused``: each argument with ``supplied(param, given)`` in all places of a parameter.
+
+    Places are filled from the last to the first, so that none moves another. A
+    slot that carries an origin must keep its scheme, host and port, else
+    ``refused`` is true and the value stays; a parameter that is not supplied
+    leaves its value.
+    """
+    known = F.broadcast(supplied) if supplied.count() <= MOST_PARAMETERS else supplied
+    slots = bound.groupBy("session", "number", "arg", "param", "value", "origin_slot").agg(F.reverse(F.array_sort(F.collect_set(F.struct("at", "size")))).alias("places"))
+    j = slots.join(known, "param", "left")
+    filled = F.aggregate("places", F.col("value"), lambda v, x: F.concat(F.left(v, x["at"] - 1), F.col("given"), F.substr(v, x["at"] + x["size"])))
+    j = j.withColumn("filled", F.when(F.col("given").isNotNull(), filled).otherwise(F.col("value")))
+    moved = F.col("origin_slot") & ~U.url_origin(F.col("filled")).eqNullSafe(U.url_origin(F.col("value")))
+    return j.select("session", "number", "arg", "param", F.when(moved, F.col("value")).otherwise(F.col("filled")).alias("value"), moved.alias("refused"))

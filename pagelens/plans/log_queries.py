@@ -155,3 +155,18 @@ def j9_loop_stream(spark: SparkSession, d: str) -> DataFrame:
 def j9_budget_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = calls(spark, d, event_stream(spark, d)).withColumn("ts", F.lit(0.0))
     return drain(K.charge_calls_stream(rows, {"action": 25, "navigation": 6, "download": 4, "new_origin": 7}))
+
+
+@query(
+    "g14_parameters",
+    """with p(param, declared, given) as (values ('k', 'k', 'KEY'), ('host', 'shop', 'evil'), ('num', '1', '77')),
+    s as (select user_id as session, event_id as number, a.arg, a.value from (select *, unnest([{'arg': 'props', 'value': props}, {'arg': 'url', 'value': 'https://shop.example.com/k/1/k' || event_id}]) as a from events)),
+    j as (select session, number, arg, param, value, replace(value, declared, given) as filled from s join p on contains(s.value, p.declared))
+    select session, number, arg, param, case when arg = 'url' and param = 'host' then value else filled end as value, arg = 'url' and param = 'host' as refused from j""",
+)
+def g14_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of each declared value is filled; another host is refused."""
+    url = F.concat(F.lit("https://shop.example.com/k/1/k"), F.col("event_id").cast("string"))
+    steps = events(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("number"), F.create_map(F.lit("props"), "props", F.lit("url"), url).alias("args"))
+    rows = spark.createDataFrame([("k", "k", "KEY"), ("host", "shop", "evil"), ("num", "1", "77")], "param string, declared string, given string")
+    return G.apply_parameters(G.bind_parameters(steps, rows.select("param", "declared")), rows.select("param", "given"))

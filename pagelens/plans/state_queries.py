@@ -239,3 +239,39 @@ def j3_folded_batches(spark: SparkSession, d: str) -> DataFrame:
 @query("j3_check_history", f"select monitor_id, seq, age from (select *, row_number() over (partition by monitor_id order by tsec desc, seq desc) as age from ({CHECKS_SQL})) where age <= 50")
 def j3_check_history(spark: SparkSession, d: str) -> DataFrame:
     return M.check_history(checks(spark, d)).select("monitor_id", "seq", F.col("age").cast("long").alias("age"))
+
+
+READ_SQL = "select user_id % 10 as handle, case when user_id % 7 = 0 then user_id + {1} else user_id end as ref, arg_max(event_type, event_id) as name, arg_max(event_id % 3, event_id) as landmark, user_id % 7 = 0 as turn_local, case user_id % 3 when 0 then 'link' when 1 then 'button' else 'field' end as kind from events where {0} group by user_id"
+
+
+def read_of(spark: SparkSession, d: str, when: str, shift: int) -> DataFrame:
+    """A snapshot whose units of every seventh user get a new ref with each read."""
+    local = F.col("user_id") % 7 == 0
+    kind = F.when(F.col("user_id") % 3 == 0, "link").when(F.col("user_id") % 3 == 1, "button").otherwise("field")
+    e = events(spark, d).where(when).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("name"), F.max_by(F.col("event_id") % 3, "event_id").alias("landmark"))
+    return e.select((F.col("user_id") % 10).alias("handle"), (F.col("user_id") + F.when(local, shift).otherwise(0)).alias("ref"), "name", "landmark", local.alias("turn_local"), kind.alias("kind"))
+
+
+@query(
+    "f7_delta_summary",
+    f"""with b as ({READ_SQL.format("event_id % 2 = 0 and user_id % 11 <> 1", 1000)}), a as ({READ_SQL.format("event_id % 2 = 1 and user_id % 11 <> 2", 2000)}),
+    j as (select coalesce(a.handle, b.handle) as handle, a.kind, b.ref is not null as old, a.ref is not null as new, a.turn_local as al, b.turn_local as bl, a.name = b.name and a.landmark = b.landmark as same from a full join b on a.handle = b.handle and a.ref = b.ref),
+    c as (select handle, count(*) filter (not old and not al) as added, count(*) filter (not new and not bl) as removed, count(*) filter (old and new and not same) as changed, count(*) filter (old and new and same) as stable, count(*) filter (not old and al) as re_minted from j group by 1),
+    k as (select handle, string_agg(kind || '=' || n, ', ' order by kind) as stable_by_kind from (select handle, kind, count(*) as n from j where old and new and same group by 1, 2) group by 1)
+    select handle, added, removed, changed, stable, coalesce(stable_by_kind, '') as stable_by_kind, re_minted, handle % 2 = 1 as navigated from c left join k using (handle)""",
+)
+def f7_delta_summary(spark: SparkSession, d: str) -> DataFrame:
+    before, after = read_of(spark, d, "event_id % 2 = 0 and user_id % 11 <> 1", 1000), read_of(spark, d, "event_id % 2 = 1 and user_id % 11 <> 2", 2000)
+    urls = before.select("handle").union(after.select("handle")).distinct().select("handle", F.lit("/a").alias("url_before"), F.when(F.col("handle") % 2 == 1, "/b").otherwise("/a").alias("url_after"))
+    return I.delta_summary(before, after, urls, ("name", "landmark"))
+
+
+@query(
+    "i8_import_report",
+    f"""with recursive {FOLD_SQL}, mine as (select * from rec where host not like 'h1%'), theirs as (select * replace (case when lane = 'headed' then 'bad' else last end as last) from rec where host not like 'h2%')
+    select count(*) as records, count(distinct t.host) filter (t.host not in (select host from mine)) as new_hosts, count(*) filter (m.host is null) as new_records, count(*) filter (m.last <> t.last) as conflicts from theirs t left join mine m on m.host = t.host and m.lane = t.lane""",
+)
+def i8_import_report(spark: SparkSession, d: str) -> DataFrame:
+    records = N.record_outcomes(facts(spark, d))
+    theirs = records.where(~F.col("host").startswith("h2")).withColumn("last", F.when(F.col("lane") == "headed", "bad").otherwise(F.col("last")))
+    return N.import_report(records.where(~F.col("host").startswith("h1")), theirs)
