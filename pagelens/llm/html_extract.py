@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -31,6 +31,10 @@ OUT_WORDS = frozenset(
 IN_WORDS = frozenset("article body content entry main page post story text".split())
 #: A token of a class that starts so tells what stands beside the element.
 STATE_WORDS = frozenset("has with no without".split())
+#: Words of reader comments, which go whatever they hold, and what may stand beside them in a token.
+COMMENT_WORDS = frozenset("comment comments disqus discussion discussions reply replies respond response responses".split())
+COMMENT_PARTS = frozenset("area block body box container count embed feed form holder list main page panel post reader section thread threads user wrap wrapper".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Not even an article of such a name, or what holds one, is the page's own.
 NEVER_WORDS = frozenset("comment comments related promo ad ads".split())
 #: Points of a paragraph go to so many ancestors, divided by the distance.
@@ -118,6 +122,11 @@ def named(node: Node) -> set[str]:
     return {w for t in tokens(node) for w in t}
 
 
+def says_content(node: Node) -> bool:
+    """Whether a token of class or id names content and nothing else."""
+    return any(IN_WORDS.issuperset(t) for t in tokens(node) if t)
+
+
 @dataclass
 class Page:
     """What the whole page says of its elements, by identity."""
@@ -164,7 +173,8 @@ def excluded(node: Node, in_article: bool, page: Page) -> bool:
     content if a token is or ends as one and it holds the headline and a paragraph.
     What holds the page's main part or article, or half of the text in
     paragraphs, stays and its children are judged. A paragraph or heading goes
-    only by a token of which every word says chrome.
+    only by a token of which every word says chrome. Reader comments go whatever
+    they hold.
     """
     if node.tag in RAW or node.tag in OUT_TAGS or node.attrs.get("role", "").lower() in OUT_ROLES:
         return True
@@ -178,9 +188,11 @@ def excluded(node: Node, in_article: bool, page: Page) -> bool:
     said = [t for t in tokens(node) if t and t[0] not in STATE_WORDS and out.intersection(t)]
     if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure"):
         said = [t for t in said if out.issuperset(t)]
+    if any(COMMENT_WORDS.intersection(t) and COMMENT_WORDS.union(COMMENT_PARTS).issuperset(t) for t in tokens(node) if t):
+        return True
     if not said or (id(node) in page.whole or id(node) in page.most) and not any(NEVER_WORDS.intersection(t) for t in said):
         return False
-    own = any(IN_WORDS.issuperset(t) for t in tokens(node) if t) or all(t[-1] in IN_WORDS for t in said)
+    own = says_content(node) or all(t[-1] in IN_WORDS for t in said)
     return not (own and id(node) in page.headed)
 
 
@@ -222,6 +234,26 @@ def up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def container_of(best: Node, density: Callable[[Node], float]) -> Node:
+    """The element whose parts belong together around the best container, itself if none does.
+
+    A part of a ``main``, an article or an element that names itself content
+    stands there with all its neighbours, headlines and short parts too; what is
+    mostly links among them is a menu and marked to go. An article stands alone.
+    """
+    top, way = best, {id(best)}
+    while best.tag != "article" and top.parent is not None and top.parent.tag not in ("html", "body") and (top.parent.tag in ("main", "article") or says_content(top.parent)) and density(top.parent) < 0.5:
+        top = top.parent
+        way.add(id(top))
+    n = best
+    while n is not top:
+        n = n.parent
+        for c in n.children:
+            if isinstance(c, Node) and id(c) not in way and c.tag not in HEADINGS and c.tag != "p" and density(c) > 0.5:
+                c.out = True
+    return top
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the best container and of its siblings that score, joined by an empty line."""
     if not html:
@@ -267,9 +299,14 @@ def main_text(html: str | None) -> str:
         return ""
     if best.tag in ("html",):
         return "\n\n".join(t for _, t in blocks(best))
-    kept = []
-    for s in (best.parent.children if best.parent else [best]):
-        if s is best or isinstance(s, Node) and not s.out and s.tag not in ("header", "head") and (s.score >= max(10, 0.2 * best.score) or s.tag == "p" and density(s) < 0.25 and s.text > 80):
+    top = container_of(best, density)
+    kept, before = [], True
+    for s in (top.parent.children if top.parent else [top]):
+        before = before and s is not top
+        if not isinstance(s, Node):
+            continue
+        fits = not s.out and s.tag not in ("header", "head") and (s.score >= max(10, 0.2 * best.score) or s.tag == "p" and density(s) < 0.25 and s.text > 80)
+        if s is top or fits or before and s.tag in HEADINGS and not s.out and not any(n.tag == "h1" and not n.out for n in walk(top)):
             kept.append(s)
     return "\n\n".join(t for s in kept for _, t in blocks(s))
 
