@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import submission_words as named
 from pagelens.functions import urls as U
 from pagelens.functions.normal import folded
+from pagelens.session import few
 
 #: Labels from most to least severe.
 SEVERITY = ("captcha", "botwall", "rate_limited", "login_required", "geo_blocked", "age_gated", "paywall_academic", "paywall_news", "paywall_saas", "maintenance", "http_500", "http_404", "soft_404", "gdpr_consent")
@@ -234,7 +235,7 @@ def match_profile(urls: DataFrame, profiles: DataFrame) -> DataFrame:
     hit = lambda patterns: F.exists(patterns, lambda x: (x == host) | wild(x))
     prefix = F.array_max(F.transform(F.filter("path_prefix", lambda x: F.startswith(path, x)), lambda x: F.length(x)))
     fine = hit(F.col("hosts")) & ~F.coalesce(hit(F.col("not_hosts")), F.lit(False)) & ((F.coalesce(F.size("path_prefix"), F.lit(0)) <= 0) | prefix.isNotNull())
-    j = urls.select("url").distinct().join(F.broadcast(profiles), fine)
+    j = urls.select("url").distinct().join(few(profiles), fine)
     score = F.struct(F.when(F.array_contains("hosts", host), 0).otherwise(1).alias("wild"), (-F.coalesce(prefix, F.lit(-1))).alias("short"), F.when(F.col("source") == "local", 0).when(F.col("source") == "community", 1).otherwise(2).alias("rank"), "slug")
     ranked = j.withColumn("n", F.row_number().over(W.partitionBy("url").orderBy(score)))
     return ranked.groupBy("url").agg(F.max(F.when(F.col("n") == 1, F.col("slug"))).alias("profile"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n").between(2, 6), F.struct("n", "slug"))))["slug"], ",").alias("runners_up"))
@@ -250,5 +251,5 @@ def access_note(responses: DataFrame, access: DataFrame) -> DataFrame:
     said = lambda c, test: F.col(c).isNull() | F.coalesce(test, F.lit(False))
     rules = access.select("slug", "pos", "note", F.col("status").alias("want_status"), "text", "meta_present", "meta_absent")
     holds = said("want_status", F.col("status") == F.col("want_status")) & said("text", F.contains(F.lower("body"), F.lower("text"))) & said("meta_present", F.array_contains("metas", F.col("meta_present"))) & said("meta_absent", ~F.array_contains("metas", F.col("meta_absent")))
-    hit = responses.join(F.broadcast(rules), responses["profile"] == rules["slug"]).where(holds).groupBy("url").agg(F.min_by("note", "pos").alias("note"))
+    hit = responses.join(few(rules), responses["profile"] == rules["slug"]).where(holds).groupBy("url").agg(F.min_by("note", "pos").alias("note"))
     return responses.select("url", "profile").join(hit, "url", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.operators.structure import accessible_names, attr, inner_text, is_control, text_blocks
-from pagelens.session import stored
+from pagelens.session import few, stored
 
 #: Tiers, best first, and how many sources of each a page keeps.
 TIERS = {"declared": 1200, "labeled": 800, "proximate": 800, "hint": 900}
@@ -76,15 +76,6 @@ def evidence(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     return ranked.where(F.col("n") <= cap).select("page_id", "tier", "seq", F.left("key", F.lit(KEY_CHARS)).alias("key"), F.left(T.squash(F.col("value")), F.lit(VALUE_CHARS)).alias("value"), "by", secret.alias("secret"), "withheld", ((F.col("tier") == "hint") & (F.coalesce("value", F.lit("")) == "")).alias("styling_only"), "overflow")
 
 
-#: Rows of a table of rules that is sent to every task; a larger one is shuffled.
-FEW_RULES = 10_000
-
-
-def few(rules: DataFrame) -> DataFrame:
-    """A table of rules, broadcast if it is counted to be small."""
-    return F.broadcast(rules) if rules.count() <= FEW_RULES else rules
-
-
 def match_quality(key: Column, name: Column, description: Column) -> Column:
     """``struct<quality,extra>``: 3 for equal keys, 2 for all content words, 1 for a whole-word part of the name; null for none."""
     k, n, d = T.norm_key(key), T.norm_key(name), T.norm_key(description)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions import urls as U
 from pagelens.operators.structure import NO_PROSE, attr, inner_text, under
-from pagelens.session import stored
+from pagelens.session import few, stored
 
 #: Labels that mean "next page", and citation tags by field, best first.
 NEXT_WORDS = ("next", "next page", "older", "older posts", "more", "»", "›", "→", "suivant", "weiter", "siguiente")
@@ -166,7 +166,7 @@ def filename_for(url: Column, disposition: Column) -> Column:
 
 def find_elements(found: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Controls whose name holds a query (``queries(query, role)``, a small broadcast table), with total and position."""
-    hit = found.join(F.broadcast(queries), F.contains(F.lower(found["name"]), F.lower(queries["query"])) & (queries["role"].isNull() | (queries["role"] == found["role"]))).drop(queries["role"])
+    hit = found.join(few(queries), F.contains(F.lower(found["name"]), F.lower(queries["query"])) & (queries["role"].isNull() | (queries["role"] == found["role"]))).drop(queries["role"])
     w = W.partitionBy("query", "page_id")
     return hit.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("node_id"))).where(F.col("rank") <= limit)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import urls as U
 from pagelens.operators.fold import ordered_fold
+from pagelens.session import few
 
 #: Session limits, console levels, header names.
 LIMITS = {"action": 300, "navigation": 150, "new_origin": 30, "download": 40}
@@ -255,8 +256,7 @@ def bind_parameters(steps: DataFrame, parameters: DataFrame) -> DataFrame:
     the caller's short list; it is broadcast if it is counted to be small.
     """
     flat = steps.select("session", "number", F.explode("args").alias("arg", "value"))
-    wanted = parameters.where("declared <> ''")
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_PARAMETERS else wanted
+    wanted = few(parameters.where("declared <> ''"))
     hit = flat.join(wanted, F.contains(flat["value"], wanted["declared"]))
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("declared"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     size = F.length("declared")
@@ -266,10 +266,6 @@ def bind_parameters(steps: DataFrame, parameters: DataFrame) -> DataFrame:
     return placed.select("session", "number", "arg", "param", "at", size.alias("size"), "value", F.coalesce(F.col("value").rlike("^https?://"), F.lit(False)).alias("origin_slot"))
 
 
-#: Parameters that are broadcast to the steps.
-MOST_PARAMETERS = 10_000
-
-
 def apply_parameters(bound: DataFrame, supplied: DataFrame) -> DataFrame:
     """``session, number, arg, param, value, refused``: each argument with ``supplied(param, given)`` in all places of a parameter.
 
@@ -278,9 +274,8 @@ def apply_parameters(bound: DataFrame, supplied: DataFrame) -> DataFrame:
     ``refused`` is true and the value stays; a parameter that is not supplied
     leaves its value.
     """
-    known = F.broadcast(supplied) if supplied.count() <= MOST_PARAMETERS else supplied
     slots = bound.groupBy("session", "number", "arg", "param", "value", "origin_slot").agg(F.reverse(F.array_sort(F.collect_set(F.struct("at", "size")))).alias("places"))
-    j = slots.join(known, "param", "left")
+    j = slots.join(few(supplied), "param", "left")
     filled = F.aggregate("places", F.col("value"), lambda v, x: F.concat(F.left(v, x["at"] - 1), F.col("given"), F.substr(v, x["at"] + x["size"])))
     j = j.withColumn("filled", F.when(F.col("given").isNotNull(), filled).otherwise(F.col("value")))
     moved = F.col("origin_slot") & ~U.url_origin(F.col("filled")).eqNullSafe(U.url_origin(F.col("value")))

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -49,3 +50,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/pagelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table of rules or of the caller's own wishes that are sent to every task; a larger one is shuffled.
+FEW_RULES = 10_000
+
+
+def few(rules: DataFrame) -> DataFrame:
+    """A table of rules, broadcast if it is counted to be small."""
+    return F.broadcast(rules) if rules.count() <= FEW_RULES else rules
