@@ -182,7 +182,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", out:
     replaced, all others stay, whatever they are called. See ``duplicate_lines``
     for what counts as repeated.
     """
-    own_id, own_th, gone = (unused(x, df) for x in ("line_id", "line_th", "line_gone"))
+    own_id, own_th, gone, parts = (unused(x, df) for x in ("line_id", "line_th", "line_gone", "line_parts"))
     dead = cut(duplicate_lines(df, id_col, text, params).toDF("i", "t", gone))
     size = dead.agg(F.sum(F.size(gone) * 4 + 48)).first()[0] or 0
     dead = F.broadcast(dead) if size <= params.broadcast_bytes else dead
@@ -190,8 +190,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", out:
     rows = df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{id_col}`").cast("long").alias(own_id), F.xxhash64(F.col(f"`{text}`")).alias(own_th))
     joined = rows.join(dead.withColumnsRenamed({"i": own_id, "t": own_th}), [own_id, own_th], "left")
     body = F.col(f"`{text}`")
-    lines = F.split(body, "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    joined = joined.withColumn(parts, F.split(body, "\n"))  # once, not for each line that is fetched from it
+    lines = F.col(parts)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone).cast("array<int>"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     kept = [F.col(f"`{c}`") for c in names if c != (out or text)]
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
     n_removed = F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")
