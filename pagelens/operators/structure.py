@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions import urls as U
+from pagelens.session import stored
 
 #: Fixed values of HTML and ARIA.
 LANDMARK_TAGS = {"header": "banner", "nav": "navigation", "main": "main", "aside": "complementary", "footer": "contentinfo", "form": "form", "dialog": "dialog"}
@@ -136,9 +137,14 @@ def hidden_nodes(nodes: DataFrame) -> DataFrame:
     """
     closed = nodes.where((F.col("tag") == "details") & attr("open").isNull()).select(F.col("page_id").alias("cp"), F.col("node_id").alias("closed_id"))
     parented = nodes.join(closed, (F.col("page_id") == F.col("cp")) & (F.col("parent_id") == F.col("closed_id")), "left")
-    own = with_own_reason(parented.withColumn("in_closed_details", F.col("closed_id").isNotNull()).drop("closed_id", "cp"))
-    source = own.where("own_reason is not null or own_opacity < 1").select(F.col("page_id").alias("p"), F.col("node_id").alias("a"), F.struct("node_id", "own_reason", "own_opacity").alias("s"))
-    chain = own.select("page_id", "node_id", F.explode("ancestors.id").alias("up")).join(source, (F.col("page_id") == F.col("p")) & (F.col("up") == F.col("a")))
+    judged = with_own_reason(parented.withColumn("in_closed_details", F.col("closed_id").isNotNull()).drop("closed_id", "cp"))
+    # stored, so that no filter is pushed into the long expressions behind these columns
+    marks = stored(judged.select("page_id", "node_id", "own_reason", "own_opacity", "restated")).where("own_reason is not null or own_opacity < 1 or restated.visibility or restated.size or restated.indent or restated.color")
+    source = marks.where("own_reason is not null or own_opacity < 1").select(F.col("page_id").alias("p"), F.col("node_id").alias("a"), F.struct("node_id", "own_reason", "own_opacity").alias("s"))
+    none = F.struct(*(F.lit(False).alias(c) for c in ("visibility", "size", "indent", "color")))
+    own = nodes.join(marks, ["page_id", "node_id"], "left").withColumn("own_opacity", F.coalesce("own_opacity", F.lit(1.0))).withColumn("restated", F.coalesce("restated", none))
+    own = own.select(*nodes.columns, "own_reason", "own_opacity", "restated")
+    chain = nodes.select("page_id", "node_id", F.explode("ancestors.id").alias("up")).join(source, (F.col("page_id") == F.col("p")) & (F.col("up") == F.col("a")))
     inherited = chain.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list("s")).alias("chain"))
     joined = own.join(inherited, ["page_id", "node_id"], "left")
     far = F.coalesce("chain", F.array().cast("array<struct<node_id:int,own_reason:string,own_opacity:double>>"))
@@ -149,7 +155,7 @@ def hidden_nodes(nodes: DataFrame) -> DataFrame:
     near = F.col("__up.nearest")
     again = F.when(near == "visibility-hidden", F.col("restated.visibility")).when(near == "font-size-0", F.col("restated.size")).when(near == "offscreen", F.col("restated.indent")).otherwise(F.col("restated.color"))
     reason = F.coalesce("__up.whole", "own_reason", F.when(F.col("__up.faded") <= 0.05, "near-transparent"), F.when(~again, near))
-    return joined.withColumn("hidden_reason", reason).drop("chain", "own_opacity", "in_closed_details", "restated", "__up")
+    return joined.withColumn("hidden_reason", reason).drop("chain", "own_opacity", "restated", "__up")
 
 
 def hidden_ledger(hidden: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.operators import lanes as N
@@ -23,7 +24,7 @@ ANCHOR = "struct<page_key:string,role:string,name:string,landmark:string,landmar
 
 def in_batches(spark, tmp_path, df, make, cut, n=3):
     """All that a stream gives for the rows of ``df`` in ``n`` batches, cut at values of ``cut``; and its checkpoint."""
-    rows = df.withColumn("__part", F.ntile(n).over(__import__("pyspark").sql.Window.orderBy(cut)))
+    rows = df.withColumn("__part", F.ntile(n).over(W.orderBy(cut)))
     for k in range(1, n + 1):
         rows.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = make(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
