@@ -10,16 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch sent to a Python worker; long texts make small batches.
-BATCH_BYTES = 2 << 20
-
-
-def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """Keep Arrow batches under ``limit`` bytes, however long the texts are."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, str(2**31 - 1)).rstrip("b")
-    if now.isdigit() and int(now) > limit:  # a setting with a unit is the user's own choice
-        spark.conf.set(key, str(limit))
+from pagelens.session import bounded_batches  # noqa: F401
 
 
 def unused(name: str, *dfs: DataFrame) -> str:

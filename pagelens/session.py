@@ -46,10 +46,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: steps after it do not repeat what came before."""
-    path = f"{shared_dir(df.sparkSession)}/pagelens-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again: steps after it do not repeat what came before.
+
+    The driver deletes the table when it ends, not before: a result that reads it
+    may still be asked for.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pagelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of one Arrow batch sent to a Python worker; long texts make small batches.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches under ``limit`` bytes, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, str(2**31 - 1)).rstrip("b")
+    if now.isdigit() and int(now) > limit:  # a setting with a unit is the user's own choice
+        spark.conf.set(key, str(limit))
 
 
 #: Rows of a table of rules or of the caller's own wishes that are sent to every task; a larger one is shuffled.

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pagelens.functions.normal import folded, normal_form
 from pagelens.operators import article as A
 from pagelens.operators import classify as C
+from pagelens.operators import evidence as E
 from pagelens.operators import links as L
 from pagelens.operators import logs as G
 from pagelens.operators import monitor as M
 from pagelens.operators import structure as S
 from pagelens.operators import tables as B
 from pagelens.operators import view as V
-from pagelens.operators.nodes import html_nodes
+from pagelens.operators.nodes import html_nodes, parsed_once
 from pagelens.session import few, stored
 
 
@@ -130,3 +131,21 @@ def test_parameters_in_every_place(spark):
 def test_large_tables_of_rules_are_not_broadcast(spark):
     assert "ResolvedHint" in few(spark.range(10))._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in few(spark.range(20_000))._jdf.queryExecution().analyzed().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def small_page(spark):
+    return spark.createDataFrame([(1, "https://a.example.com/", '<main><dl><dt>Size</dt><dd>5</dd></dl><a id="k" href="/p">to <b>it</b></a></main>')], "page_id long, url string, html string")
+
+
+def test_nodes_of_few_pages_are_neither_cached_nor_broadcast(spark, tmp_path):
+    small_page(spark).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    for nodes in (html_nodes(pages), parsed_once(pages)):
+        plan = plan_of(S.frames(nodes, pages)) + plan_of(nodes.join(nodes.where("tag = 'dt'").select("page_id", "parent_id").distinct(), ["page_id", "parent_id"]))
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "InMemoryTableScan" not in plan
+    (link,) = S.controls(nodes, pages).collect()
+    assert (link.name, link.path, link.cls) == ("to it", "/p", "other")
