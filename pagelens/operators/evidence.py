@@ -103,8 +103,8 @@ def extract_page(found: DataFrame, fields: DataFrame, tiers: tuple[str, ...] = (
     position = F.array_position(F.array(*map(F.lit, (*tiers, *(t for t in TIERS if t not in tiers)))), F.col("tier")).cast("int")
     keys = found.where(F.col("tier").isin("hint", *tiers)).select("key").distinct()
     asked = fields.select("name", F.coalesce("description", F.lit("")).alias("description"))
-    matched = keys.crossJoin(few(asked)).withColumn("m", match_quality(F.col("key"), F.col("name"), F.col("description"))).where("m is not null").select("key", "name", "m")
-    every = found.where(F.col("tier").isin("hint", *tiers)).join(matched, "key").withColumn("p", position)
+    matched = stored(keys.crossJoin(few(asked)).withColumn("m", match_quality(F.col("key"), F.col("name"), F.col("description"))).where("m is not null").select("key", "name", "m"))
+    every = found.where(F.col("tier").isin("hint", *tiers)).join(few(matched), "key").withColumn("p", position)
     scored = every.where(F.col("tier").isin(*tiers))
     w = W.partitionBy("page_id", "name")
     first = scored.withColumn("top", F.min("p").over(w))
@@ -188,8 +188,8 @@ def extract_fields(sources: DataFrame, fields: DataFrame) -> DataFrame:
     share = shorter / longer
     equal = F.col("norm") == F.col("needle")
     part = (shorter >= PART_CHARS) & (share >= PART_SHARE) & (F.contains("norm", F.col("needle")) | F.contains("needle", F.col("norm")))
-    matched = first.select("norm").distinct().crossJoin(asked).where(equal | part)  # distinct keys meet the fields once
-    hits = first.join(matched, "norm").select("page_id", "name", F.struct("turn", (~equal).cast("int").alias("partly"), (-share).alias("share"), (-shorter).alias("overlap"), "norm", "s").alias("m"))
+    matched = stored(first.select("norm").distinct().crossJoin(asked).where(equal | part))  # distinct keys meet the fields once
+    hits = first.join(few(matched), "norm").select("page_id", "name", F.struct("turn", (~equal).cast("int").alias("partly"), (-share).alias("share"), (-shorter).alias("overlap"), "norm", "s").alias("m"))
     ranked = hits.withColumn("n", F.row_number().over(W.partitionBy("page_id", "name").orderBy("m.turn", "m.partly", "m.share", "m.overlap", "m.norm")))
     best = ranked.where("n = 1").select("page_id", "name", "m.turn", "m.partly", "m.s")
     others = ranked.join(best.where("partly = 1").select("page_id", "name", "turn"), ["page_id", "name"]).where((F.col("n").between(2, 4)) & (F.col("m.turn") == F.col("turn"))).groupBy("page_id", "name").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", F.col("m.s.key").alias("key"))))["key"], ",").alias("others"))

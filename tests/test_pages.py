@@ -157,3 +157,15 @@ def test_ancestors_get_ids_and_not_texts(spark):
     made = [line for line in plan_of(named).splitlines() if "Generate explode" in line]
     assert made and not any("own_text" in line for line in made)
     assert {r.tag: r.inner for r in named.collect()} == {"a": "to it", "main": "Size5to it"}
+
+
+def test_matched_keys_are_sent_to_the_pages(spark):
+    fields = spark.createDataFrame([("size", None)], "name string, description string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16")  # as if the pages were many
+    try:
+        out = E.extract_page(E.evidence(parsed_once(small_page(spark))), fields)
+        assert "BroadcastHashJoin [key" in plan_of(out)
+        assert [(r.outcome, r.value) for r in out.collect()] == [("found", "5")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
