@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelens.session import stored
+
 RUNGS = ("testid", "id", "named-control", "role-name-scoped", "role-name-landmark")
 
 
@@ -97,11 +101,62 @@ def resolve_refs(asked: DataFrame, registry: DataFrame, current: DataFrame, stat
     return j.select("handle", "ref", outcome.alias("o")).select("handle", "ref", "o.*")
 
 
+#: Prefixes grow until there are this many times as many of them, and at one of so many lengths; how many the first walk keeps for an asked name.
+FAN, CUTS, KEPT = 10, 128, 2
+
+
+def prefix_lengths(names: DataFrame) -> list[int]:
+    """Lengths at which prefixes of ``names(name, long)`` are told apart, about ``FAN`` times as many each time; the last is that of the longest name."""
+    longest = names.agg(F.max("long")).first()[0] or 0
+    cuts = sorted({*range(1, longest, -(-longest // CUTS) or 1), longest})
+    seen = names.agg(*(F.approx_count_distinct(F.left("name", F.lit(p))) for p in cuts)).first()
+    out, before = [], 1
+    for k, p in enumerate(cuts):
+        if p == longest or seen[k + 1] > FAN * before:
+            out.append(p)
+            before = seen[k]
+    return out
+
+
 def nearest_by_name(asked: DataFrame, current: DataFrame, least: float = 0.4) -> DataFrame:
-    """The most similar name of the same page for each asked one: one less the edit distance over the longer length."""
-    ratio = 1 - F.levenshtein("asked_name", "name") / F.greatest(F.length("asked_name"), F.length("name"), F.lit(1))
-    j = asked.withColumnRenamed("name", "asked_name").join(current.select("handle", "name").distinct(), "handle").withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    return j.groupBy("handle", "asked_name").agg(F.max(F.struct("ratio", "name")).alias("b")).select("handle", "asked_name", F.col("b.name").alias("name"), F.col("b.ratio").alias("ratio"))
+    """The most similar name of the same page for each asked one: one less the edit distance over the longer length; of equally similar names the last.
+
+    Names are not paired with all of their page. Prefixes of current names, apart
+    by the length of the name, grow a few characters a step; no edit distance of
+    a name is below that of its prefix to a prefix of the asked name plus the
+    difference of what is left of both. A first walk that keeps the best prefixes
+    alone ends at some names of the page; the second keeps every prefix that can
+    still be as similar, ties included. Where nothing can be ruled out, that is
+    all pairs after all.
+    """
+    spark = current.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = stored(current.select("handle", "name").where("handle is not null and name is not null").distinct().withColumn("long", F.length("name")))
+    sought = stored(asked.select("handle", F.col("name").alias("asked_name")).where("handle is not null and asked_name is not null").distinct())
+    key = ["handle", "long", "at"]
+    size = F.length("asked_name")
+    left = F.col("long") - F.length("to")
+    edits = F.array_min(F.transform(F.sequence(F.lit(0), size), lambda j: F.levenshtein(F.substring(F.col("asked_name"), F.lit(1), j), F.col("to")) + F.abs(size - j - left)))
+    most = (1 - edits / F.greatest(size, F.col("long"), F.lit(1))).alias("most")
+
+    def grown(front: DataFrame, had: int, has: int) -> DataFrame:
+        """``front`` with the prefixes ``to`` of ``has`` characters that go on from ``at``; explicit numbers, for few rows may cost much."""
+        longer = names.select("handle", "long", F.left("name", F.lit(had)).alias("at"), F.left("name", F.lit(has)).alias("to")).distinct()
+        return front.drop("most").repartition(n, *key).join(longer.repartition(n, *key).hint("merge"), key)
+
+    lengths = names.select("handle", "long").distinct()
+    levels = list(pairwise([0, *prefix_lengths(names)]))
+    front = sought.join(lengths, "handle").withColumn("at", F.lit(""))
+    for had, has in levels:
+        place = F.row_number().over(W.partitionBy("handle", "asked_name").orderBy(F.desc("most"), "to", "long"))
+        best = grown(front, had, has).select("handle", "asked_name", "long", F.col("to"), most).withColumn("place", place).where(F.col("place") <= KEPT)
+        front = best.select("handle", "asked_name", "long", F.col("to").alias("at"), "most")
+    floor = stored(front.groupBy("handle", "asked_name").agg(F.greatest(F.max("most"), F.lit(least)).alias("floor")))
+    front = floor.join(lengths, "handle").withColumn("at", F.lit(""))
+    for had, has in levels:
+        front = grown(front, had, has).where(most >= F.col("floor")).select("handle", "asked_name", "floor", "long", F.col("to").alias("at"))
+    ratio = 1 - F.levenshtein("asked_name", "at") / F.greatest(size, F.col("long"), F.lit(1))
+    return front.groupBy("handle", "asked_name").agg(F.max(F.struct(ratio.alias("ratio"), F.col("at").alias("name"))).alias("b")).select("handle", "asked_name", F.col("b.name").alias("name"), F.col("b.ratio").alias("ratio"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = ("name", "landmark", "landmark_label", "state")) -> DataFrame:

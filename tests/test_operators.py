@@ -9,7 +9,7 @@ from pagelens.operators import classify as C
 from pagelens.operators import identity as I
 from pagelens.operators import structure as S
 from pagelens.operators import tables as B
-from pagelens.operators.nodes import NODES, html_nodes, page_rows
+from pagelens.operators.nodes import NODES, PageWalk, html_nodes, page_rows
 from pagelens.sources import rules
 
 
@@ -25,6 +25,31 @@ def test_parser_repairs_markup():
     assert page_rows(1, None) == []
 
 
+def test_plain_markup_is_read_whole_and_as_the_standard_parser_does():
+    plain = "<!DOCTYPE html><html><head><title>a &amp; b</title><script>x && y</script></head><body><!-- c --><p hidden class='d e'>1 &lt; 2<br><ul><li id=\"f\">g<li>h</ul></body></html>"
+    assert PageWalk(1).plain(plain) == len(plain)
+    odd = ["<P>a", "<script>'<p>'</script>b", "<title>a<b>c</title>", "<p id=x a=\"1&amp;2\">", "<iframe>&amp;</iframe>", "a < b", "<!---->c", "<a b=\"1\"c>", "&am", "<p"]
+    for html in [plain, *(f"<div>x &amp; y{o}</div><i>z" for o in odd)]:
+        walk = PageWalk(1)
+        walk.feed(html)
+        walk.close()
+        walk.close_to(0)
+        assert page_rows(1, html) == walk.rows
+
+
+def test_nearest_by_name_does_not_pair_all_names(spark):
+    names = [f"Customer#{k:06d}" for k in range(3000)] + ["", "é", "Customer#0000101"]
+    wanted = [f"customer {k}" for k in range(0, 3000, 100)] + ["é", "zzzz", "customer 10"]
+    current = spark.createDataFrame([("a", x) for x in names] + [("b", "only"), (None, "x"), ("a", None)], "handle string, name string")
+    asked = spark.createDataFrame([("a", x) for x in wanted] + [("b", "onlx"), ("c", "x"), ("a", None)], "handle string, name string")
+    pairs = asked.withColumnRenamed("name", "w").join(current.distinct(), "handle").withColumn("r", 1 - F.levenshtein("w", "name") / F.greatest(F.length("w"), F.length("name"), F.lit(1))).where("r >= 0.4")
+    brute = {tuple(r) for r in pairs.groupBy("handle", "w").agg(F.max(F.struct("r", "name")).alias("b")).select("handle", "w", "b.name", "b.r").collect()}
+    found = I.nearest_by_name(asked, current)
+    assert {tuple(r) for r in found.collect()} == brute
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "levenshtein" in line]
+    assert joins and all("floor" in line for line in joins)  # pairs are ruled out where they are made
+
+
 def test_hidden_text_is_apart(spark):
     n, _ = nodes_of(spark, '<body><p style="opacity:0">secret</p><p>seen <span hidden>not</span></p><details><summary>More</summary><p>closed</p></details></body>')
     h = spark.createDataFrame(S.hidden_nodes(n).collect(), S.hidden_nodes(n).schema)
