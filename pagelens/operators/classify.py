@@ -126,7 +126,7 @@ def classify_response(responses: DataFrame) -> DataFrame:
     held = low.withColumn("__sig", signals)
     labels = F.transform(F.array_distinct(F.transform("__sig", lambda x: x["label"])), lambda lab: F.struct(lab.alias("label"), F.size(F.filter("__sig", lambda x: (x["label"] == lab) & (x["tier"] == "B"))).alias("blocks"), F.size(F.filter("__sig", lambda x: (x["label"] == lab) & (x["tier"] == "C"))).alias("corroborating")))
     none = F.array(F.struct(F.when(F.col("__e") & (F.col("status").isNull() | (F.col("status") == 200)), "insufficient_evidence").otherwise("none").alias("label"), F.lit(0).alias("blocks"), F.lit(0).alias("corroborating")))
-    out = held.withColumn("__l", F.when(F.size("__sig") > 0, labels).otherwise(none)).select(*responses.columns, F.explode("__l").alias("__x"))
+    out = held.withColumn("__l", F.when(F.size("__sig") > 0, labels).otherwise(none)).select(*responses.columns, F.explode_outer("__l").alias("__x"))  # never empty; after explode Spark would test for that first, by all rules once more for each use
     x = F.col("__x")
     confidence = F.when(x["label"].isin("none", "insufficient_evidence"), x["label"]).when(x["blocks"] > 0, "confirmed").when(x["label"] == "geo_blocked", "possible").when(x["corroborating"] >= 2, "probable").otherwise("possible")
     return out.select(*responses.columns, x["label"].alias("label"), confidence.alias("confidence"), x["blocks"].alias("blocks"), x["corroborating"].alias("corroborating"))

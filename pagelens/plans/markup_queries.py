@@ -46,7 +46,7 @@ LINES_SQL = "lines as (select l_orderkey, l_linenumber, l_returnflag, l_quantity
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` in as many partitions as there are cores at least: their pages are parsed in Python, which small partitions joined by size would leave to a few."""
+    """``rows`` in as many partitions as there are cores at least: a table that is small on disk would leave costly work on its rows to a few."""
     spark = rows.sparkSession
     return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 

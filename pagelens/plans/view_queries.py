@@ -10,6 +10,7 @@ from pagelens.operators import classify as C
 from pagelens.operators import view as V
 from pagelens.operators.nodes import parsed_once
 from pagelens.plans.log_queries import events
+from pagelens.plans.markup_queries import spread
 from pagelens.plans.page_queries import BLOCKS_SQL, pages
 from pagelens.plans.registry import query
 from pagelens.sources.pages import read_table
@@ -132,7 +133,7 @@ def blocked(spark: SparkSession, d: str) -> DataFrame:
     url = F.lit("https://a.example.com/x")
     status = F.expr("case event_type when 'signup' then 403 else 200 end")
     long = F.repeat(F.lit("readable words "), F.lit(20))
-    return events(spark, d).select("event_id", url.alias("url"), url.alias("landed_url"), status.alias("status"), F.create_map(name, value).alias("headers"), F.lit("").alias("title"), F.concat(body, F.lit(" "), long).alias("body"), F.lit("").alias("source"))
+    return spread(events(spark, d), "event_id").select("event_id", url.alias("url"), url.alias("landed_url"), status.alias("status"), F.create_map(name, value).alias("headers"), F.lit("").alias("title"), F.concat(body, F.lit(" "), long).alias("body"), F.lit("").alias("source"))
 
 
 @query("h4_vendors", "select event_id, case event_type when 'click' then 'Cloudflare' when 'view' then 'DataDome' when 'error' then 'Akamai' when 'signup' then 'HUMAN (PerimeterX)' else '' end as vendors, case event_type when 'click' then 'Cloudflare' when 'view' then 'DataDome' end as decides from events")
