@@ -125,7 +125,7 @@ CENSUS = f"p_partkey % 5 = 0 and p_partkey % 3 = 0 as payment, p_partkey % 7 = 3
 )
 def h9_classify_submission(spark: SparkSession, d: str) -> DataFrame:
     """Forms in several scripts: diacritics, full width, camel case, terms without blanks, hosts that say what the path does not."""
-    parts = read_table(spark, d, "part").selectExpr("p_partkey", *CENSUS.replace(f"p_partkey // {len(SUBMITTERS)} %", f"p_partkey div {len(SUBMITTERS)} %").split(", "))
+    parts = spread(read_table(spark, d, "part"), "p_partkey").selectExpr("p_partkey", *CENSUS.replace(f"p_partkey // {len(SUBMITTERS)} %", f"p_partkey div {len(SUBMITTERS)} %").split(", "))
     pick = lambda rows, k: F.get(F.array(*(F.lit(r[0]).cast("string") for r in rows)), F.col(k).cast("int"))
     census = parts.select("*", pick(SUBMITTERS, "si").alias("submitter"), pick(ACTIONS, "ai").alias("action"), pick(LABELS, "li").alias("checkbox_labels"))
     return C.search_shaped(C.classify_submission(census)).select("p_partkey", "cls", "reason", "term", "search_shaped")
