@@ -15,26 +15,31 @@ class LineParams:
     """``least_chars``: shorter lines are always kept. ``gram``: characters of a
     shingle compared in the end. ``long_gram``: characters of the shingles that
     are hashed where words are few; elsewhere a hashed shingle runs from a
-    word's start to the next word's end. ``minima``: smallest hashes of a line;
+    word's start to the next word's end, or to the one's after that where both
+    have fewer than ``short_words`` characters. ``minima``: smallest hashes of a line;
     each two of them are a band. ``percent``: least Jaccard similarity, in
     hundredths. ``leaders``: lines of a band that the others meet first. ``broadcast_rows``: most rows of two
     or three numbers that are broadcast rather than shuffled; ``broadcast_bytes``
     the same of rows with lists. ``square``: lines of a crowded band that one
-    task pairs at a time."""
+    task pairs at a time. ``long_line``: lines of more characters get a wider
+    sketch besides."""
 
     least_chars: int = 10
     gram: int = 5
     long_gram: int = 12
+    short_words: int = 10
     minima: int = 5
     percent: int = 80
     leaders: int = 8
     broadcast_rows: int = 1_000_000
     broadcast_bytes: int = 64 << 20
     square: int = 1024
+    long_line: int = 1500
 
 
-WORDS = 4
-MARKS = ("n", *(f"s{k}" for k in range(WORDS)))
+#: Numbers of 64 cells in a sketch, and in that of a long line besides.
+WORDS, WIDE = 16, 256
+MARKS = ("n", *(f"s{k}" for k in range(WORDS)), "wide")
 
 
 def normal(line: Column) -> Column:
@@ -47,8 +52,9 @@ def once(value: Column, use) -> Column:
 
 
 def minima(line: Column, p: LineParams) -> Column:
-    """The smallest hashes of the line's shingles: from a word's start to the next word's end, or runs of characters where words are few."""
-    begun = lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    """The smallest hashes of the line's shingles: from a word's start to the end of the next or, if both are short, of the one after, or runs of characters where words are few."""
+    third = lambda words, w, i: F.when(F.length(w) + F.length(F.get(words, i + 1)) < p.short_words, F.get(words, i + 2))
+    begun = lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), third(words, w, i)))
     dense = F.regexp_extract_all(line, F.lit(rf"(?=(.{{{p.long_gram}}}))"), F.lit(1))
     few = F.transform(F.when(F.length(line) >= p.long_gram, dense).otherwise(F.array(line)), lambda g: F.xxhash64(g))
     grams = once(F.split(line, " "), lambda w: F.when(F.size(w) * 2 * p.long_gram >= F.length(line), begun(w)).otherwise(few))
@@ -69,18 +75,34 @@ def shingles(line: Column, p: LineParams) -> Column:
     return F.array_distinct(once(F.encode(line, "UTF-16BE"), runs))
 
 
-def sketch(grams: Column) -> list[Column]:
-    """Parities of how many of the hashes fall into each of 256 cells, as four numbers."""
-    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63)).cast("int"))
-    word = lambda k: F.aggregate(F.filter(grams, lambda g: F.shiftrightunsigned(g, 6).bitwiseAND(F.lit(WORDS - 1)) == k), F.lit(0).cast("long"), lambda a, g: a.bitwiseXOR(bit(g)))
-    return [word(k).alias(f"s{k}") for k in range(WORDS)]
+def sketches(texts: DataFrame, p: LineParams) -> DataFrame:
+    """``h, n, s0.., wide``: of each line the number of its shingles, and the parities of how many of their hashes fall into each cell.
+
+    A sketch tells sets apart while its cells are not far fewer than their
+    hashes, hence the wider one of long lines (others have none).
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("g").bitwiseAND(F.lit(63)).cast("int"))
+    spot = lambda words: F.shiftrightunsigned("g", 6).bitwiseAND(F.lit(words - 1)).cast("int")
+    each = texts.select("h", F.explode(shingles(F.col("line"), p)).alias("g")).select("h", bit.alias("bit"), spot(WORDS).alias("word"))
+    short = each.groupBy("h").agg(F.count("*").cast("int").alias("n"), *(F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(WORDS)))
+    long = texts.where(F.length("line") > p.long_line).select("h", F.explode(shingles(F.col("line"), p)).alias("g"))
+    long = long.groupBy("h", spot(WIDE).alias("word")).agg(F.bit_xor(bit).alias("x")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("x"))  # at most WIDE numbers a line
+    long = long.select("h", F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.coalesce(F.try_element_at("x", k), F.lit(0).cast("long"))).alias("wide"))
+    return short.join(long, "h", "left")
 
 
 def near(a: str, b: str, p: LineParams) -> Column:
     """Whether sizes and sketches allow a link: two sets differ in no fewer hashes than odd cells of both."""
-    odd = sum((F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    odd = apart(a, b)
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent) & (odd * (100 + p.percent) <= (n + m) * (100 - p.percent))
+    few = lambda odd: odd * (100 + p.percent) <= (n + m) * (100 - p.percent)
+    wide = F.aggregate(F.zip_with(f"{a}wide", f"{b}wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent) & few(odd) & F.when(F.col(f"{a}wide").isNull() | F.col(f"{b}wide").isNull(), True).otherwise(few(wide))
+
+
+def apart(a: str, b: str) -> Column:
+    """In how many hashes two sets differ at least: the odd cells of both sketches."""
+    return sum((F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
 
 
 def linked(pairs: DataFrame, texts: DataFrame, p: LineParams) -> DataFrame:
@@ -91,29 +113,36 @@ def linked(pairs: DataFrame, texts: DataFrame, p: LineParams) -> DataFrame:
 
 
 def led(banded: DataFrame, p: LineParams) -> DataFrame:
-    """``a, b``: lines and leaders of their bands that may link: about ``leaders`` lines of a band lead it, all of a smaller one."""
+    """``a, b``: of each line the nearest and the first of the leaders of its bands with which it may link.
+
+    About ``leaders`` lines of a band lead it, all of a smaller one. The first
+    one joins a group of lines that are all alike into one star.
+    """
     chosen = banded.where(F.pmod(F.xxhash64("h"), F.col("m")) < p.leaders)
     other = chosen.select("band", *(F.col(c).alias(f"o_{c}") for c in ("h", *MARKS)))
-    met = banded.join(other, "band").where((F.col("h") != F.col("o_h")) & near("", "o_", p))
-    return met.select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct()
+    met = banded.join(other, "band").where((F.col("h") != F.col("o_h")) & near("", "o_", p)).select("h", "o_h", apart("", "o_").alias("odd"))
+    best = met.groupBy("h").agg(F.min(F.struct("odd", "o_h")).alias("nearest"), F.min("o_h").alias("first"))
+    ends = best.select("h", F.explode(F.array("nearest.o_h", "first")).alias("o"))
+    return ends.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
 
 
-def across(banded: DataFrame, roots: DataFrame, p: LineParams) -> DataFrame:
+def across(meeting: DataFrame, marks: DataFrame, roots: DataFrame, p: LineParams) -> DataFrame:
     """``a, b``: pairs of lines of a band in different components that sizes and sketches allow to link.
 
-    Bands of no more lines than leaders have been compared whole. A crowded band
-    is cut into parts, and each two parts meet in a group of their own.
+    A crowded band is cut into parts, and each two parts meet in a group of
+    their own.
     """
-    labelled = cut(banded.where(F.col("m") > p.leaders).join(small(roots.toDF("h", "r"), p), "h", "left").withColumn("r", F.coalesce("r", "h")))
-    mixed = cut(labelled.groupBy("band").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.ceil(F.count("*") / p.square).cast("int").alias("parts")).where("x < y").select("band", "parts"))
+    rooted = cut(meeting.select("band", "h").join(small(roots.toDF("h", "r"), p), "h", "left").withColumn("r", F.coalesce("r", "h")))
+    mixed = cut(rooted.groupBy("band").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.ceil(F.count("*") / p.square).cast("int").alias("parts")).where("x < y").select("band", "parts"))
+    labelled = rooted.join(small(mixed, p), "band").join(marks, "h")
     part = F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts")).cast("int").alias("part")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least("part", t).alias("i"), F.greatest("part", t).alias("j")))
-    cells = labelled.join(small(mixed, p), "band").select("band", "h", "r", "parts", *MARKS, part).select("band", F.inline(meets), "part", "h", "r", *MARKS)
+    cells = labelled.select("band", "h", "r", "parts", *MARKS, part).select("band", F.inline(meets), "part", "h", "r", *MARKS)
     other = cells.select(*(F.col(c).alias(f"o_{c}") for c in cells.columns))
-    apart = (F.col("h") < F.col("o_h")) & (F.col("r") != F.col("o_r")) & ((F.col("i") == F.col("j")) | (F.col("part") != F.col("o_part")))
+    parted = (F.col("h") < F.col("o_h")) & (F.col("r") != F.col("o_r")) & ((F.col("i") == F.col("j")) | (F.col("part") != F.col("o_part")))
     group = (F.col("band") == F.col("o_band")) & (F.col("i") == F.col("o_i")) & (F.col("j") == F.col("o_j"))
-    out = cut(cells.join(other, group & apart & near("", "o_", p)).select(F.col("h").alias("a"), F.col("o_h").alias("b")).distinct())
-    drop_cut(labelled)
+    out = cut(cells.join(other, group & parted & near("", "o_", p)).select(F.col("h").alias("a"), F.col("o_h").alias("b")).distinct())
+    drop_cut(rooted)
     drop_cut(mixed)
     return out
 
@@ -153,17 +182,16 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     wanted = cut(meeting.select("h").distinct())
     texts = known.select(F.xxhash64("line").alias("h"), "line").join(small(wanted, p), "h", "left_semi")
     texts = cut(texts.groupBy("h").agg(F.first("line").alias("line")))
-    marks = texts.select("h", shingles(F.col("line"), p).alias("g")).select("h", F.size("g").alias("n"), *sketch(F.col("g")))
-    banded = cut(meeting.join(cut(marks), "h"))
-    for done in (shared, meeting, wanted):
+    marks = cut(sketches(texts, p))
+    for done in (shared, wanted):
         drop_cut(done)
     free_shuffles(df.sparkSession)
 
-    pairs = cut(led(banded, p))
+    pairs = cut(led(meeting.join(marks, "h"), p))
     links = linked(pairs, texts, p)
-    rest = cut(across(banded, components(links), p).join(pairs, ["a", "b"], "left_anti"))
+    rest = cut(across(meeting, marks, components(links), p).join(pairs, ["a", "b"], "left_anti"))
     roots = components(links.union(linked(rest, texts, p)))
-    for done in (banded, pairs, rest, texts, links):
+    for done in (meeting, marks, pairs, rest, texts, links):
         drop_cut(done)
     owned = uniq.select("h", "at", "n").join(roots.withColumnRenamed("id", "h"), "h", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "h"))
     owned = cut(owned.select("h", "at", "root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import time
 
 from pagelens.llm import line_dedup
@@ -20,3 +21,18 @@ def test_a_hundred_thousand_lines(spark):
     assert time.time() - began < 120
     assert got[1].n_lines == 2 * n + 1 and got[1].n_removed == n and got[2].n_removed == 0
     assert got[1].text == "\n".join([*lines, ""])
+
+
+def test_unlike_lines_are_not_compared_whole(spark, monkeypatch):
+    """Lines of hundreds or thousands of characters that share frequent words: sketches tell them apart, near copies are still found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9)))
+    often = ["considerable", "furthermore", "nevertheless", "government", "population", "university"]
+    lines = [" ".join(w for _ in range(40 if k % 2 else 150) for w in (word(), word(), *rng.choices(often, k=3))) for k in range(60)]
+    lines += [line.replace(line[300:303], "xyz", 1) for line in lines[:10]]
+    whole, compare = [], line_dedup.linked
+    monkeypatch.setattr(line_dedup, "linked", lambda pairs, texts, p: whole.append(pairs.count()) or compare(pairs, texts, p))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(df, params=line_dedup.LineParams(minima=12)).where("n_removed = 1").collect()}
+    assert got == set(range(60, 70))
+    assert sum(whole) <= 30, whole
