@@ -27,7 +27,7 @@ class LineParams:
     least_chars: int = 10
     gram: int = 5
     long_gram: int = 12
-    short_words: int = 10
+    short_words: int = 7
     minima: int = 5
     percent: int = 80
     leaders: int = 8
@@ -85,9 +85,11 @@ def sketches(texts: DataFrame, p: LineParams) -> DataFrame:
     spot = lambda words: F.shiftrightunsigned("g", 6).bitwiseAND(F.lit(words - 1)).cast("int")
     each = texts.select("h", F.explode(shingles(F.col("line"), p)).alias("g")).select("h", bit.alias("bit"), spot(WORDS).alias("word"))
     short = each.groupBy("h").agg(F.count("*").cast("int").alias("n"), *(F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(WORDS)))
-    long = texts.where(F.length("line") > p.long_line).select("h", F.explode(shingles(F.col("line"), p)).alias("g"))
-    long = long.groupBy("h", spot(WIDE).alias("word")).agg(F.bit_xor(bit).alias("x")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("x"))  # at most WIDE numbers a line
-    long = long.select("h", F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.coalesce(F.try_element_at("x", k), F.lit(0).cast("long"))).alias("wide"))
+    long = texts.where(F.length("line") > p.long_line)
+    words = long.select("h", F.explode(shingles(F.col("line"), p)).alias("g")).select("h", spot(WIDE).alias("word"), bit.alias("bit"))
+    empty = long.select("h", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = words.union(empty).groupBy("h", "word").agg(F.bit_xor("bit").alias("x"))
+    long = words.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("word", "x"))).alias("x")).select("h", F.col("x.x").alias("wide"))  # WIDE numbers a line
     return short.join(long, "h", "left")
 
 
@@ -188,8 +190,10 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     free_shuffles(df.sparkSession)
 
     pairs = cut(led(meeting.join(marks, "h"), p))
+    free_shuffles(df.sparkSession)
     links = linked(pairs, texts, p)
     rest = cut(across(meeting, marks, components(links), p).join(pairs, ["a", "b"], "left_anti"))
+    free_shuffles(df.sparkSession)
     roots = components(links.union(linked(rest, texts, p)))
     for done in (meeting, marks, pairs, rest, texts, links):
         drop_cut(done)
