@@ -15,8 +15,8 @@ class LineParams:
     """``least_chars``: shorter lines are always kept. ``gram``: characters of a
     shingle compared in the end. ``long_gram``: characters of the shingles that
     are hashed where words are few; elsewhere a hashed shingle runs from a
-    word's start to the next word's end, or to the one's after that where both
-    have fewer than ``short_words`` characters. ``minima``: smallest hashes of a line;
+    word's start to the next word's end, or to that of the one after where the two
+    have fewer than ``short_words`` characters together. ``minima``: smallest hashes of a line;
     each two of them are a band. ``percent``: least Jaccard similarity, in
     hundredths. ``leaders``: lines of a band that the others meet first. ``broadcast_rows``: most rows of two
     or three numbers that are broadcast rather than shuffled; ``broadcast_bytes``
