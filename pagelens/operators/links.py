@@ -164,11 +164,11 @@ def filename_for(url: Column, disposition: Column) -> Column:
     return F.when(url.rlike("^https?://"), F.nullif(F.left(F.trim(F.regexp_replace(name, r"[\p{Cntrl}]+", " ")), F.lit(160)), F.lit("")))
 
 
-def find_elements(found: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def find_elements(found: DataFrame, queries: DataFrame) -> DataFrame:
     """Controls whose name holds a query (``queries(query, role)``, a small broadcast table), with total and position."""
     hit = found.join(few(queries), F.contains(F.lower(found["name"]), F.lower(queries["query"])) & (queries["role"].isNull() | (queries["role"] == found["role"]))).drop(queries["role"])
     w = W.partitionBy("query", "page_id")
-    return hit.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("node_id"))).where(F.col("rank") <= limit)
+    return hit.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("node_id")))
 
 
 def nearest_misses(found: DataFrame, query: str, limit: int = 6) -> DataFrame:

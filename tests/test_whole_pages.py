@@ -27,3 +27,9 @@ def test_every_control_of_a_page(spark, tmp_path):
     links = "".join(f'<li><a href="/{k}">link {k}</a></li>' for k in range(320))
     d = stored_pages(spark, tmp_path, f"<ul>{links}</ul>")
     assert {(r.name, r.ordinal) for r in queries()["b11_controls"](spark, d).collect()} == {(f"link {k}", k + 1) for k in range(320)}
+
+
+def test_every_element_found_on_a_page(spark, tmp_path):
+    d = stored_pages(spark, tmp_path, "".join(f'<a href="/{k}">{"nicht" if k >= 300 else "other"} {k}</a>' for k in range(330)))
+    got = [tuple(r) for r in queries()["d1_find_elements"](spark, d).where("query = 'nicht'").select("name", "total").collect()]
+    assert sorted(got) == [(f"nicht {k}", 30) for k in range(300, 330)]
