@@ -171,12 +171,12 @@ def find_elements(found: DataFrame, queries: DataFrame) -> DataFrame:
     return hit.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("node_id")))
 
 
-def nearest_misses(found: DataFrame, query: str, limit: int = 6) -> DataFrame:
-    """Distinct names by how many words of ``query`` they hold; the best ``limit`` of each page."""
+def nearest_misses(found: DataFrame, query: str) -> DataFrame:
+    """Distinct names that hold a word of ``query``, ranked on each page by how many."""
     words = [w for w in query.lower().split() if w]
     score = sum((F.contains(F.lower("name"), F.lit(w)).cast("int") for w in words), F.lit(0))
     names = found.select("page_id", "name").distinct().withColumn("score", score).where("score > 0")
-    return names.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "name"))).where(F.col("rank") <= limit)
+    return names.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "name")))
 
 
 def disambiguate(found: DataFrame) -> DataFrame:

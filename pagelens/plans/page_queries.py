@@ -107,7 +107,7 @@ def d1_find_elements(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "d2_nearest_misses",
-    f"with {LINKS_SQL}, s as (select distinct page_id, name, (contains(lower(name), 'on')::int + contains(lower(name), 'er')::int) as score from links) select page_id, name, score, rank from (select *, row_number() over (partition by page_id order by score desc, name) as rank from s where score > 0) where rank <= 6",
+    f"with {LINKS_SQL}, s as (select distinct page_id, name, (contains(lower(name), 'on')::int + contains(lower(name), 'er')::int) as score from links) select page_id, name, score, row_number() over (partition by page_id order by score desc, name) as rank from s where score > 0",
 )
 def d2_nearest_misses(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)

@@ -33,3 +33,9 @@ def test_every_element_found_on_a_page(spark, tmp_path):
     d = stored_pages(spark, tmp_path, "".join(f'<a href="/{k}">{"nicht" if k >= 300 else "other"} {k}</a>' for k in range(330)))
     got = [tuple(r) for r in queries()["d1_find_elements"](spark, d).where("query = 'nicht'").select("name", "total").collect()]
     assert sorted(got) == [(f"nicht {k}", 30) for k in range(300, 330)]
+
+
+def test_every_near_miss_of_a_page(spark, tmp_path):
+    d = stored_pages(spark, tmp_path, "".join(f'<a href="/{k}">{"on er" if k == 319 else "er" if k >= 300 else "x"} {k}</a>' for k in range(320)))
+    got = sorted((r["rank"], r["name"], r["score"]) for r in queries()["d2_nearest_misses"](spark, d).collect())
+    assert got == [(1, "on er 319", 2), *((k - 298, f"er {k}", 1) for k in range(300, 319))]
