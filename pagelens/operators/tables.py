@@ -72,7 +72,7 @@ def table_inventory(nodes: DataFrame) -> DataFrame:
     known = tables.join(facts.join(cells, ["page_id", "owner"], "left").withColumnRenamed("owner", "node_id"), ["page_id", "node_id"], "left").na.fill(0, ["rows", "cols", "first_cols"]).na.fill(False, ["marked", "nests", "blocks"])
     small = ~F.col("marked") & (F.coalesce("summary", F.lit("")) == "") & ((F.col("rows") <= 1) | (F.col("first_cols") <= 1)) & F.col("blocks")
     layout = F.col("role").isin("presentation", "none") | ((F.col("tag") == "table") & (F.col("nests") | small))
-    kept = stored(known.where(~layout))  # met four times, and no more than the tables
+    kept = stored(known.where(~layout)).hint("merge")  # met four times; as many as the tables, though small on disk
     outer = kept.select(F.col("page_id").alias("op"), F.col("node_id").alias("o"), F.col("last_desc").alias("ol"))
     top = kept.join(outer, (F.col("page_id") == F.col("op")) & (F.col("node_id") > F.col("o")) & (F.col("node_id") <= F.col("ol")), "left_anti")
     captions = inner_text(nodes, nodes.where("tag = 'caption'")).select("page_id", F.col("parent_id").alias("node_id"), F.col("inner").alias("caption")).groupBy("page_id", "node_id").agg(F.first("caption").alias("caption"))
@@ -100,24 +100,29 @@ def table_choice(inventory: DataFrame, index: int | None = None) -> DataFrame:
 CELLS = "page_id long, table_id int, row_ix int, col_ix int, text string, is_th boolean, in_head boolean, copied boolean, clipped boolean, table_rows int"
 
 
+def in_slots(rows: int, cells: list[dict]) -> tuple[list[tuple], int]:
+    """Cells of one table of ``rows`` rows in their slots, in order, and how many rows they fill; a later cell takes a slot over an earlier span."""
+    slots: dict[tuple[int, int], tuple] = {}
+    at, c = -1, 0
+    for x in cells:
+        if x["row_ix"] != at:
+            at, c = x["row_ix"], 0
+        while (at, c) in slots:
+            c += 1
+        for i in range(x["rowspan"]):
+            for k in range(x["colspan"]):
+                slots[at + i, c + k] = (x["text"], x["is_th"], x["in_head"], bool(i or k), x["clipped"])
+        c += x["colspan"]
+    return sorted(slots.items()), max([rows, *(r + 1 for r, _ in slots)])
+
+
 def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells of whole tables with row and column spans, in their slots; a later cell takes a slot over an earlier span."""
+    """Cells of whole tables with row and column spans, in their slots."""
     for pdf in batches:
         out: list[tuple] = []
         for page, table, rows, cells in zip(pdf["page_id"], pdf["table_id"], pdf["table_rows"], pdf["cells"]):
-            slots: dict[tuple[int, int], tuple] = {}
-            at, c = -1, 0
-            for x in cells:
-                if x["row_ix"] != at:
-                    at, c = x["row_ix"], 0
-                while (at, c) in slots:
-                    c += 1
-                for i in range(x["rowspan"]):
-                    for k in range(x["colspan"]):
-                        slots[at + i, c + k] = (x["text"], x["is_th"], x["in_head"], bool(i or k), x["clipped"])
-                c += x["colspan"]
-            deep = max([rows, *(r + 1 for r, _ in slots)])
-            out += [(page, table, r, c, *v, deep) for (r, c), v in sorted(slots.items())]
+            slots, deep = in_slots(rows, cells)
+            out += [(page, table, r, c, *v, deep) for (r, c), v in slots]
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CELLS.split(", ")])
 
 
@@ -158,6 +163,8 @@ def table_cells(nodes: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def with_first_data_row(cells: DataFrame) -> DataFrame:
     """``cells`` with ``first_data_row``: how many leading rows consist of header cells alone, or stand in the head altogether."""
+    if "first_data_row" in cells.columns:
+        return cells
     row, table = W.partitionBy("page_id", "table_id", "row_ix"), W.partitionBy("page_id", "table_id")
     heads = F.min("is_th").over(row) | F.min("in_head").over(row)
     marked = cells.withColumn("__head", heads)
@@ -183,7 +190,9 @@ def get_table(cells: DataFrame, start_row: int = 0, max_rows: int = 50, choice:
     """
     if choice is not None:
         cells = cells.join(choice.where("refused is null").select("page_id", "table_id"), ["page_id", "table_id"], "left_semi")
-    sized = with_first_data_row(cells).withColumn("width", F.max("col_ix").over(W.partitionBy("page_id", "table_id")) + 1)
+    sized = with_first_data_row(cells)
+    if "width" not in sized.columns:
+        sized = sized.withColumn("width", F.max("col_ix").over(W.partitionBy("page_id", "table_id")) + 1)
     data = sized.withColumn("row", F.col("row_ix") - F.col("first_data_row")).where(F.col("row").between(max(0, start_row), max(0, start_row) + max(1, max_rows) - 1))
     rows = data.groupBy("page_id", "table_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col_ix", "text"))).alias("m"), F.first("width").alias("width"), (F.first("table_rows") - F.first("first_data_row")).cast("long").alias("total_rows"))
     end = max(0, start_row) + max(1, max_rows)

@@ -18,6 +18,7 @@ from pagelens.operators import identity as I
 from pagelens.operators import lanes as N
 from pagelens.operators import links as L
 from pagelens.operators import logs as G
+from pagelens.operators import page_tables as P
 from pagelens.operators import structure as S
 from pagelens.operators import tables as B
 from pagelens.operators import view as V
@@ -151,7 +152,7 @@ def b18_age_declared(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c1_table_inventory", "select l_orderkey as page_id, 'Order ' || l_orderkey as caption, count(*) + 1 as n_rows, 3::bigint as n_cols from lineitem group by l_orderkey")
 def c1_table_inventory(spark: SparkSession, d: str) -> DataFrame:
-    found = B.table_inventory(parsed_once(orders(spark, d)))
+    found = P.page_inventory(orders(spark, d))
     return found.select("page_id", "caption", F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"))
 
 
