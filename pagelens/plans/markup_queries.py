@@ -75,8 +75,7 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_cells(spark: SparkSession, d: str) -> DataFrame:
-    nodes = parsed_once(orders(spark, d))
-    return B.table_cells(nodes, B.table_inventory(nodes))
+    return P.page_cells(orders(spark, d))
 
 
 @query("b2_hidden_reasons", "select c_custkey as page_id, r as reason from customer, (values ('hidden'), ('opacity-0')) v(r)")

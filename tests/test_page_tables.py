@@ -56,7 +56,7 @@ def test_walked_tables_are_those_of_nodes(spark):
     assert rows(B.get_table(mine, 0, 3)) == rows(B.get_table(theirs, 0, 3))
 
 
-@pytest.mark.parametrize("name", ["c1_table_inventory"])
+@pytest.mark.parametrize("name", ["c1_table_inventory", "c2_table_cells", "c3_table_headers", "c4_get_table"])
 def test_queries_over_tables_join_and_broadcast_nothing(spark, name):
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "Broadcast" not in plan
