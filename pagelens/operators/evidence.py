@@ -21,16 +21,16 @@ HINT_CHARS = 120
 HINT_SKIP = "^(col|row|is|has|js|no|ng|v|u|p|m|mt|mb|ml|mr|px|py|d|w|h|sm|md|lg|xl|xs|active|hidden|show|hide|clearfix|container|wrapper|inner|outer|left|right|center|top|bottom|first|last|odd|even)(-|$)"
 
 
-def readable_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """``inner_text`` of ``of``; where ``nodes`` are those of ``hidden_nodes``, of what can be seen alone, with ``withheld`` for elements whose text is hidden altogether."""
+def readable_text(nodes: DataFrame, of: DataFrame, read: Column | None = None) -> DataFrame:
+    """``inner_text`` of ``of``, of what passes ``read`` alone; where ``nodes`` are those of ``hidden_nodes``, of what can be seen alone, with ``withheld`` for elements whose text is hidden altogether."""
     if "hidden_reason" not in nodes.columns:
-        return inner_text(nodes, of).withColumn("withheld", F.lit(False))
-    seen = inner_text(nodes.where("tag <> '#text' or hidden_reason is null"), of)
-    every = inner_text(nodes.where("tag <> '#text' or hidden_reason is not null"), of.select("page_id", "node_id")).select("page_id", "node_id", F.col("inner").alias("__hidden"))
+        return inner_text(nodes, of, read).withColumn("withheld", F.lit(False))
+    seen = inner_text(nodes.where("tag <> '#text' or hidden_reason is null"), of, read)
+    every = inner_text(nodes.where("tag <> '#text' or hidden_reason is not null"), of.select("page_id", "node_id", "tag", "attrs"), read).select("page_id", "node_id", F.col("inner").alias("__hidden"))
     return seen.join(every, ["page_id", "node_id"]).withColumn("withheld", (F.col("inner") == "") & (F.col("__hidden") != "")).drop("__hidden")
 
 
-def evidence(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+def evidence(nodes: DataFrame, leaves: DataFrame | None = None, tiers: tuple[str, ...] = tuple(TIERS)) -> DataFrame:
     """``page_id, tier, seq, key, value, by, secret, withheld, styling_only`` of each page; at most ``TIERS`` per tier in document order, ``overflow`` counts the rest.
 
     ``declared``: JSON-LD leaves (``leaves(page_id, path, value)``), metas,
@@ -38,9 +38,12 @@ def evidence(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     labelled fields. ``proximate``: a short label and its next sibling.
     ``hint``: words of id, class and test id; a word on an element without a
     short text is ``styling_only``. Of ``hidden_nodes``, text that cannot be seen
-    gives no value: ``withheld``. Each source is one projection.
+    gives no value: ``withheld``. Each source is one projection. ``tiers`` leaves
+    out whole tiers, and the texts that only these would read.
     """
-    texts = readable_text(nodes, nodes.where(~F.col("tag").startswith("#") & ~is_control()))
+    whole = "proximate" in tiers or "hint" in tiers
+    sourced = F.col("tag").isin("dt", "dd", "th", "td", "time", "title") | attr("itemprop").isNotNull() | attr("property").isNotNull()
+    texts = readable_text(nodes, nodes.where(~F.col("tag").startswith("#") & ~is_control()), None if whole else sourced)
     texts = stored(texts.select("page_id", "node_id", "parent_id", "tag", "attrs", "inner", "withheld"))  # read for every kind of source
     row = lambda d, tier, key, value, by, withheld=F.lit(False): d.select("page_id", F.lit(tier).alias("tier"), F.col("node_id").alias("seq"), key.alias("key"), value.alias("value"), F.lit(by).alias("by"), withheld.alias("withheld"))
     meta = nodes.where((F.col("tag") == "meta") & attr("content").isNotNull() & F.coalesce(attr("property"), attr("name")).isNotNull())
@@ -69,6 +72,7 @@ def evidence(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = out.where(F.col("tier").isin(*tiers))
     cap = F.element_at(F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv)), F.col("tier"))
     w = W.partitionBy("page_id", "tier")
     ranked = out.where("key is not null").withColumn("n", F.row_number().over(w.orderBy("seq", "key"))).withColumn("overflow", F.greatest(F.count("*").over(w) - cap, F.lit(0)))
@@ -159,7 +163,7 @@ def field_sources(nodes: DataFrame, leaves: DataFrame | None = None, most: int =
     definition lists, rows of two cells, labelled fields that hold no secret.
     """
     order = ("json-ld", "meta", "microdata", "dl", "row", "form-field")
-    found = evidence(nodes, None).where(F.col("by").isin(*order)).select("page_id", "seq", "key", "value", "by")
+    found = evidence(nodes, None, ("declared", "labeled")).where(F.col("by").isin(*order)).select("page_id", "seq", "key", "value", "by")
     if leaves is not None:
         found = found.unionByName(leaves.where(F.size(F.split("path", r"\.")) <= 2).select("page_id", F.lit(-1).alias("seq"), F.col("path").alias("key"), F.left("value", F.lit(VALUE_CHARS)).alias("value"), F.lit("json-ld").alias("by")))
     kind = F.lower(F.coalesce(attr("type"), F.lit("")))
@@ -181,6 +185,7 @@ def extract_fields(sources: DataFrame, fields: DataFrame) -> DataFrame:
     ranked by share, then length, then key, and up to three others are named.
     A page without sources has no rows.
     """
+    sources = stored(sources)  # read for its keys and for its pages
     first = sources.withColumn("norm", T.norm_key(F.col("key"))).where("norm <> ''").groupBy("page_id", "norm").agg(F.min(F.struct("seq", "key", "value", "by")).alias("s"))
     first, pages = stored(first), sources.select("page_id").distinct()
     asked = few(fields.select("name", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("name").alias("text")), F.struct(F.lit(1).alias("turn"), F.coalesce("hint", F.lit("")).alias("text")))).alias("q")).select("name", "q.turn", T.norm_key(F.col("q.text")).alias("needle")).where("needle <> ''"))
