@@ -23,16 +23,31 @@ def gathered(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 
 
 class KeyMap:
-    """A map state as a mapping of strings to numbers."""
+    """A map state as a mapping of strings to numbers, for the reads of one call.
 
-    def __init__(self, state) -> None:
-        self.state = state
+    Each access of the state asks the JVM: a key is asked for once, and never in
+    a scope that is ``new`` and has none; what changed is written once, by ``flush``.
+    """
+
+    def __init__(self, state, new: bool = False) -> None:
+        self.state, self.new = state, new
+        self.seen: dict[str, int | None] = {}
+        self.changed: set[str] = set()
 
     def get(self, key: str) -> int | None:
-        return self.state.getValue((key,))[0] if self.state.containsKey((key,)) else None
+        if key not in self.seen:
+            self.seen[key] = self.state.getValue((key,))[0] if not self.new and self.state.containsKey((key,)) else None
+        return self.seen[key]
 
     def __setitem__(self, key: str, ref: int) -> None:
-        self.state.updateValue((key,), (ref,))
+        if self.seen.get(key) != ref:
+            self.seen[key] = ref
+            self.changed.add(key)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            self.state.updateValue((key,), (self.seen[key],))
+        self.changed.clear()
 
 
 class RefProcessor(StatefulProcessor):
@@ -46,9 +61,12 @@ class RefProcessor(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        book = RefBook(KeyMap(self.known), self.count.get()[0] if self.count.exists() else 0)
+        count = self.count.get()
+        known = KeyMap(self.known, new=count is None)
+        book = RefBook(known, 0 if count is None else count[0])
         reads = gathered(rows, "token")
         out = [(*key, token, *x) for token, units in zip(reads["token"], reads["units"]) for x in book.bind(plain(units))]
+        known.flush()
         self.count.update((book.count,))
         yield pd.DataFrame(out, columns=self.names)
 
